@@ -16,23 +16,32 @@ def join_text(*parts: Column) -> Column:
 
 
 def _field(name: str, spec: str) -> Column:
+    name, _, fallback = name.partition("|")
     col = F.col(name)
-    if not spec:
-        return col.cast("string")
     if spec == "whole":
-        return whole(col).cast("string")
-    if spec == "trunc":
-        return col.cast("int").cast("string")
-    if spec.startswith("r"):
-        return F.round(col, int(spec[1:])).cast("string")
-    raise ValueError(f"unknown format {spec!r} for {name!r}")
+        col = whole(col).cast("string")
+    elif spec == "trunc":
+        col = col.cast("int").cast("string")
+    elif spec == "grouped":
+        col = grouped(col)
+    elif spec[:1] == "r":
+        col = F.round(col, int(spec[1:])).cast("string")
+    elif spec[:1] == "f":
+        col = fixed(F.coalesce(col, F.lit(0.0)), int(spec[1:]))
+    elif spec:
+        raise ValueError(f"unknown format {spec!r} for {name!r}")
+    else:
+        col = col.cast("string")
+    return F.coalesce(col, F.lit(fallback)) if fallback else col
 
 
 def template(pattern: str) -> Column:
-    """Build a message from ``"text {column:spec} text"``.
+    """Build a text from ``"text {column|fallback:spec} text"``.
 
-    Specs: none = as text, ``rN`` = rounded to N places, ``whole`` = rounded to an
-    integer, ``trunc`` = cut to an integer. A NULL field contributes nothing.
+    Specs: none = as text, ``rN`` = rounded to N places, ``fN`` = N fixed places (NULL
+    reads as zero), ``whole`` = rounded to an integer, ``trunc`` = cut to an integer,
+    ``grouped`` = integer with thousands separators. A NULL without a fallback
+    contributes nothing.
     """
     parts: list[Column] = []
     for literal, name, spec, _ in Formatter().parse(pattern):
@@ -43,19 +52,14 @@ def template(pattern: str) -> Column:
     return F.concat_ws("", *parts)
 
 
-def or_else(name: str, fallback) -> Column:
-    """The column, or a fallback when it is NULL."""
-    return F.coalesce(F.col(name), F.lit(fallback))
-
-
 def grouped(col: Column, places: int = 0) -> Column:
     """``12345.6`` -> ``12,346``."""
     return F.format_number(col, places)
 
 
 def fixed(col: Column, places: int) -> Column:
-    """``12345.6`` -> ``12345.60``: fixed places without thousands separators."""
-    return F.format_string(f"%.{places}f", col.cast("double"))
+    """``12345.6`` -> ``12345.60``: fixed places, half to even, without thousands separators."""
+    return F.translate(F.format_number(col.cast("double"), places), ",", "")
 
 
 def padded_index(col: Column, width: int = 3) -> Column:

@@ -15,20 +15,44 @@ SCORE_PLACES = 6
 def hash_embedding(text: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
     """Deterministic vector: bytes of sha256(lower(text) + "_" + i), mapped to [-1, 1)."""
     blocks = -(-dimensions // HASH_BYTES)
-    lowered = F.lower(text)
+    words = HASH_BYTES // 4
 
-    def block(i: Column) -> Column:
+    def word(digest: Column, j: Column) -> Column:
+        return F.conv(F.substring(digest, j * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+
+    def block(lowered: Column, i: Column) -> Column:
         digest = F.sha2(F.concat(lowered, F.lit("_"), i.cast("string")), 256)
-        # one digest per block, bound once by the outer lambda, then cut into bytes
-        return F.transform(
-            F.array(digest),
-            lambda d: F.transform(
-                F.sequence(F.lit(0), F.lit(HASH_BYTES - 1)),
-                lambda j: (F.conv(F.substring(d, j * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128.0) / 128.0,
-            ),
+        # a lambda over a one-element array binds a value, so that it is computed once
+        return F.flatten(
+            F.transform(
+                F.array(digest),
+                lambda d: F.flatten(
+                    F.transform(
+                        F.sequence(F.lit(0), F.lit(words - 1)),
+                        lambda j: F.flatten(
+                            F.transform(
+                                F.array(word(d, j)),
+                                lambda w: F.array(
+                                    *[
+                                        (F.shiftright(w, shift).bitwiseAND(F.lit(255)).cast("double") - 128.0) / 128.0
+                                        for shift in (24, 16, 8, 0)
+                                    ]
+                                ),
+                            )
+                        ),
+                    )
+                ),
+            )
         )
 
-    parts = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), block)))
+    parts = F.flatten(
+        F.flatten(
+            F.transform(
+                F.array(F.lower(text)),
+                lambda lowered: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: block(lowered, i)),
+            )
+        )
+    )
     return parts if blocks * HASH_BYTES == dimensions else F.slice(parts, 1, dimensions)
 
 

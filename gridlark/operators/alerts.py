@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.conditions import ladder
+from gridlark.functions.conditions import is_in, ladder
 from gridlark.functions.text import join_text, template
 from gridlark.plans.profiles import ALERTS, BREAKOUTS, AlertRule
 
@@ -75,14 +75,15 @@ def _common_row(rule: AlertRule) -> Column:
     return F.when(rule.when(), row)
 
 
-def alerts_one_pass(df: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
-    """Every alert that any of the rules raises, from a single scan of ``df``.
+def alerts_one_pass(df: DataFrame, rules: Iterable[AlertRule], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every alert that any of the rules raises, from a single scan of ``df``; ``keep``
+    names input columns to carry along (event time, in a stream).
 
     A UNION ALL of one filter per rule would read and enrich the input once per rule.
     """
     rules = list(rules)
     fired = F.array_compact(F.array(*[_common_row(r) for r in rules]))
-    return _with_inputs(df, rules).select(F.explode(fired).alias("a")).select("a.*")
+    return _with_inputs(df, rules).select(F.explode(fired).alias("a"), *keep).select("a.*", *keep)
 
 
 def alerts_by_union(df: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
@@ -97,3 +98,11 @@ def alerts_by_union(df: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
 def part_by_alert_id(alerts: DataFrame, partitions: int | None = None) -> DataFrame:
     """Re-key by alert id. Only useful in front of a sink that needs the partitioning."""
     return alerts.repartition(partitions, "alert_id") if partitions else alerts.repartition("alert_id")
+
+
+# Flags whose vessels are always of the highest interest.
+CRITICAL_FLAGS = ("IR", "KP")
+
+
+def vessels_of_interest(df: DataFrame) -> DataFrame:
+    return df.withColumn("severity", ladder([(is_in("flag_country", *CRITICAL_FLAGS), "CRITICAL")], "HIGH"))

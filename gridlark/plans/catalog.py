@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.operators import alerts as A
+from gridlark.operators import audit as R
 from gridlark.operators import derive as D
+from gridlark.operators import documents as C
 from gridlark.operators import enrich as N
 from gridlark.operators import joins as J
+from gridlark.operators import search as Q
 from gridlark.operators import state as S
 from gridlark.operators import windows as W
+from gridlark.functions.text import template
+from gridlark.functions.vectors import hash_embedding
 from gridlark.plans.pictures import Domain
 from gridlark.plans.profiles import ALERTS, BREAKOUTS
-from gridlark.plans.session import prepare
+from gridlark.plans.session import prepare, scratch_path
+from gridlark.sources import feeds, sinks, tables, topics
+from gridlark.streaming import jobs as streaming
+from gridlark.sources.schemas import KEYS, TOPICS, stream_columns, stream_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +155,747 @@ def _gps_records(spark, sf_dir):
         speed_knots=F.col("speed_kts"), status=F.col("status"),
     )
     return air.unionByName(sea)
+
+
+# --- derived records, lookups, normalisation --------------------------------------------------
+def _satellite_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units and the satellites they depend on: one unit per nation (a table of fixed size)."""
+    key = F.col("n_nationkey")
+    return feeds.load(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("callsign"),
+        F.concat(F.lit("CLASS-"), (key % 3).cast("string")).alias("unit_class"),
+        F.concat(F.lit("REGION-"), F.col("n_regionkey").cast("string")).alias("region"),
+        F.array(
+            F.concat(F.lit("SATCOM-"), (key % 4).cast("string")),
+            F.concat(F.lit("SATCOM-"), (key % 3 + 2).cast("string")),
+        ).alias("satcom_deps"),
+    )
+
+
+@register("derive_affected_units")
+def _affected(spark, sf_dir):
+    out = D.derive_affected_units(feeds.jsir_raw(spark, sf_dir), _satellite_users(spark, sf_dir))
+    return out.withColumns(
+        {c: F.concat_ws(",", c) for c in ("affected_units", "affected_unit_types")}
+    )
+
+
+@register("lookup_corrective_actions")
+def _actions(spark, sf_dir):
+    """Catalogue derived from the signals: pairs that were seen with a HIGH or CRITICAL level."""
+    signals = feeds.sigint_raw(spark, sf_dir)
+    pairs = signals.where(F.col("threat_level").isin("HIGH", "CRITICAL")).select("signal_type", "threat_level").distinct()
+    catalogue = pairs.select(
+        "*",
+        F.array(
+            F.concat(F.lit("Review "), F.lower("signal_type")), F.concat(F.lit("Report as "), F.lower("threat_level"))
+        ).alias("corrective_actions"),
+    )
+    out = D.lookup_corrective_actions(signals, catalogue, "Monitor and report")
+    return out.select(
+        "intercept_id", "signal_type", "threat_level", F.concat_ws("; ", "corrective_actions").alias("corrective_actions")
+    )
+
+
+def _coalition(spark, sf_dir):
+    """Vessel reports of partner nations, from the supplier table."""
+    key = F.col("s_suppkey")
+    hull = F.when(key % 3 == 0, F.concat("s_name", F.lit(" (DDG)"))).when(
+        key % 3 == 1, F.concat("s_name", F.lit(" (A) (LHD)"))
+    ).otherwise(F.col("s_name"))
+    return feeds.load(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("TRK-"), key.cast("string")).alias("track_id"),
+        F.concat(F.lit("N"), (key % 7).cast("string")).alias("nation"),
+        hull.alias("vessel_name"),
+    )
+
+
+@register("derive_hull_type")
+def _hulls(spark, sf_dir):
+    return _coalition(spark, sf_dir).withColumn("hull_type", D.derive_hull_type(F.col("vessel_name")))
+
+
+@register("src_fanout_topic")
+def _fanout(spark, sf_dir):
+    return D.with_topic(_coalition(spark, sf_dir), "nation", "naval-tracks")
+
+
+@register("norm_columns")
+def _normalised(spark, sf_dir):
+    upper = feeds.load(spark, sf_dir, "events").select(
+        F.col("event_id").alias("EVENT_ID"),
+        F.col("event_type").alias("Event_Type"),
+        F.col("ts").alias("TS"),
+        F.col("user_id").cast("decimal(18,0)").alias("USER_ID"),
+        F.col("value").cast("decimal(12,2)").alias("VALUE"),
+    )
+    return D.norm_columns(upper)
+
+
+@register("synth_ids")
+def _synthetic(spark, sf_dir):
+    cyber = D.synth_ids(feeds.cyber_raw(spark, sf_dir).select("attack_type", "timestamp", "source_ip"))
+    sigint = D.synth_ids(feeds.sigint_raw(spark, sf_dir).select("signal_type", "timestamp", "frequency_mhz"))
+    return cyber.select(F.col("incident_id").alias("id"), "timestamp", F.col("attack_type").alias("kind")).unionByName(
+        sigint.select(F.col("intercept_id").alias("id"), "timestamp", F.col("signal_type").alias("kind"))
+    )
+
+
+@register("alert_voi")
+def _vessels_of_interest(spark, sf_dir):
+    return A.vessels_of_interest(
+        feeds.naval_raw(spark, sf_dir).withColumnRenamed("country", "flag_country")
+    ).select("vessel_id", "flag_country", "lat", "lon", "severity", "timestamp")
+
+
+# --- current state and recent rows ---------------------------------------------------------------
+DAY = 86_400
+
+
+def _fresh(stream: str, key: str, ttl: int | None = None) -> Query:
+    def build(spark, sf_dir):
+        raw = feeds.__dict__[f"{stream}_raw"](spark, sf_dir)
+        seconds = S.FRESH_SECONDS[stream] if ttl is None else ttl
+        return _public(S.state_fresh(raw, key, seconds, S.latest_time(raw)))
+
+    return build
+
+
+for _stream, _key in (("aircraft", "aircraft_id"), ("naval", "vessel_id"), ("gps", "unit_id"),
+                      ("sigint", "intercept_id"), ("cyber", "incident_id")):
+    register(f"state_fresh_{_stream}")(_fresh(_stream, _key))
+    register(f"state_fresh_{_stream}_day")(_fresh(_stream, _key, DAY))
+
+
+@register("state_fresh_or_recent_fresh")
+def _fresh_found(spark, sf_dir):
+    raw = feeds.aircraft_raw(spark, sf_dir)
+    dom = Domain(spark, sf_dir, "current")
+    return _public(
+        S.state_fresh_or_recent(raw, "aircraft_id", DAY, S.latest_time(raw), dom.aircraft, S.RECENT_ROWS["fallback"])
+    )
+
+
+@register("state_fresh_or_recent_fallback")
+def _fresh_missing(spark, sf_dir):
+    """The clock is a day past the last record, so the newest stored rows are returned."""
+    raw = feeds.naval_raw(spark, sf_dir)
+    dom = Domain(spark, sf_dir, "current")
+    later = S.latest_time(raw) + F.lit(DAY * 1000)
+    return _public(
+        S.state_fresh_or_recent(
+            raw, "vessel_id", S.FRESH_SECONDS["naval"], later, dom.naval, S.RECENT_ROWS["fallback"]
+        )
+    )
+
+
+register("top_recent_alerts")(
+    lambda s, d: S.top_recent(Domain(s, d, "current").all_alerts(), S.RECENT_ROWS["alerts"], tie="alert_id")
+)
+register("top_recent_cyber")(
+    lambda s, d: _public(S.top_recent(Domain(s, d, "current").cyber, S.RECENT_ROWS["cyber"]))
+)
+for _name, (_source, _) in BREAKOUTS.items():
+    register(f"top_recent_{_name}")(
+        lambda s, d, n=_name, src=_source: _public(
+            S.top_recent(A.breakout(getattr(Domain(s, d, "current"), src), n), S.RECENT_ROWS["breakout"])
+        )
+    )
+register("top_recent_passes")(
+    lambda s, d: _public(
+        S.top_recent(N.enrich_satellite_pass(Domain(s, d, "current").satellite), S.RECENT_ROWS["passes"])
+    )
+)
+register("top_recent_jsir")(
+    lambda s, d: _public(S.top_recent(Domain(s, d, "current").jsir, S.RECENT_ROWS["jsir"]))
+)
+
+
+@register("union_dedupe_merge_cyber")
+def _merge_cyber(spark, sf_dir):
+    dom = Domain(spark, sf_dir, "current")
+    raw = dom.raw("cyber")
+    cache = S.state_fresh(raw, "incident_id", DAY, S.latest_time(raw))
+    return _public(
+        S.union_dedupe_merge(dom.cyber, cache, S.RECENT_ROWS["cyber_merge"], ("incident_id", "source_ip", "timestamp"))
+    )
+
+
+@register("union_dedupe_merge_sigint")
+def _merge_sigint(spark, sf_dir):
+    dom = Domain(spark, sf_dir, "current")
+    raw = dom.raw("sigint")
+    cache = S.state_fresh(raw, "intercept_id", DAY, S.latest_time(raw))
+    return _public(
+        S.union_dedupe_merge(
+            dom.sigint, cache, S.RECENT_ROWS["sigint_merge"], ("intercept_id", "frequency_mhz", "timestamp")
+        )
+    )
+
+
+register("agg_readiness_rollup")(
+    lambda s, d: S.readiness_rollup(S.latest_record(feeds.gps_raw(s, d), "unit_id"))
+)
+register("agg_count_by_type")(
+    lambda s, d: S.count_by_type(
+        feeds.load(s, d, "embeddings").select(F.col("label").cast("string").alias("source_type")), "source_type"
+    )
+)
+
+
+@register("agg_recent_count")
+def _recent(spark, sf_dir):
+    raw = feeds.gps_raw(spark, sf_dir)
+    return S.recent_count(raw, S.latest_time(raw))
+
+
+register("agg_equipment_rate")(lambda s, d: S.equipment_rate(feeds.equipment_status(s, d)))
+register("agg_supply_status")(lambda s, d: S.supply_status(feeds.supply_levels(s, d)))
+register("agg_supply_status_update")(lambda s, d: S.supply_status(feeds.supply_levels(s, d), rounded=True))
+register("limit_peek")(lambda s, d: Domain(s, d, "current").all_alerts().limit(5))
+
+
+# --- operator responses ----------------------------------------------------------------------------
+register("action_audit")(
+    lambda s, d: R.action_audit(feeds.action_requests(s, d), R.detail_catalogue(s)).drop("seq")
+)
+register("action_audit_rejected")(
+    lambda s, d: R.split_requests(feeds.action_requests(s, d))[1].select("seq", "domain", "error")
+)
+register("action_fanout")(
+    lambda s, d: R.action_fanout(R.action_audit(feeds.action_requests(s, d), R.detail_catalogue(s))).select(
+        "topic", "entity_id", "action", "epoch_ms"
+    )
+)
+for _domain in (None, "cyber"):
+    register(f"log_last_n_{_domain or 'all'}")(
+        lambda s, d, dom=_domain: S.log_last_n(
+            R.action_audit(feeds.action_requests(s, d), R.detail_catalogue(s)), 50, dom
+        ).drop("seq")
+    )
+
+
+# --- sources -----------------------------------------------------------------------------------------
+STREAMS = ("gps", "aircraft", "naval", "cyber", "sigint", "satellite", "jsir", "embm")
+
+
+def _messages(spark, sf_dir, stream: str) -> DataFrame:
+    raw = feeds.__dict__[f"{stream}_raw"](spark, sf_dir)
+    columns = [*stream_columns(stream), "seq"]
+    return topics.as_messages(raw.select(*columns), KEYS[stream], TOPICS[stream], keep=("seq",))
+
+
+for _stream in STREAMS:
+    register(f"src_topic_json_{_stream}")(
+        lambda s, d, st=_stream: topics.parse_messages(_messages(s, d, st), stream_schema(st), KEYS[st])
+    )
+
+
+@register("src_event_time")
+def _event_time(spark, sf_dir):
+    timed = W.with_event_time(feeds.gps_raw(spark, sf_dir))
+    return timed.select("seq", F.unix_millis("ts").alias("event_ms"), F.hour("ts").alias("event_hour"))
+
+
+@register("src_key_column")
+def _message_key(spark, sf_dir):
+    """The key says AC-<tail>, the JSON field only <tail>; the key is what counts."""
+    raw = feeds.aircraft_raw(spark, sf_dir)
+    messages = raw.select(
+        F.concat(F.lit("AC-"), "aircraft_id").alias("key"),
+        F.to_json(F.struct(F.col("aircraft_id").alias("unit_id"), "lat", "lon", "timestamp")).alias("value"),
+    )
+    return topics.parse_messages(messages, stream_schema("gps"), "unit_id").select("unit_id", "lat", "lon", "timestamp")
+
+
+@register("src_multi_topic")
+def _multi_topic(spark, sf_dir):
+    """Five topics through one message stream, routed by topic name and counted per entity."""
+    names = ("gps", "aircraft", "naval", "cyber", "sigint")
+    merged = None
+    for name in names:
+        one = _messages(spark, sf_dir, name)
+        merged = one if merged is None else merged.unionByName(one)
+    out = None
+    for name, df in topics.route(merged, list(names)).items():
+        part = df.groupBy(F.col(KEYS[name]).alias("entity_id")).agg(
+            F.max("timestamp").alias("last_update"), F.count(F.lit(1)).alias("records")
+        ).withColumn("stream", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("src_snapshot_changes")
+def _snapshot(spark, sf_dir):
+    """Initial copy: orders of even status letters; changes: every order, newer document wins."""
+    orders = feeds.load(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("change"),
+    )
+    first = orders.groupBy("doc_id").agg(F.min("change").alias("change"))
+    snapshot = orders.join(first, ["doc_id", "change"], "left_semi")
+    return tables.snapshot_plus_changes(snapshot, orders, "doc_id", ("change",))
+
+
+@register("src_feed_json")
+def _feed(spark, sf_dir):
+    """The JSON payload of the event table read with a declared schema, with its topic path cut up."""
+    rows = feeds.load(spark, sf_dir, "events").select(
+        "event_id", F.col("props").alias("value"),
+        F.concat(F.lit("mda/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("topic"),
+    )
+    parsed = topics.parse_messages(rows, T.StructType.fromDDL("k bigint, missing string"), keep=("event_id", "topic"))
+    return topics.feed_topic_parts(parsed)
+
+
+def _damaged(spark, sf_dir):
+    """GPS messages of which some are cut off, as a bad producer would send them."""
+    messages = _messages(spark, sf_dir, "gps")
+    cut = (F.col("seq") % 7) == 0
+    return messages.withColumn("value", F.when(cut, F.substring("value", 1, 40)).otherwise(F.col("value")))
+
+
+register("snk_error_tolerance_good")(
+    lambda s, d: topics.quarantine(_damaged(s, d), stream_schema("gps"), keep=("seq",))[0].select(
+        "seq", "unit_id", "timestamp", "fuel_level_pct"
+    )
+)
+register("snk_error_tolerance_bad")(
+    lambda s, d: topics.quarantine(_damaged(s, d), stream_schema("gps"), keep=("seq",))[1].select("seq")
+)
+
+
+# --- sinks and tables ------------------------------------------------------------------------------------
+@register("snk_derived_topic")
+def _derived(spark, sf_dir):
+    """An enriched stream persisted under its own name, then read back."""
+    path = scratch_path(spark, "sigint_enriched")
+    Domain(spark, sf_dir, "current").sigint.write.parquet(path)
+    return _public(spark.read.parquet(path))
+
+
+@register("snk_upsert")
+def _upsert(spark, sf_dir):
+    """Two batches; the second replaces documents of the first."""
+    path = scratch_path(spark, "military_aircraft")
+    raw = feeds.aircraft_raw(spark, sf_dir)
+    write = sinks.upsert_sink(path, "aircraft_id", S.ORDER)
+    middle = raw.agg(F.percentile_approx("timestamp", 0.5)).scalar()
+    write(raw.where(F.col("timestamp") <= middle), 0)
+    write(raw.where(F.col("timestamp") > middle), 1)
+    return _public(sinks.read_upserted(spark, path, "aircraft_id", S.ORDER))
+
+
+@register("snk_append")
+def _append(spark, sf_dir):
+    """The same batch delivered twice is stored once."""
+    path = scratch_path(spark, "operational_alerts")
+    alerts = Domain(spark, sf_dir, "current").all_alerts()
+    write = sinks.append_sink(path)
+    write(alerts, 0)
+    write(alerts, 0)
+    return sinks.read_appended(spark, path)
+
+
+@register("snk_replace_load")
+def _replace(spark, sf_dir):
+    path = scratch_path(spark, "kb_units")
+    customers = feeds.load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    tables.replace_table(customers.limit(0), path)
+    tables.replace_table(customers, path)
+    return spark.read.parquet(path)
+
+
+@register("snk_batched_insert")
+def _batched(spark, sf_dir):
+    """Files of at most a hundred rows."""
+    path = scratch_path(spark, "vector_embeddings")
+    tables.replace_table(feeds.load(spark, sf_dir, "embeddings").select("vec_id", "label"), path, 100)
+    return spark.read.parquet(path)
+
+
+@register("snk_copy_tables")
+def _copy(spark, sf_dir):
+    target = scratch_path(spark, "copy")
+    return tables.copy_tables(spark, sf_dir, target, ("orders", "events", "absent", "documents"))
+
+
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
+register("snk_table_stats")(
+    lambda s, d: tables.table_stats({name: feeds.load(s, d, name) for name in ALL_TABLES})
+)
+register("snk_unique_key")(
+    lambda s, d: tables.duplicates(feeds.load(s, d, "lineitem"), ("l_orderkey", "l_linenumber"))
+)
+
+
+# --- documents ---------------------------------------------------------------------------------------
+def _flat_documents(docs: DataFrame, id_column: str) -> DataFrame:
+    """Nested documents with one column per field that the SQL check compares."""
+    meta = F.col("rag_metadata")
+    return docs.select(
+        F.col(id_column).cast("string").alias("doc_id"),
+        "rag_text",
+        meta["doc_type"].alias("doc_type"),
+        meta["domain"].alias("domain"),
+        meta["classification"].alias("classification"),
+        meta["source"].alias("source"),
+        meta["confidence"].alias("confidence"),
+        F.concat_ws("|", meta["keywords"]).alias("keywords"),
+        F.col("location.type").alias("geo_type"),
+        F.col("location.coordinates")[0].alias("geo_lon"),
+        F.col("location.coordinates")[1].alias("geo_lat"),
+    )
+
+
+def _documents(spark, sf_dir, kind: str) -> DataFrame:
+    rows = feeds.facilities(spark, sf_dir) if kind == "facility" else getattr(feeds, f"{kind}_raw")(spark, sf_dir)
+    return C.build_documents(rows, kind)
+
+
+for _kind, _spec in C.KINDS.items():
+    register(f"doc_build_{_kind}")(
+        lambda s, d, k=_kind, i=_spec.id_column: _flat_documents(_documents(s, d, k), i)
+    )
+
+
+def _indexed(spark, sf_dir, kind: str) -> DataFrame:
+    """Documents as an index holds them: the last one per id."""
+    return S.latest_record(_documents(spark, sf_dir, kind), C.KINDS[kind].id_column)
+
+
+for _kind in ("aircraft", "naval", "cyber"):
+    @register(f"doc_upsert_{_kind}")
+    def _index(spark, sf_dir, kind=_kind):
+        """Documents indexed in two deliveries; the later one replaces by id."""
+        key = C.KINDS[kind].id_column
+        path = scratch_path(spark, C.KINDS[kind].collection)
+        write = sinks.upsert_sink(path, key, S.ORDER)
+        docs = _documents(spark, sf_dir, kind)
+        middle = docs.agg(F.percentile_approx("timestamp", 0.5)).scalar()
+        write(docs.where(F.col("timestamp") > middle), 0)
+        write(docs.where(F.col("timestamp") <= middle), 1)
+        return _flat_documents(sinks.read_upserted(spark, path, key, S.ORDER), key)
+
+
+for _name, _sep in (("lines", "\n"), ("paragraphs", "\n\n")):
+    register(f"doc_chunk_{_name}")(
+        lambda s, d, sep=_sep: C.chunk(feeds.load(s, d, "documents"), sep, "doc_id", "text")
+    )
+
+
+@register("doc_embed_text")
+def _embed_text(spark, sf_dir):
+    docs = feeds.load(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.array("source", "lang").alias("tags"),
+        F.struct("source", "n_chars").alias("origin"), "text",
+    )
+    return C.embedding_text(docs, ("lang", "tags", "origin", "absent", "text"), 500).select("doc_id", "text_content")
+
+
+@register("doc_embed_operational")
+def _embed_operational(spark, sf_dir):
+    dom = Domain(spark, sf_dir, "current")
+    views = {n: dom.raw(n) for n in ("aircraft", "naval", "cyber", "sigint", "jsir")}
+    return C.operational_embeddings({**views, "alerts": dom.all_alerts()})
+
+
+def _fingerprint(df: DataFrame, id_column: str) -> DataFrame:
+    """A vector as one comparable text: every byte value, digested."""
+    as_bytes = F.transform("embedding", lambda x: (x * 128 + 128).cast("int").cast("string"))
+    return df.select(
+        id_column, F.size("embedding").alias("dimensions"), F.md5(F.concat_ws(",", as_bytes)).alias("fingerprint")
+    )
+
+
+register("emb_hash")(
+    lambda s, d: _fingerprint(
+        feeds.load(s, d, "benchmark").select("item_id", hash_embedding(F.col("text")).alias("embedding")), "item_id"
+    )
+)
+register("emb_batch")(
+    lambda s, d: _fingerprint(Q.embed(feeds.load(s, d, "documents").select("doc_id", "text"), "text"), "doc_id")
+)
+
+
+# --- knowledge tables ------------------------------------------------------------------------------------
+def _kb_equipment(spark, sf_dir) -> DataFrame:
+    key = F.col("p_partkey")
+    return feeds.load(spark, sf_dir, "part").select(
+        F.concat(F.lit("EQ-"), key.cast("string")).alias("equipment_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("equipment_type"),
+        F.col("p_brand").alias("country_of_origin"),
+        F.struct(F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")).alias("specifications"),
+        F.array(F.concat(F.lit("S-"), (key % 5).cast("string"))).alias("sensors"),
+        F.array(F.concat(F.lit("W-"), (key % 3).cast("string"))).alias("weapons"),
+        F.concat(F.lit("Catalogue item "), key.cast("string")).alias("description"),
+        F.concat_ws(" ", F.col("p_name"), F.lit("of type"), F.col("p_type"), F.lit("made by"), F.col("p_brand")).alias(
+            "rag_text"
+        ),
+    )
+
+
+def _kb_actors(spark, sf_dir) -> DataFrame:
+    key = F.col("s_suppkey")
+    country = F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))
+    level = F.when(key % 3 == 0, "ADVANCED").otherwise("MODERATE")
+    return feeds.load(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("ACT-"), key.cast("string")).alias("actor_id"),
+        F.col("s_name").alias("name"),
+        country.alias("country"),
+        level.alias("sophistication"),
+        F.concat_ws(" ", F.lit("Hostile actor"), F.col("s_name"), F.lit("active in"), country, F.lit("level"), level).alias(
+            "rag_text"
+        ),
+    )
+
+
+@register("kb_load")
+def _load_kb(spark, sf_dir):
+    """Nested rows written as JSON lines and read back with the declared schema."""
+    path = scratch_path(spark, "kb_equipment")
+    _kb_equipment(spark, sf_dir).write.json(path)
+    rows = C.load_kb(spark, path, "equipment")
+    return rows.select(
+        "equipment_id", "name", F.col("specifications.size").alias("size"), F.col("specifications.price").alias("price"),
+        F.col("sensors")[0].alias("sensor"), F.col("weapons")[0].alias("weapon"), "rag_text",
+    )
+
+
+register("kb_list_equipment")(
+    lambda s, d: C.kb_list(_kb_equipment(s, d), "equipment_id").select("equipment_id", "name", "rag_text")
+)
+register("kb_list_threat_actors")(lambda s, d: C.kb_list(_kb_actors(s, d), "actor_id"))
+
+
+# --- search ------------------------------------------------------------------------------------------------
+QUESTION = "hostile aircraft or critical cyber incident with small ring in status PATROL"
+
+
+def _collections(spark, sf_dir, vectors: bool = False) -> dict[str, Q.Collection]:
+    """The five searchable collections of the default route."""
+
+    def table(df, id_column, merge_id, line):
+        df = Q.embed(df.select(*[c for c in df.columns if c not in ("rag_metadata", "location", "position")]), "rag_text") \
+            if vectors else df
+        return Q.Collection(df, id_column, "rag_text", merge_id, lambda: template(line))
+
+    return {
+        "rag_aircraft": table(
+            _indexed(spark, sf_dir, "aircraft"), "aircraft_id", "aircraft_id",
+            "{aircraft_type} ({tail_number}) - {country} - {status}",
+        ),
+        "rag_naval": table(
+            _indexed(spark, sf_dir, "naval"), "vessel_id", "vessel_id",
+            "{vessel_type} ({hull_number}) - {country} - {status}",
+        ),
+        "rag_cyber_incidents": table(
+            _indexed(spark, sf_dir, "cyber"), "incident_id", "incident_id",
+            "{attack_type} [{severity}] - {threat_actor} → {target_facility}",
+        ),
+        "kb_equipment": table(
+            _kb_equipment(spark, sf_dir), "equipment_id", "equipment_id",
+            "{name} ({equipment_type}) - {country_of_origin}",
+        ),
+        "kb_threat_actors": table(
+            _kb_actors(spark, sf_dir), "actor_id", None, "{name} ({country}) - {sophistication}",
+        ),
+    }
+
+
+register("search_keyword")(
+    lambda s, d: Q.keyword_search(QUESTION, _collections(s, d)).select("collection", "hit_id", "text", "line", "score")
+)
+
+
+@register("search_keyword_texts")
+def _keyword_texts(spark, sf_dir):
+    """Whole documents, pages and conversation turns."""
+    turns = feeds.load(spark, sf_dir, "conversations").withColumn(
+        "turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    )
+    texts = {
+        "documents": Q.Collection(feeds.load(spark, sf_dir, "documents"), "doc_id", "text"),
+        "pages": Q.Collection(feeds.load(spark, sf_dir, "pages"), "page_id", "html"),
+        "conversations": Q.Collection(turns, "turn_id", "text"),
+    }
+    return Q.keyword_search("the then station, whether éaux or ERETH", texts).select("collection", "hit_id", "score")
+
+
+register("search_vector")(
+    lambda s, d: Q.semantic_search(QUESTION, _collections(s, d, vectors=True)).select(
+        "collection", "hit_id", "text", "score"
+    )
+)
+
+
+@register("search_vector_index")
+def _vector_index(spark, sf_dir):
+    """Filtered index search; the score is the index's (1 + cosine) / 2."""
+    rows = feeds.load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("source_id"), "embedding",
+        F.concat(F.lit("TYPE-"), F.col("label").cast("string")).alias("source_type"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text_content"),
+    )
+    query = feeds.load(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"]
+    table = {"vector_embeddings": Q.Collection(rows, "source_id", "text_content")}
+    hits = Q.vector_search(query, table, where=F.col("source_type") == "TYPE-3")
+    return hits.select("hit_id", "text", Q.index_score(F.col("score")).alias("score"))
+
+
+@register("search_many")
+def _many(spark, sf_dir):
+    """Every vector as a query against all vectors."""
+    rows = feeds.load(spark, sf_dir, "embeddings")
+    return Q.vector_search_batch(
+        rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "doc_id"), 5
+    )
+
+
+@register("search_many_texts")
+def _many_texts(spark, sf_dir):
+    """Every benchmark text as a query against all whole documents."""
+    queries = Q.embed(feeds.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
+    docs = Q.embed(feeds.load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return Q.vector_search_batch(queries, docs, 10)
+
+
+register("search_hybrid")(
+    lambda s, d: Q.results_page(Q.hybrid_search(QUESTION, _collections(s, d, vectors=True)))
+)
+register("union_hybrid_results")(
+    lambda s, d: Q.hybrid_search(QUESTION, _collections(s, d, vectors=True)).drop("text", "line")
+)
+register("query_summary")(
+    lambda s, d: Q.summarise(
+        Q.hybrid_search(QUESTION, _collections(s, d, vectors=True)), QUESTION, Q.intent_of(QUESTION)
+    )
+)
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    """Every conversation turn as a query, with words of one of several themes added."""
+    themes = (
+        "Hostile AIRCRAFT over Russia", "friendly ship from China", "critical malware", "which airfield",
+        "high SIGNAL Iranian", "american fleet", "",
+    )
+    key = F.col("conv_id") + F.col("turn")
+    theme = F.array(*[F.lit(t) for t in themes])[(key % len(themes)).cast("int")]
+    return feeds.load(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+        F.concat_ws(" ", F.col("text"), theme).alias("query"),
+    )
+
+
+@register("query_intent")
+def _intents(spark, sf_dir):
+    intent = _questions(spark, sf_dir).withColumn("i", Q.extract_intent(F.col("query")))
+    return intent.select(
+        "query_id", "i.domain", "i.action", "i.filters.country", "i.filters.iff_mode", "i.filters.severity"
+    )
+
+
+@register("query_route")
+def _routes(spark, sf_dir):
+    domain = Q.extract_intent(F.col("query"))["domain"]
+    return _questions(spark, sf_dir).select(
+        "query_id", F.concat_ws(",", Q.query_route(domain)).alias("collections")
+    )
+
+
+@register("query_log")
+def _query_log(spark, sf_dir):
+    path = scratch_path(spark, "rag_query_history")
+    asked = _questions(spark, sf_dir).withColumn("result_count", F.lit(0))
+    sinks.append_sink(path)(Q.log_queries(asked, "hybrid", 1_700_000_000_000), 0)
+    return sinks.read_appended(spark, path).select(
+        "query", "intent.domain", "search_type", "result_count", "timestamp"
+    )
+
+
+# --- streaming -----------------------------------------------------------------------------------------------
+def _streams(spark, sf_dir, profile: str = "classic") -> streaming.Streams:
+    return streaming.Streams(streaming.file_stream(spark, f"{sf_dir}/events.parquet"), profile)
+
+
+def _state_partitions(spark) -> int:
+    return min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _finished(spark, df, name, mode="append") -> DataFrame:
+    return spark.read.parquet(streaming.finish(df, name, mode, state_partitions=_state_partitions(spark)))
+
+
+@register("stream_tumbling")
+def _stream_tumbling(spark, sf_dir):
+    """Closed five-minute windows, each reported once."""
+    agg = W.flatten_window(W.grid_force(_streams(spark, sf_dir).gps, "classic"))
+    return _finished(spark, agg, "grid_force")
+
+
+@register("stream_emit_changes")
+def _stream_changes(spark, sf_dir):
+    """Every change of a window emitted; the table of last changes equals the batch answer."""
+    agg = W.flatten_window(W.grid_threat(_streams(spark, sf_dir).sigint, "setup"))
+    return streaming.finish_changes(
+        agg, "grid_threat", ("window_start", "grid_square"), ("intercept_count",), _state_partitions(spark)
+    ).select(*agg.columns)
+
+
+@register("stream_stateful_latest")
+def _stream_latest(spark, sf_dir):
+    changes = streaming.gps_latest_changes(_streams(spark, sf_dir).gps_raw)
+    table = streaming.finish_changes(changes, "gps_latest", "unit_id", ("updates",), _state_partitions(spark))
+    return table.drop("updates")
+
+
+@register("stream_dedupe")
+def _stream_dedupe(spark, sf_dir):
+    """The alert stream delivered twice; repeats are dropped within the watermark."""
+    twice = _streams(spark, sf_dir).unit_alerts().unionByName(_streams(spark, sf_dir).unit_alerts())
+    once = streaming.dedupe(twice, "alert_id")
+    return _finished(spark, once.drop("ts"), "alerts")
+
+
+@register("stream_persistent")
+def _stream_chain(spark, sf_dir):
+    """Raw to enriched to breakout, each step a persistent query over the table before it."""
+    root = scratch_path(spark, "pipeline")
+    streams = _streams(spark, sf_dir, "current")
+    pipeline = streaming.Pipeline(spark, root, [
+        streaming.Job("sigint_air_defense", lambda t: A.breakout(t["sigint_enriched"], "air_defense"), ("sigint_enriched",)),
+        streaming.Job("sigint_enriched", lambda t: streams.sigint.drop("ts")),
+    ])
+    pipeline.run_available()
+    pipeline.stop()
+    return _public(spark.read.parquet(pipeline.table("sigint_air_defense")))
+
+
+@register("stream_join_gps")
+def _stream_join(spark, sf_dir):
+    """Aircraft stream against the latest-position table as it stands when the batch runs."""
+    latest = Domain(spark, sf_dir, "setup").gps_latest
+    joined = J.aircraft_with_gps(_streams(spark, sf_dir).aircraft_raw, latest, "setup")
+    return _finished(spark, joined, "aircraft_with_gps")
+
+
+@register("stream_operational_picture")
+def _stream_picture(spark, sf_dir):
+    picture = W.flatten_window(_streams(spark, sf_dir).operational_picture())
+    return _finished(spark, picture, "operational_picture")
+
+
+@register("stream_units_threat")
+def _stream_zone(spark, sf_dir):
+    zone = W.flatten_window(_streams(spark, sf_dir).units_in_threat())
+    return _finished(spark, zone, "units_in_threat").drop("window_end")
+
+
+@register("stream_peek")
+def _stream_peek(spark, sf_dir):
+    """The first rows of a running stream."""
+    return _finished(spark, _streams(spark, sf_dir).unit_alerts().drop("ts").limit(5), "peek")

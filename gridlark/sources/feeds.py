@@ -326,3 +326,46 @@ def equipment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         total.alias("total"),
         F.least(total, (_dbl((p * 7) % 101) / 100.0 * total).cast("int")).alias("fmc"),
     )
+
+
+REQUESTED = (
+    "block_ip", "isolate_system", "alert_team", "escalate", "contain", "investigate", "jam", "geolocate",
+    "alert_ew", "task_collection", "classify", "share_intel", "kinetic_strike", "ew_attack", "refine_geo",
+    "monitor", "unknown", "",
+)
+
+
+def action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator requests, some without an id, an action, an operator or optional fields."""
+    e = F.col(E_ID)
+
+    def sometimes(value: Column, n: int) -> Column:
+        return F.when(e % n != 0, value)
+
+    return _events(spark, sf_dir).select(
+        sometimes(_tag("REQ-", F.col(USER)), 10).alias("entity_id"),
+        _pick(e % 3, ("CYBER", "SIGINT", "EMBM")).alias("domain"),
+        _pick(_div(e, 3) % len(REQUESTED), REQUESTED).alias("action"),
+        sometimes(_tag("OP-", e % 5), 4).alias("operator"),
+        sometimes(_tag("192.0.2.", e % 256), 5).alias("source_ip"),
+        sometimes(_pick(e % 3, ("MAIL", "VPN", "HISTORIAN")), 6).alias("target_system"),
+        sometimes(_pick(_div(e, 3) % 4, LEVELS), 7).alias("severity"),
+        sometimes(_pick(e % 2, ("L-BAND", "S-BAND")), 8).alias("frequency_band"),
+        millis(F.col("ts")).alias("epoch_ms"),
+        e.alias("seq"),
+    )
+
+
+def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with their networks, from the supplier table."""
+    k = F.col("s_suppkey")
+    return load(spark, sf_dir, "supplier").select(
+        _tag("FAC-", k).alias("facility_id"),
+        F.col("s_name").alias("name"),
+        _pick(k % 3, ("AIR_BASE", "PORT", "DEPOT")).alias("type"),
+        _tag("REGION-", k % 5).alias("region"),
+        _tag("N", F.col("s_nationkey")).alias("country"),
+        (F.lit(-20.0) + _dbl(k % 400) / 10.0).alias("lat"),
+        (F.lit(-60.0) + _dbl(k % 900) / 10.0).alias("lon"),
+        F.array(F.lit("NET-A"), _tag("NET-", k % 4)).alias("networks"),
+    )

@@ -336,4 +336,7 @@ def resolve(sql: str) -> str:
     if not order:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in order)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    if body.startswith("WITH "):
+        return f"WITH {ctes},\n{body.removeprefix('WITH ')}"
+    return f"WITH {ctes}\n{body}"
