@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gridlark.functions.conditions import is_in, ladder
 from gridlark.functions.geo import feet_to_metres, knots_to_kph
+from gridlark.operators.lookup import lookup_join
 
 # What a derived emitter track is labelled with.
 EMITTER_LABELS = {
@@ -104,35 +105,34 @@ def derive_gps_record(
 
 
 def derive_affected_units(incidents: DataFrame, units: DataFrame) -> DataFrame:
-    """Units that depend on the satellite an incident targets (one row per dependency).
+    """Units that depend on the satellite an incident targets.
 
-    The dependency arrays are exploded into an equi-join key and the unit list is
-    folded per satellite, so the incident stream is joined once and never multiplied
-    by the number of units.
+    The dependency arrays are exploded into an equi-join key and the unit registry (a
+    dimension, far smaller than the incidents) is folded per satellite first: incidents
+    are joined once and never multiplied by the number of units.
     """
     by_satellite = (
-        units.select("callsign", "unit_class", "region", F.explode("satcom_deps").alias("target_satellite"))
-        .groupBy("target_satellite")
+        units.select("callsign", "unit_class", "region", F.explode(F.array_distinct("satcom_deps")).alias("satellite"))
+        .groupBy("satellite")
         .agg(F.sort_array(F.collect_set(F.struct("callsign", "unit_class", "region"))).alias("units"))
     )
-    joined = incidents.join(by_satellite, "target_satellite", "left")
+    joined = lookup_join(incidents, by_satellite, F.col("target_satellite"), "satellite")
+    none = F.array().cast("array<string>")
     return joined.select(
         "incident_id",
         "target_satellite",
-        F.coalesce(F.col("units.callsign"), F.array().cast("array<string>")).alias("affected_units"),
-        F.coalesce(F.col("units.unit_class"), F.array().cast("array<string>")).alias("affected_unit_types"),
+        F.coalesce(F.col("units.callsign"), none).alias("affected_units"),
+        F.coalesce(F.col("units.unit_class"), none).alias("affected_unit_types"),
         F.col("units")[0]["region"].alias("affected_region"),
     )
 
 
 def lookup_corrective_actions(df: DataFrame, catalogue: DataFrame, default: str) -> DataFrame:
-    """Attach the action list for (signal_type, threat_level); unknown pairs get the default.
-
-    The catalogue has one row per pair. It is left to the optimizer whether it is small
-    enough to broadcast.
-    """
-    unique = catalogue.dropDuplicates(["signal_type", "threat_level"])
-    return df.join(unique, ["signal_type", "threat_level"], "left").withColumn(
+    """Attach the action list for (signal_type, threat_level); unknown pairs get the default."""
+    pair = lambda: F.concat_ws("/", "signal_type", "threat_level")
+    table = catalogue.groupBy(pair().alias("pair")).agg(F.first("corrective_actions").alias("corrective_actions"))
+    joined = lookup_join(df, table, pair(), "pair").drop("_key")
+    return joined.withColumn(
         "corrective_actions", F.coalesce("corrective_actions", F.array(F.lit(default)))
     )
 

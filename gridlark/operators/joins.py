@@ -8,26 +8,13 @@ from pyspark.sql import functions as F
 from gridlark.functions.conditions import ladder
 from gridlark.functions.geo import feet_to_metres, grid_square, knots_to_kph
 from gridlark.functions.text import join_text
+from gridlark.operators.lookup import lookup_join
 from gridlark.operators.windows import GRID_MINUTES
 from gridlark.plans.profiles import CYBER_STATUS
 
 AIR_PREFIX, SHIP_PREFIX, FACILITY_PREFIX = "AC-", "SHIP-", "FAC-"
 
 
-def lookup_join(facts: DataFrame, table: DataFrame, fact_key: Column, table_key: str, how: str = "left") -> DataFrame:
-    """Join facts with a table that has one row per key and may itself be an aggregate.
-
-    The key is joined together with its hash. The hash adds nothing to the condition,
-    but it keeps the planner from reusing the aggregate's own partitioning: both sides
-    then pass through an exchange made for this join, which is what AQE needs to split a
-    hot key's partition, or to switch to a broadcast once the table's size is known.
-    No hint is given: neither side has a size that is known beforehand.
-    """
-    left = facts.withColumns({"_key": fact_key, "_hash": F.xxhash64(fact_key)})
-    right = table.withColumnsRenamed({table_key: "_key"}).withColumn("_hash", F.xxhash64("_key"))
-    return left.join(right, ["_key", "_hash"], how).drop("_hash")
-
-
 def _gps_side(latest: DataFrame, columns: dict[str, str]) -> DataFrame:
     return latest.select("unit_id", *[F.col(c).alias(a) for c, a in columns.items()])
 

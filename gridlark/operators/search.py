@@ -26,6 +26,7 @@ VECTOR_LIMIT = 10
 RESULT_LIMIT = 10
 SUMMARY_PER_COLLECTION = 5
 MIN_SCORED_LENGTH = 3
+SLICE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -117,13 +118,20 @@ def embed(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder() if encoder else (lambda texts: [hash_vector(t) for t in texts])
-        for batch in batches:
-            texts = batch[text_column].fillna("").tolist()
-            yield batch.assign(**{output: list(encode(texts))})
+        for part in _slices(batches):
+            texts = part[text_column].fillna("").tolist()
+            yield part.assign(**{output: list(encode(texts))})
 
     return df.mapInPandas(run, schema)
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = SLICE_ROWS) -> Iterator[pd.DataFrame]:
+    """Arrow batches in pieces: a vector is often larger than the text it stands for."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
 def vector_search(
     query_vector,
     tables: dict[str, Collection],
@@ -247,18 +255,24 @@ def _scorer(shared, k: int, query_id: str, doc_id: str, vector_column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, unit = shared.value
         kept: list[list] = [[] for _ in ids]
-        for batch in batches:
-            batch = batch[batch[vector_column].map(lambda v: v is not None and len(v) > 0)]
-            if batch.empty:
+        worst = np.full(len(ids), -np.inf)  # score a document needs to enter a query's list
+        for part in _slices(batches):
+            part = part[part[vector_column].map(lambda v: v is not None and len(v) > 0)]
+            if part.empty:
                 continue
-            batch = batch.sort_values(doc_id)  # ties go to the smaller id
-            docs, usable = _unit_rows(_matrix(batch[vector_column]))
-            names = batch[doc_id].to_numpy()[usable]
+            part = part.sort_values(doc_id)  # ties go to the smaller id
+            docs, usable = _unit_rows(_matrix(part[vector_column]))
+            names = part[doc_id].to_numpy()[usable]
             # scores are compared at six places, like everywhere else
             scores = np.round(unit @ docs.T, V.SCORE_PLACES) + 0.0
-            for q, row in enumerate(scores):
+            if not scores.size:
+                continue
+            for q in np.flatnonzero(scores.max(axis=1) >= worst):
+                row = scores[q]
                 best = [(-row[i], names[i]) for i in _top(row, k)]
                 kept[q] = heapq.nsmallest(k, kept[q] + best)
+                if len(kept[q]) == k:
+                    worst[q] = -kept[q][-1][0]
         out = [(ids[q], doc, -s) for q, best in enumerate(kept) for s, doc in best]
         if out:
             yield pd.DataFrame(out, columns=[query_id, doc_id, "score"])
