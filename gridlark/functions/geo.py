@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridlark.functions.conditions import limits, literal
+
 # Cell edges and letters of the banded grid, conversion factors.
 BAND_PREFIX = "33T"
 BAND_COLUMNS = ((35.75, "W"), (36.25, "X"), (None, "Y"))
@@ -13,34 +15,27 @@ KNOTS_TO_KPH = 1.852
 FEET_TO_METRES = 0.3048
 
 
-def _banded(col: Column, bands) -> Column:
-    *edges, (_, rest) = bands
-    out = None
-    for edge, letter in edges:
-        cond = col < F.lit(edge)
-        out = F.when(cond, letter) if out is None else out.when(cond, letter)
-    return out.otherwise(rest)
-
-
-def _degrees(col: Column, size: int = 1) -> Column:
-    scaled = col if size == 1 else col / F.lit(float(size))
-    return scaled.cast("int").cast("string")
+def _degrees(column: str, size: int = 1) -> str:
+    scaled = column if size == 1 else f"{column} / {literal(float(size))}"
+    return f"cast(cast({scaled} AS int) AS string)"
 
 
-def grid_square(lat: Column, lon: Column, scheme: str) -> Column:
-    """Name of the cell that holds a point.
+def grid_square(lat: str, lon: str, scheme: str) -> Column:
+    """Name of the cell that holds a point, given the columns of its coordinates.
 
     ``band``: six lettered cells. ``degree``: truncated degrees written side by side;
     kept for compatibility, it is ambiguous ("12"+"3" = "1"+"23"). ``five_degree``:
     truncated five-degree cells. The degree schemes give NULL for a NULL coordinate.
     """
     if scheme == "band":
-        return F.concat(F.lit(BAND_PREFIX), _banded(lon, BAND_COLUMNS), _banded(lat, BAND_ROWS))
-    if scheme == "degree":
-        return F.concat(_degrees(lat), _degrees(lon))
-    if scheme == "five_degree":
-        return F.concat(F.lit("GRID-"), _degrees(lat, 5), F.lit("-"), _degrees(lon, 5))
-    raise ValueError(f"unknown grid scheme {scheme!r}")
+        parts = [literal(BAND_PREFIX), limits(lon, BAND_COLUMNS, "<"), limits(lat, BAND_ROWS, "<")]
+    elif scheme == "degree":
+        parts = [_degrees(lat), _degrees(lon)]
+    elif scheme == "five_degree":
+        parts = ["'GRID-'", _degrees(lat, 5), "'-'", _degrees(lon, 5)]
+    else:
+        raise ValueError(f"unknown grid scheme {scheme!r}")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def knots_to_kph(col: Column) -> Column:
@@ -51,10 +46,8 @@ def feet_to_metres(col: Column) -> Column:
     return col * F.lit(FEET_TO_METRES)
 
 
-def geo_point(lat: Column, lon: Column) -> Column:
+def geo_point(lat: str, lon: str) -> Column:
     """GeoJSON point; longitude comes first."""
-    zero = F.lit(0.0)
-    return F.struct(
-        F.lit("Point").alias("type"),
-        F.array(F.coalesce(lon, zero), F.coalesce(lat, zero)).alias("coordinates"),
+    return F.expr(
+        f"named_struct('type', 'Point', 'coordinates', array(coalesce({lon}, 0D), coalesce({lat}, 0D)))"
     )

@@ -6,23 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def whole(col: Column) -> Column:
-    """Round to the nearest integer, as BIGINT."""
-    return F.round(col).cast("bigint")
-
-
-def round_stat(col: Column, places: int) -> Column:
+def stat_sql(expr: str, places: int) -> str:
     """Round an aggregate so that the answer does not depend on summation order.
 
     A double average differs in its last bits with the order in which partitions
     are merged. Going through a fixed-point value first makes ties stable.
     """
-    return F.round(col.cast("decimal(28,6)"), places).cast("double")
+    return f"cast(round(cast({expr} AS decimal(28,6)), {places}) AS double)"
 
 
-def count_where(cond: Column) -> Column:
-    """Number of rows for which ``cond`` is true (0, never NULL)."""
-    return F.count_if(cond)
+def round_stat(col: Column, places: int) -> Column:
+    return F.round(col.cast("decimal(28,6)"), places).cast("double")
 
 
 def ratio(num: Column, den: Column) -> Column:

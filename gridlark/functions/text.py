@@ -7,7 +7,7 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlark.functions.numbers import whole
+from gridlark.functions.conditions import literal
 
 
 def join_text(*parts: Column) -> Column:
@@ -15,24 +15,38 @@ def join_text(*parts: Column) -> Column:
     return F.concat_ws("", *[p.cast("string") for p in parts])
 
 
-def _field(name: str, spec: str) -> Column:
+def fixed_sql(expr: str, places: int) -> str:
+    """``12345.6`` -> ``12345.60``: fixed places, half to even, without thousands separators."""
+    return f"translate(format_number(cast({expr} AS double), {places}), ',', '')"
+
+
+def _field(name: str, spec: str) -> str:
     name, _, fallback = name.partition("|")
-    col = F.col(name)
     if spec == "whole":
-        col = whole(col).cast("string")
+        out = f"cast(cast(round({name}) AS bigint) AS string)"
     elif spec == "trunc":
-        col = col.cast("int").cast("string")
+        out = f"cast(cast({name} AS int) AS string)"
     elif spec == "grouped":
-        col = grouped(col)
+        out = f"format_number({name}, 0)"
     elif spec[:1] == "r":
-        col = F.round(col, int(spec[1:])).cast("string")
+        out = f"cast(round({name}, {int(spec[1:])}) AS string)"
     elif spec[:1] == "f":
-        col = fixed(F.coalesce(col, F.lit(0.0)), int(spec[1:]))
+        out = fixed_sql(f"coalesce({name}, 0D)", int(spec[1:]))
     elif spec:
         raise ValueError(f"unknown format {spec!r} for {name!r}")
     else:
-        col = col.cast("string")
-    return F.coalesce(col, F.lit(fallback)) if fallback else col
+        out = f"cast({name} AS string)"
+    return f"coalesce({out}, {literal(fallback)})" if fallback else out
+
+
+def template_sql(pattern: str) -> str:
+    parts: list[str] = []
+    for text, name, spec, _ in Formatter().parse(pattern):
+        if text:
+            parts.append(literal(text))
+        if name is not None:
+            parts.append(_field(name, spec or ""))
+    return f"concat_ws('', {', '.join(parts)})"
 
 
 def template(pattern: str) -> Column:
@@ -43,23 +57,7 @@ def template(pattern: str) -> Column:
     ``grouped`` = integer with thousands separators. A NULL without a fallback
     contributes nothing.
     """
-    parts: list[Column] = []
-    for literal, name, spec, _ in Formatter().parse(pattern):
-        if literal:
-            parts.append(F.lit(literal))
-        if name is not None:
-            parts.append(_field(name, spec or ""))
-    return F.concat_ws("", *parts)
-
-
-def grouped(col: Column, places: int = 0) -> Column:
-    """``12345.6`` -> ``12,346``."""
-    return F.format_number(col, places)
-
-
-def fixed(col: Column, places: int) -> Column:
-    """``12345.6`` -> ``12345.60``: fixed places, half to even, without thousands separators."""
-    return F.translate(F.format_number(col.cast("double"), places), ",", "")
+    return F.expr(template_sql(pattern))
 
 
 def padded_index(col: Column, width: int = 3) -> Column:

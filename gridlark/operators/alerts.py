@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.conditions import is_in, ladder
-from gridlark.functions.text import join_text, template
+from gridlark.functions.conditions import is_in, ladder, literal, steps_sql
+from gridlark.functions.text import template, template_sql
 from gridlark.plans.profiles import ALERTS, BREAKOUTS, AlertRule
 
 ALERT_COLUMNS = (
@@ -21,13 +21,11 @@ MESSAGE_INPUTS = {"flight_level": lambda: F.col("altitude_ft") / 100.0}
 
 def breakout(enriched: DataFrame, name: str) -> DataFrame:
     """Rows of an enriched stream that belong to a named breakout."""
-    return enriched.where(BREAKOUTS[name][1]())
+    return enriched.where(BREAKOUTS[name][1])
 
 
-def _severity(rule: AlertRule) -> Column:
-    if rule.severity_column:
-        return F.col(rule.severity_column)
-    return ladder(rule.tiers, rule.otherwise)
+def _severity(rule: AlertRule) -> str:
+    return rule.severity_column or steps_sql(rule.tiers, literal(rule.otherwise))
 
 
 def _with_inputs(df: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
@@ -38,8 +36,8 @@ def _with_inputs(df: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
 def alert(df: DataFrame, rule: AlertRule) -> DataFrame:
     """One alert stream with the columns of its rule."""
     kept = [F.col(c).alias(rule.renames.get(c, c)) for c in rule.keep]
-    severity = [] if "severity" in rule.keep else [_severity(rule).alias("severity")]
-    return _with_inputs(df, [rule]).where(rule.when()).select(
+    severity = [] if "severity" in rule.keep else [F.expr(_severity(rule)).alias("severity")]
+    return _with_inputs(df, [rule]).where(rule.when).select(
         *kept,
         F.lit(rule.alert_type).alias("alert_type"),
         *severity,
@@ -52,27 +50,21 @@ def alert_for(df: DataFrame, profile: str, name: str) -> DataFrame:
     return alert(df, ALERTS[profile][name])
 
 
-def _alert_id(rule: AlertRule) -> Column:
-    parts = [F.lit(rule.prefix), F.col(rule.entity)]
-    if rule.id_has_time:
-        parts += [F.lit("-"), F.col("timestamp")]
-    return join_text(*parts)
-
-
-def _common_row(rule: AlertRule) -> Column:
+def _common_row(rule: AlertRule) -> str:
     """The rule's alert as a struct in the common schema, NULL where it does not fire."""
-    row = F.struct(
-        _alert_id(rule).alias("alert_id"),
-        F.lit(rule.alert_type).alias("alert_type"),
-        _severity(rule).alias("severity"),
-        template(rule.message).alias("alert_message"),
-        F.col(rule.entity).alias("entity_id"),
-        F.col(rule.grid).alias("grid_square"),
-        F.col(rule.lat).alias("lat"),
-        F.col(rule.lon).alias("lon"),
-        F.col("timestamp").alias("timestamp"),
-    )
-    return F.when(rule.when(), row)
+    fields = {
+        "alert_id": template_sql(rule.prefix + "{" + rule.entity + "}" + ("-{timestamp}" if rule.id_has_time else "")),
+        "alert_type": literal(rule.alert_type),
+        "severity": _severity(rule),
+        "alert_message": template_sql(rule.message),
+        "entity_id": rule.entity,
+        "grid_square": rule.grid,
+        "lat": rule.lat,
+        "lon": rule.lon,
+        "timestamp": "timestamp",
+    }
+    row = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    return f"CASE WHEN {rule.when} THEN named_struct({row}) END"
 
 
 def alerts_one_pass(df: DataFrame, rules: Iterable[AlertRule], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -80,17 +72,22 @@ def alerts_one_pass(df: DataFrame, rules: Iterable[AlertRule], keep: tuple[str,
     names input columns to carry along (event time, in a stream).
 
     A UNION ALL of one filter per rule would read and enrich the input once per rule.
+    The rows of rules that did not fire are dropped after the explode rather than with a
+    higher-order filter on the array: explode and filter stay inside generated code.
     """
     rules = list(rules)
-    fired = F.array_compact(F.array(*[_common_row(r) for r in rules]))
-    return _with_inputs(df, rules).select(F.explode(fired).alias("a"), *keep).select("a.*", *keep)
+    rows = F.expr("array(" + ", ".join(_common_row(r) for r in rules) + ")")
+    exploded = _with_inputs(df, rules).select(F.explode(rows).alias("a"), *keep)
+    return exploded.where("a IS NOT NULL").select("a.*", *keep)
 
 
 def alerts_by_union(df: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
     """Same rows, one branch per rule; kept to check the single pass against."""
     out = None
     for rule in rules:
-        branch = _with_inputs(df, [rule]).where(rule.when()).select(_common_row(rule).alias("a")).select("a.*")
+        branch = _with_inputs(df, [rule]).where(rule.when).select(
+            F.expr(_common_row(rule)).alias("a")
+        ).select("a.*")
         out = branch if out is None else out.unionByName(branch)
     return out
 

@@ -164,7 +164,7 @@ def build_documents(df: DataFrame, kind: str) -> DataFrame:
     return rows.select(
         *flat,
         *extra,
-        geo_point(F.col(spec.lat), F.col(spec.lon)).alias("location"),
+        geo_point(spec.lat, spec.lon).alias("location"),
         F.rtrim(template(LINE.join(spec.lines)), F.lit(BLANKS)).alias("rag_text"),
         metadata.alias("rag_metadata"),
     )

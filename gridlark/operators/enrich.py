@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.conditions import contains_any, is_in, ladder, lookup, starts_with_any
+from gridlark.functions.conditions import contains_any, is_in, ladder, limits, lookup, starts_with_any
 from gridlark.functions.geo import grid_square
 from gridlark.functions.numbers import ratio
+from gridlark.functions.text import template
 from gridlark.plans import profiles as P
 from gridlark.sources.schemas import stream_columns
 
@@ -25,7 +26,7 @@ def _columns(stream: str, drop=(), add=()) -> list[str]:
 
 
 def _grid(profile: str, lat: str = "lat", lon: str = "lon") -> Column:
-    return grid_square(F.col(lat), F.col(lon), P.GRID_SCHEME[profile])
+    return grid_square(lat, lon, P.GRID_SCHEME[profile])
 
 
 # --- ground units --------------------------------------------------------------------
@@ -82,8 +83,7 @@ def enrich_aircraft(df: DataFrame, profile: str = "current") -> DataFrame:
     if profile == "clean":
         return _project(df, _columns("aircraft", ("weapons",)), computed)
     computed = {
-        "track_id": F.concat_ws("-", F.coalesce("country", F.lit("")), F.coalesce("aircraft_type", F.lit("")),
-                                F.coalesce("tail_number", F.lit(""))),
+        "track_id": template("{country}-{aircraft_type}-{tail_number}"),
         **computed,
         "posture": ladder(*P.FLIGHT_POSTURE),
     }
@@ -101,8 +101,8 @@ def enrich_sigint(df: DataFrame, profile: str = "current") -> DataFrame:
     }.get(profile, _columns("sigint", brief))
     computed = {
         "grid_square": _grid(profile),
-        "is_air_defense": F.coalesce(
-            contains_any("emitter_classification", *P.AIR_DEFENSE_MARKS[profile])(), F.lit(False)
+        "is_air_defense": ladder(
+            [(contains_any("emitter_classification", *P.AIR_DEFENSE_MARKS[profile]), True)], False
         ),
         "threat_score": lookup("threat_level", P.SIGNAL_LEVEL_SCORES[profile], P.LOWEST_SCORE),
     }
@@ -142,15 +142,6 @@ def enrich_sigint_context(enriched: DataFrame) -> DataFrame:
 
 
 # --- imagery -------------------------------------------------------------------------
-def _resolution_factor() -> Column:
-    *steps, (_, rest) = P.RESOLUTION_FACTORS
-    out = None
-    for limit, factor in steps:
-        cond = F.col("resolution_m") <= F.lit(limit)
-        out = F.when(cond, factor) if out is None else out.when(cond, factor)
-    return out.otherwise(rest)
-
-
 def enrich_satellite(df: DataFrame, profile: str = "current") -> DataFrame:
     clear = F.lit(1.0) - F.col("cloud_cover_pct") / 100.0
     seen = F.col("quality_score") * 100.0 * clear
@@ -159,12 +150,8 @@ def enrich_satellite(df: DataFrame, profile: str = "current") -> DataFrame:
         # a resolution of zero has no finite score: NULL instead of a failed job
         computed["isr_effectiveness"] = seen * (ratio(F.lit(1.0), F.col("resolution_m")) * 10.0)
         return _project(df, _columns("satellite"), computed)
-    computed["isr_effectiveness"] = F.round(seen * _resolution_factor(), 1)
-    cloud = F.col("cloud_cover_pct")
-    quality = F.when(cloud > P.COVERAGE_POOR_CLOUD, "POOR").when(cloud > P.COVERAGE_MODERATE_CLOUD, "MODERATE")
-    if profile in P.COVERAGE_MODERATE_QUALITY:
-        quality = quality.when(F.col("quality_score") < P.COVERAGE_MODERATE_QUALITY[profile], "MODERATE")
-    computed["coverage_quality"] = quality.otherwise("GOOD")
+    computed["isr_effectiveness"] = F.round(seen * F.expr(limits("resolution_m", P.RESOLUTION_FACTORS)), 1)
+    computed["coverage_quality"] = ladder(*P.COVERAGE_LABELS[profile])
     extra = (
         ("acquisition_time", "sun_elevation_deg", "off_nadir_angle_deg", "processing_status")
         if profile == "classic"
@@ -178,30 +165,12 @@ def enrich_satellite_pass(enriched: DataFrame) -> DataFrame:
 
 
 # --- interference, vessels, cyber, emitter tracks --------------------------------------
-def _accuracy_label() -> Column:
-    *steps, (_, rest) = P.ACCURACY_LABELS
-    out = None
-    for limit, label in steps:
-        cond = F.col("cep_km") <= F.lit(limit)
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out.otherwise(rest)
-
-
 def enrich_jsir(df: DataFrame) -> DataFrame:
-    severe = F.coalesce(is_in("mission_impact", *P.SEVERE_IMPACTS)(), F.lit(False))
-    moderate = is_in("mission_impact", *P.MODERATE_IMPACTS)()
-    label = P.RESPONSE_LABELS
-    response = (
-        F.when(severe & (F.col("cep_km") <= P.RESPONSE_ACCURACY_KM), label["severe_located"])
-        .when(severe, label["severe"])
-        .when(moderate, label["moderate"])
-        .otherwise(label["other"])
-    )
     computed = {
-        "jammer_grid": grid_square(F.col("jammer_lat"), F.col("jammer_lon"), "degree"),
+        "jammer_grid": grid_square("jammer_lat", "jammer_lon", "degree"),
         "severity": ladder(*P.IMPACT_SEVERITY),
-        "strike_viability": _accuracy_label(),
-        "recommended_response": response,
+        "strike_viability": F.expr(limits("cep_km", P.ACCURACY_LABELS)),
+        "recommended_response": ladder(*P.RESPONSE_LABELS),
     }
     return _project(df, _columns("jsir"), computed)
 

@@ -136,7 +136,7 @@ def ground_tracks(gps: DataFrame) -> DataFrame:
         "lat", "lon", "heading_deg", "speed_kph", "altitude_m",
         F.col("mission_status").alias("status"),
         "timestamp",
-        grid_square(F.col("lat"), F.col("lon"), "band").alias("grid_square"),
+        grid_square("lat", "lon", "band").alias("grid_square"),
     )
 
 
@@ -156,7 +156,7 @@ def _moving_tracks(joined, track_id, kind, number, track_type, domain, altitude,
         altitude.alias("altitude_m"),
         "status",
         "timestamp",
-        grid_square(F.col("final_lat"), F.col("final_lon"), "band").alias("grid_square"),
+        grid_square("final_lat", "final_lon", "band").alias("grid_square"),
     )
 
 

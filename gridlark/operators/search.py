@@ -11,10 +11,12 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlark.functions import vectors as V
 from gridlark.operators.state import merge_first_wins
@@ -106,6 +108,17 @@ def hash_vector(text: str, dimensions: int = V.HASH_DIMENSIONS) -> np.ndarray:
     return (raw.astype(np.float64) - 128.0) / 128.0
 
 
+def _as_lists(matrix: np.ndarray) -> pa.Array:
+    rows, width = matrix.shape
+    offsets = pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1)))
+
+
+def _hash_batch(texts: pa.Array) -> pa.Array:
+    vectors = [hash_vector(t or "") for t in texts.to_pylist()]
+    return _as_lists(np.stack(vectors) if vectors else np.empty((0, V.HASH_DIMENSIONS)))
+
+
 def embed(
     df: DataFrame,
     text_column: str,
@@ -113,23 +126,45 @@ def embed(
     output: str = "embedding",
 ) -> DataFrame:
     """Encode the text of every row, batch by batch. The factory runs once per task, so a
-    model is loaded where it is used. Default: the hash embedding."""
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
+    model is loaded where it is used. Default: the hash embedding.
+
+    A column rather than a map over the rows: only the text travels to Python, and the
+    column is pruned where nothing reads it.
+    """
+    if encoder is None:
+        encode = F.arrow_udf(_hash_batch, "array<double>")
+    else:
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder() if encoder else (lambda texts: [hash_vector(t) for t in texts])
-        for part in _slices(batches):
-            texts = part[text_column].fillna("").tolist()
-            yield part.assign(**{output: list(encode(texts))})
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = encoder()
+            for texts in batches:
+                yield pa.array([list(v) for v in model([t or "" for t in texts.to_pylist()])], pa.list_(pa.float64()))
 
-    return df.mapInPandas(run, schema)
+        encode = F.arrow_udf(run, "array<double>")
+    return df.withColumn(output, encode(text_column))
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = SLICE_ROWS) -> Iterator[pd.DataFrame]:
-    """Arrow batches in pieces: a vector is often larger than the text it stands for."""
-    for batch in batches:
-        for start in range(0, len(batch), rows):
-            yield batch.iloc[start : start + rows]
+def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow list column as a matrix, and which rows had one of that width."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    width = width or int(lengths.max(initial=0))
+    usable = (lengths == width) & (width > 0)
+    values = column.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64).reshape(-1, max(width, 1)), usable
+
+
+def _cosine_to(query: np.ndarray):
+    """Column function: cosine of a vector column with one query; NULL without a length."""
+    length = float(np.sqrt((query * query).sum()))
+
+    def run(column: pa.Array) -> pa.Array:
+        scores = np.full(len(column), np.nan)
+        docs, usable = _matrix(column, len(query))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores[usable] = (docs @ query) / (np.sqrt((docs * docs).sum(axis=1)) * length)
+        return pa.array(scores, mask=~np.isfinite(scores))
+
+    return F.arrow_udf(run, "double")
 
 
 def vector_search(
@@ -143,21 +178,20 @@ def vector_search(
 
     There is no candidate cap: each task keeps its own best k, so only k rows per task travel.
     """
-    literal = V.vector_literal(query_vector)
+    similarity = _cosine_to(np.asarray(query_vector, dtype=np.float64))
     out = None
     for place, (name, table) in enumerate(tables.items()):
         usable = table.df.where(where) if where is not None else table.df
-        usable = usable.where(F.size(vector_column) > 0)
-        score = V.score(V.cosine(literal, F.col(vector_column)))
         source = Collection(usable, table.id_column, table.text_column, table.merge_id, table.line)
-        part = _hits(name, place, source, score).where(F.col("score").isNotNull())
+        part = _hits(name, place, source, V.score(similarity(vector_column)))
         out = part if out is None else out.unionByName(part)
-    return _best(out, k)
+    # rows without a score come last: dropping them after the limit keeps the scoring to one pass
+    return _best(out, k).where("score IS NOT NULL")
 
 
 def index_score(similarity: Column) -> Column:
     """Score as a vector index reports it: cosine mapped to 0..1."""
-    return V.score((similarity + 1.0) / 2.0)
+    return (similarity + 1.0) / 2.0
 
 
 def semantic_search(query: str, tables: dict[str, Collection], k: int = VECTOR_LIMIT) -> DataFrame:
@@ -170,16 +204,12 @@ QUERY_BLOCK_BYTES = 64 << 20
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length one, and which rows had a length at all."""
+    """Rows scaled to length one, and which rows had a finite length at all."""
     length = np.sqrt((matrix * matrix).sum(axis=1))
-    usable = length > 0
+    usable = np.isfinite(length) & (length > 0)
     return matrix[usable] / length[usable, None], usable
 
 
-def _matrix(values) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in values])
-
-
 def vector_search_batch(
     queries: DataFrame,
     docs: DataFrame,
@@ -209,7 +239,7 @@ def vector_search_batch(
     out = None
     for block in _blocks(queries.select(query_id, vector_column), query_id, vector_column, block_bytes):
         shared = context.broadcast(block)
-        part = slim.mapInPandas(_scorer(shared, k, query_id, doc_id, vector_column), partial)
+        part = slim.mapInArrow(_scorer(shared, k, to_arrow_schema(partial)), partial)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], partial)
@@ -224,7 +254,7 @@ def _blocks(queries: DataFrame, query_id: str, vector_column: str, block_bytes:
     ids, rows, size = [], [], 0
 
     def packed():
-        unit, usable = _unit_rows(_matrix(rows))
+        unit, usable = _unit_rows(np.vstack(rows))
         return [q for q, good in zip(ids, usable) if good], unit
 
     for row in queries.toLocalIterator(prefetchPartitions=False):
@@ -251,31 +281,32 @@ def _top(row: np.ndarray, k: int) -> np.ndarray:
     return candidates[np.argsort(-row[candidates], kind="stable")][:k]
 
 
-def _scorer(shared, k: int, query_id: str, doc_id: str, vector_column: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scorer(shared, k: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit = shared.value
         kept: list[list] = [[] for _ in ids]
         worst = np.full(len(ids), -np.inf)  # score a document needs to enter a query's list
-        for part in _slices(batches):
-            part = part[part[vector_column].map(lambda v: v is not None and len(v) > 0)]
-            if part.empty:
-                continue
-            part = part.sort_values(doc_id)  # ties go to the smaller id
-            docs, usable = _unit_rows(_matrix(part[vector_column]))
-            names = part[doc_id].to_numpy()[usable]
-            # scores are compared at six places, like everywhere else
-            scores = np.round(unit @ docs.T, V.SCORE_PLACES) + 0.0
-            if not scores.size:
-                continue
-            for q in np.flatnonzero(scores.max(axis=1) >= worst):
-                row = scores[q]
-                best = [(-row[i], names[i]) for i in _top(row, k)]
-                kept[q] = heapq.nsmallest(k, kept[q] + best)
-                if len(kept[q]) == k:
-                    worst[q] = -kept[q][-1][0]
-        out = [(ids[q], doc, -s) for q, best in enumerate(kept) for s, doc in best]
-        if out:
-            yield pd.DataFrame(out, columns=[query_id, doc_id, "score"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                vectors, present = _matrix(part.column(1), unit.shape[1])
+                docs, usable = _unit_rows(vectors)
+                if not len(docs):
+                    continue
+                names = part.column(0).filter(pa.array(present)).to_numpy(zero_copy_only=False)[usable]
+                order = np.argsort(names, kind="stable")  # ties go to the smaller id
+                names, docs = names[order], docs[order]
+                # scores are compared at six places, like everywhere else
+                scores = np.round(unit @ docs.T, V.SCORE_PLACES) + 0.0
+                for q in np.flatnonzero(scores.max(axis=1) >= worst):
+                    best = [(-scores[q, i], names[i]) for i in _top(scores[q], k)]
+                    kept[q] = heapq.nsmallest(k, kept[q] + best)
+                    if len(kept[q]) == k:
+                        worst[q] = -kept[q][-1][0]
+        found = [(ids[q], doc, -s) for q, best in enumerate(kept) for s, doc in best]
+        if found:
+            columns = [pa.array(c, t) for c, t in zip(map(list, zip(*found)), schema.types)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 

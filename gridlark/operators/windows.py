@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.conditions import is_in
-from gridlark.functions.numbers import count_where, round_stat
+from gridlark.functions.numbers import stat_sql
 from gridlark.plans.profiles import SEVERE_IMPACTS
 
-Metric = Callable[[bool], Column]  # argument: is the input a stream?
-
 # Window sizes in minutes.
 GRID_MINUTES = 5
 INTERFERENCE_MINUTES = 15
@@ -39,56 +37,54 @@ def flatten_window(df: DataFrame) -> DataFrame:
     )
 
 
-# --- metric vocabulary -----------------------------------------------------------------
-def _rows() -> Metric:
-    return lambda streaming: F.count(F.lit(1))
+# --- metric vocabulary (SQL aggregates as text) ---------------------------------------------
+ROWS = "count(1)"
 
 
-def _avg(column: str, places: int = 1) -> Metric:
-    return lambda streaming: round_stat(F.avg(column), places)
+def _avg(column: str, places: int = 1) -> str:
+    return stat_sql(f"avg({column})", places)
 
 
-def _low(column: str, places: int = 1) -> Metric:
-    return lambda streaming: round_stat(F.min(column), places)
+def _low(column: str, places: int = 1) -> str:
+    return stat_sql(f"min({column})", places)
 
 
-def _high(column: str, places: int | None = None) -> Metric:
-    if places is None:
-        return lambda streaming: F.max(column)
-    return lambda streaming: round_stat(F.max(column), places)
+def _high(column: str, places: int | None = None) -> str:
+    return f"max({column})" if places is None else stat_sql(f"max({column})", places)
 
 
-def _sum(column: str) -> Metric:
-    return lambda streaming: F.sum(F.col(column).cast("bigint"))
+def _sum(column: str) -> str:
+    return f"sum(cast({column} AS bigint))"
 
 
-def _count_if(make: Callable[[], Column]) -> Metric:
-    return lambda streaming: count_where(make())
+def _count_if(cond: str) -> str:
+    return f"count_if({cond})"
 
 
-def _distinct(column: str) -> Metric:
-    """Exact distinct count; streaming aggregation keeps the set instead of a distinct shuffle."""
-    return lambda streaming: (
-        F.size(F.collect_set(column)).cast("bigint") if streaming else F.count_distinct(column)
-    )
+def _distinct(column: str) -> str:
+    return f"count(DISTINCT {column})"
 
 
-def _flag(make: Callable[[], Column]) -> Metric:
-    return lambda streaming: F.max(F.when(make(), 1).otherwise(0))
+def _flag(cond: str) -> str:
+    return f"max(CASE WHEN {cond} THEN 1 ELSE 0 END)"
 
 
-def _latest(column: str) -> Metric:
+def _latest(column: str) -> str:
     """Last non-NULL value by event time, arrival number breaking ties."""
-    order = lambda: F.when(F.col(column).isNotNull(), F.struct("timestamp", "seq"))
-    return lambda streaming: F.max_by(F.col(column), order())
+    return f"max_by({column}, CASE WHEN {column} IS NOT NULL THEN struct(timestamp, seq) END)"
+
+
+def _streamable(metric: str) -> str:
+    """Streams cannot shuffle for a distinct count: they keep the set of values instead."""
+    return re.sub(r"count\(DISTINCT (\w+)\)", r"cast(size(collect_set(\1)) AS bigint)", metric)
 
 
 _EFFECT_READY = _count_if(is_in("combat_effectiveness", "COMBAT_READY"))
 _ENGAGED = _count_if(is_in("mission_status", "ENGAGED"))
 
-METRICS: dict[str, dict[str, Metric]] = {
+METRICS: dict[str, dict[str, str]] = {
     "grid_force": {
-        "unit_count": _rows(),
+        "unit_count": ROWS,
         "avg_readiness": _avg("readiness_score"),
         "min_readiness": _low("readiness_score"),
         "combat_ready_count": _EFFECT_READY,
@@ -101,17 +97,17 @@ METRICS: dict[str, dict[str, Metric]] = {
         "min_ammo": _low("ammo_level_pct"),
     },
     "grid_threat": {
-        "intercept_count": _rows(),
+        "intercept_count": ROWS,
         "unique_emitters": _distinct("emitter_classification"),
         "max_threat_score": _high("threat_score"),
         "avg_threat_score": _avg("threat_score"),
         "avg_signal_strength": _avg("signal_strength_dbm"),
         "critical_threats": _count_if(is_in("threat_level", "CRITICAL")),
         "high_threats": _count_if(is_in("threat_level", "HIGH")),
-        "air_defense_count": _count_if(lambda: F.col("is_air_defense")),
+        "air_defense_count": _count_if("is_air_defense"),
     },
     "grid_isr": {
-        "image_count": _rows(),
+        "image_count": ROWS,
         "satellites_covering": _distinct("source_id"),
         "sensor_types": _distinct("sensor_type"),
         "avg_effectiveness": _avg("isr_effectiveness"),
@@ -121,7 +117,7 @@ METRICS: dict[str, dict[str, Metric]] = {
         "good_coverage_count": _count_if(is_in("coverage_quality", "GOOD")),
     },
     "force_composition": {
-        "unit_count": _rows(),
+        "unit_count": ROWS,
         "avg_readiness": _avg("readiness_score"),
         "total_personnel": _sum("personnel_count"),
         "avg_fuel": _avg("fuel_level_pct"),
@@ -130,7 +126,7 @@ METRICS: dict[str, dict[str, Metric]] = {
         "combat_ready": _EFFECT_READY,
     },
     "hostile_aircraft": {
-        "aircraft_count": _rows(),
+        "aircraft_count": ROWS,
         "aircraft_types": _distinct("aircraft_type"),
         "intercepting": _count_if(is_in("status", "INTERCEPT")),
         "on_strike": _count_if(is_in("status", "STRIKE")),
@@ -140,13 +136,13 @@ METRICS: dict[str, dict[str, Metric]] = {
         "avg_speed_kts": _avg("speed_kts", 0),
     },
     "active_threats": {
-        "threat_count": _rows(),
+        "threat_count": ROWS,
         "max_threat": _high("threat_score"),
         "primary_threat": _latest("emitter_classification"),
         "highest_threat_level": _latest("threat_level"),
     },
     "jammers_country": {
-        "incident_count": _rows(),
+        "incident_count": ROWS,
         "unique_systems": _distinct("jammer_system"),
         "satellites_targeted": _distinct("target_satellite"),
         "total_affected_units": _sum("affected_unit_count"),
@@ -154,7 +150,7 @@ METRICS: dict[str, dict[str, Metric]] = {
         "avg_geolocation_accuracy": _avg("cep_km", 2),
     },
     "satcom_status": {
-        "jamming_incidents": _rows(),
+        "jamming_incidents": ROWS,
         "attacking_countries": _distinct("jammer_country"),
         "total_affected_units": _sum("affected_unit_count"),
         "avg_degradation": _avg("comms_degradation_pct"),
@@ -169,7 +165,7 @@ METRICS: dict[str, dict[str, Metric]] = {
         "strike_lon": _latest("strike_coords_lon"),
         "latest_cep_km": _latest("cep_km"),
         "viability": _latest("strike_viability"),
-        "incident_count": _rows(),
+        "incident_count": ROWS,
         "caused_mission_impact": _flag(is_in("mission_impact", *SEVERE_IMPACTS)),
     },
 }
@@ -222,8 +218,8 @@ def windowed(df: DataFrame, name: str, key: str, minutes: int, profile: str | No
     results can be joined on (window, key) without another exchange."""
     metrics = METRICS[name]
     chosen = REPORTED.get((name, profile), tuple(metrics))
-    streaming = df.isStreaming
-    return df.groupBy(_window(minutes), key).agg(*[metrics[m](streaming).alias(m) for m in chosen])
+    prepared = {m: _streamable(metrics[m]) if df.isStreaming else metrics[m] for m in chosen}
+    return df.groupBy(_window(minutes), key).agg(*[F.expr(sql).alias(m) for m, sql in prepared.items()])
 
 
 def grid_force(enriched: DataFrame, profile: str = "classic") -> DataFrame:

@@ -617,7 +617,7 @@ register("emb_hash")(
     )
 )
 register("emb_batch")(
-    lambda s, d: _fingerprint(Q.embed(feeds.load(s, d, "documents").select("doc_id", "text"), "text"), "doc_id")
+    lambda s, d: _fingerprint(Q.embed(tables.spread(feeds.load(s, d, "documents").select("doc_id", "text")), "text"), "doc_id")
 )
 
 
@@ -698,7 +698,7 @@ def _collections(spark, sf_dir, vectors: bool = False) -> dict[str, Q.Collection
             "{attack_type} [{severity}] - {threat_actor} → {target_facility}",
         ),
         "kb_equipment": table(
-            _kb_equipment(spark, sf_dir), "equipment_id", "equipment_id",
+            tables.spread(_kb_equipment(spark, sf_dir)), "equipment_id", "equipment_id",
             "{name} ({equipment_type}) - {country_of_origin}",
         ),
         "kb_threat_actors": table(
@@ -760,7 +760,7 @@ def _many(spark, sf_dir):
 def _many_texts(spark, sf_dir):
     """Every benchmark text as a query against all whole documents."""
     queries = Q.embed(feeds.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
-    docs = Q.embed(feeds.load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = Q.embed(tables.spread(feeds.load(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     return Q.vector_search_batch(queries, docs, 10)
 
 
@@ -819,7 +819,7 @@ def _query_log(spark, sf_dir):
 
 # --- streaming -----------------------------------------------------------------------------------------------
 def _streams(spark, sf_dir, profile: str = "classic") -> streaming.Streams:
-    return streaming.Streams(streaming.file_stream(spark, f"{sf_dir}/events.parquet"), profile)
+    return streaming.Streams(streaming.file_stream(spark, f"{sf_dir}/events.parquet", feeds.TABLES["events"]), profile)
 
 
 def _state_partitions(spark) -> int:

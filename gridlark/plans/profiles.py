@@ -10,6 +10,7 @@ from gridlark.functions.conditions import (
     all_at_least,
     any_above,
     any_below,
+    at_most,
     both,
     contains_any,
     either,
@@ -117,9 +118,12 @@ EMISSION_POSTURE_DEFAULT = "SEARCH"
 
 # --- imagery -------------------------------------------------------------------------
 RESOLUTION_FACTORS = ((1.0, 1.0), (5.0, 0.7), (None, 0.4))
-COVERAGE_POOR_CLOUD = 70
-COVERAGE_MODERATE_CLOUD = 40
-COVERAGE_MODERATE_QUALITY = {"classic": 0.6}
+_CLOUDY = [(any_above(cloud_cover_pct=70), "POOR"), (any_above(cloud_cover_pct=40), "MODERATE")]
+COVERAGE_LABELS = {
+    "classic": ([*_CLOUDY, (any_below(quality_score=0.6), "MODERATE")], "GOOD"),
+    "setup": (_CLOUDY, "GOOD"),
+    "deploy": (_CLOUDY, "GOOD"),
+}
 
 # --- aircraft, vessels, cyber, interference ------------------------------------------
 IFF_CLASSES = {"HOSTILE": "HOSTILE", "UNKNOWN": "SUSPECT"}
@@ -161,13 +165,14 @@ ACCURACY_LABELS = (
     (5.0, "REQUIRES_REFINEMENT"),
     (None, "GEOLOCATION_INSUFFICIENT"),
 )
-RESPONSE_ACCURACY_KM = 3.0
-RESPONSE_LABELS = {
-    "severe_located": "KINETIC_STRIKE_RECOMMENDED",
-    "severe": "ADDITIONAL_GEOLOCATION_REQUIRED",
-    "moderate": "FREQUENCY_HOP_AND_MONITOR",
-    "other": "CONTINUE_MONITORING",
-}
+RESPONSE_LABELS = (
+    [
+        (both(is_in("mission_impact", *SEVERE_IMPACTS), at_most(cep_km=3)), "KINETIC_STRIKE_RECOMMENDED"),
+        (is_in("mission_impact", *SEVERE_IMPACTS), "ADDITIONAL_GEOLOCATION_REQUIRED"),
+        (is_in("mission_impact", *MODERATE_IMPACTS), "FREQUENCY_HOP_AND_MONITOR"),
+    ],
+    "CONTINUE_MONITORING",
+)
 
 CYBER_STATUS = (
     [
@@ -339,7 +344,7 @@ _FUEL_TIERS = (
 _ACTIVE = is_in("mission_status", "ENGAGED", "DEFENSIVE")
 _DOWN = ("DEGRADED", "OFFLINE")
 _BROKEN = ("NON_OPERATIONAL", "MAINTENANCE_REQUIRED")
-_THREAT_TIERS = _tiers(lambda **k: all_at_least(**k), "max_threat", CRITICAL=100, HIGH=75)
+_THREAT_TIERS = _tiers(all_at_least, "max_threat", CRITICAL=100, HIGH=75)
 _ZONE_KEEP = (
     *_UNIT, "lat", "lon", "mission_status", "readiness_score", "combat_effectiveness",
     "threat_count", "max_threat", "primary_threat",
@@ -348,17 +353,11 @@ _ZONE_KEEP = (
 
 def _zone(message):
     return AlertRule(
-        "threat_zone", "UNIT_UNDER_THREAT", _ZONE_KEEP, lambda: _always(), message,
+        "threat_zone", "UNIT_UNDER_THREAT", _ZONE_KEEP, "true", message,
         "unit_id", "PROXIM-", _THREAT_TIERS,
     )
 
 
-def _always():
-    from pyspark.sql import functions as F
-
-    return F.lit(True)
-
-
 # Alert types, thresholds and message formats, per profile.
 ALERTS: dict[str, dict[str, AlertRule]] = {
     "current": {

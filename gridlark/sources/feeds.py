@@ -5,14 +5,15 @@ Every view carries ``seq``, a unique arrival number that stands for the topic of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.functions.geo import feet_to_metres, knots_to_kph
+from gridlark.functions.conditions import literal
+from gridlark.functions.geo import FEET_TO_METRES, KNOTS_TO_KPH
 from gridlark.operators.derive import derive_embm_track
 
 EQUIPMENT = ("FULLY_OPERATIONAL", "DEGRADED", "MAINTENANCE_REQUIRED", "NON_OPERATIONAL")
 COMMS = ("NOMINAL", "DEGRADED", "OFFLINE", "JAMMING_DETECTED")
+MISSIONS = ("ENGAGED", "DEFENSIVE", "PATROL", "STANDBY")
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 ROLES = (
     "STEALTH", "AIR_SUPERIORITY", "STRIKE", "BOMBER", "STRATEGIC_BOMBER",
@@ -31,301 +32,303 @@ IMPACTS = (
 SITES = ("AA", "BB", "CC", "DD")
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
-def millis(col: Column) -> Column:
-    """Epoch milliseconds of a time; zone-less times are read in the session zone (UTC)."""
-    return F.unix_millis(col.cast("timestamp"))
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A supplied table with its declared schema: no job is spent on inferring it."""
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _pick(index: str, values) -> str:
+    return f"array({', '.join(literal(v) for v in values)})[cast({index} AS int)]"
+
+
+def _tag(prefix: str, expr: str) -> str:
+    return f"concat('{prefix}', cast({expr} AS string))"
+
+
+def _dbl(expr: str) -> str:
+    return f"cast({expr} AS double)"
+
+
+def _view(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
+
+
+# Zone-less times are read in the session zone, which is UTC.
+MILLIS = "unix_millis(cast(ts AS timestamp))"
+LAT = f"(43.5D + {_dbl('event_id % 160')} / 100D)"
+LON = f"(35.25D + {_dbl('event_id % 137')} / 100D)"
+FUEL = f"{_dbl('(event_id * 37) % 1000')} / 10D"
+AMMO = f"{_dbl('(event_id * 53) % 1000')} / 10D"
+FEET, KNOTS = _dbl("(event_id % 400) * 100"), _dbl("event_id % 600")
+LEVEL = _pick("(event_id div 3) % 4", LEVELS)
+ALLEGIANCE = _pick("(event_id div 2) % 3", IFF)
+
+GPS = {
+    "unit_id": f"concat({_pick('user_id % 5', ('AC-', 'SHIP-', 'FAC-', 'US-', 'UK-'))}, cast(user_id AS string))",
+    "unit_name": _tag("Unit ", "user_id"),
+    "unit_type": _pick("user_id % 4", ("ARMOR", "INFANTRY", "AVIATION", "MARINES")),
+    "timestamp": MILLIS,
+    "lat": LAT,
+    "lon": LON,
+    "heading_deg": _dbl("event_id % 360"),
+    "speed_kph": "value",
+    "altitude_m": _dbl("event_id % 3000"),
+    "fuel_level_pct": FUEL,
+    "ammo_level_pct": AMMO,
+    "personnel_count": "cast(event_id % 500 AS int)",
+    "equipment_status": _pick("(event_id div 7) % 4", EQUIPMENT),
+    "mission_status": _pick("(event_id div 13) % 4", MISSIONS),
+    "fuel_consumption_rate": f"{_dbl('(event_id div 3) % 8')} * 10D",
+    "comms_status": _pick("(event_id div 11) % 4", COMMS),
+    "seq": "event_id",
+}
+AIRCRAFT = {
+    "aircraft_id": "cast(user_id AS string)",
+    "tail_number": "cast(user_id AS string)",
+    "aircraft_type": _pick("(event_id div 4) % 3", ("TYPE-A", "TYPE-B", "TYPE-C")),
+    "role": _pick("(event_id div 3) % 9", ROLES),
+    "country": _pick("event_id % 4", SITES),
+    "weapons": _pick("event_id % 2", ("FIT-1", "FIT-2")),
+    "timestamp": MILLIS,
+    "lat": LAT,
+    "lon": LON,
+    "altitude_ft": FEET,
+    "altitude_m": f"{FEET} * {literal(FEET_TO_METRES)}",
+    "heading_deg": _dbl("event_id % 360"),
+    "speed_kts": KNOTS,
+    "speed_kph": f"{KNOTS} * {literal(KNOTS_TO_KPH)}",
+    "status": _pick("(event_id div 5) % 7", FLIGHT_STATUS),
+    "fuel_pct": FUEL,
+    "threat_level": LEVEL,
+    "iff_mode": ALLEGIANCE,
+    "seq": "event_id",
+}
+NAVAL = {
+    "vessel_id": "cast(user_id AS string)",
+    "hull_number": "cast(user_id AS string)",
+    "vessel_type": _pick("(event_id div 3) % 5", ("SUBMARINE", "DESTROYER", "CRUISER", "CARRIER", "TANKER")),
+    "vessel_class": _pick("(event_id div 7) % 3", ("CLASS-1", "CLASS-2", "CLASS-3")),
+    "displacement_tons": "cast((event_id % 1000) * 100 AS int)",
+    "country": _pick("event_id % 5", ("US", "RU", "CN", "IR", "AA")),
+    "weapons": _pick("event_id % 2", ("FIT-1", "FIT-2")),
+    "aircraft_capacity": "cast(event_id % 40 AS int)",
+    "timestamp": MILLIS,
+    "lat": LAT,
+    "lon": LON,
+    "heading_deg": _dbl("event_id % 360"),
+    "speed_kts": _dbl("event_id % 40"),
+    "status": _pick("(event_id div 5) % 4", ("UNDERWAY", "ANCHORED", "PATROL", "MOORED")),
+    "iff_mode": ALLEGIANCE,
+    "seq": "event_id",
+}
+CYBER = {
+    "incident_id": _tag("CYBER-", "event_id"),
+    "timestamp": MILLIS,
+    "threat_actor": _tag("ACTOR-", "event_id % 9"),
+    "actor_country": _pick("event_id % 5", ("RU", "CN", "IR", "KP", "AA")),
+    "sophistication": _pick("(event_id div 5) % 3", ("NATION_STATE", "APT", "OTHER")),
+    "attack_type": _pick("(event_id div 2) % 4", ("PHISHING", "RANSOMWARE", "DDOS", "INTRUSION")),
+    "severity": LEVEL,
+    "description": _tag("Report ", "event_id"),
+    "target_facility_id": _tag("FAC-", "user_id"),
+    "target_facility": _tag("Site ", "user_id"),
+    "target_system": _pick("event_id % 3", ("MAIL", "VPN", "HISTORIAN")),
+    "target_type": _pick("event_id % 2", ("IT", "OT")),
+    "target_region": _pick("event_id % 3", ("NORTH", "SOUTH", "EAST")),
+    "target_country": "'AA'",
+    "target_lat": LAT,
+    "target_lon": LON,
+    "source_ip": "concat_ws('.', '10', (event_id div 65536) % 256, (event_id div 256) % 256, event_id % 256)",
+    "destination_ip": _tag("192.0.2.", "event_id % 256"),
+    "protocol": _pick("event_id % 2", ("TCP", "UDP")),
+    "port": "cast(event_id % 1024 AS int)",
+    "mitre_attack": _tag("T", "event_id % 500 + 1000"),
+    "status": _pick("(event_id div 7) % 3", ("INVESTIGATING", "DETECTED", "BLOCKED")),
+    "seq": "event_id",
+}
+SIGINT = {
+    "intercept_id": _tag("SIG-", "event_id"),
+    "timestamp": MILLIS,
+    "signal_type": _pick("event_id % 6", SIGNALS),
+    "frequency_mhz": f"100D + {_dbl('event_id % 9000')} / 10D",
+    "bandwidth_khz": f"{_dbl('event_id % 250')} / 10D",
+    "modulation": _pick("event_id % 3", ("AM", "FM", "PSK")),
+    "bearing_deg": f"{_dbl('event_id % 3600')} / 10D",
+    "signal_strength_dbm": _dbl("event_id % 61 - 90"),
+    "lat": LAT,
+    "lon": LON,
+    "elevation_deg": _dbl("event_id % 90"),
+    "confidence_pct": _dbl("event_id % 30 + 70"),
+    "emitter_classification": _pick("(event_id div 5) % 7", EMITTERS),
+    "threat_level": LEVEL,
+    "emission_pattern": _pick("(event_id div 2) % 5", PATTERNS),
+    "collector_id": _tag("COL-", "event_id % 11"),
+    "seq": "event_id",
+}
+SATELLITE = {
+    "image_id": _tag("SAT-", "event_id"),
+    "source_id": _tag("SRC-", "event_id % 4"),
+    "timestamp": MILLIS,
+    "acquisition_time": f"cast({MILLIS} AS string)",
+    "sensor_type": _pick("(event_id div 3) % 4", ("EO", "IR", "SAR", "MSI")),
+    "resolution_m": f"0.5D + {_dbl('(event_id * 11) % 80')} / 10D",
+    "cloud_cover_pct": _dbl("event_id % 101"),
+    "sun_elevation_deg": _dbl("event_id % 90"),
+    "off_nadir_angle_deg": _dbl("event_id % 45"),
+    "center_lat": LAT,
+    "center_lon": LON,
+    "classification": _pick("event_id % 2", ("OPEN", "RESTRICTED")),
+    "quality_score": f"{_dbl('(event_id * 7) % 101')} / 100D",
+    "processing_status": _pick("event_id % 2", ("RAW", "PROCESSED")),
+    "seq": "event_id",
+}
+_JAM_LAT = f"(-10D + {_dbl('o_orderkey % 400')} / 10D)"
+_JAM_LON = f"(-20D + {_dbl('o_orderkey % 900')} / 10D)"
+_CEP = f"({_dbl('(o_orderkey * 13) % 80')} / 10D)"
+JSIR = {
+    "incident_id": _tag("JSIR-", "o_orderkey"),
+    "timestamp": "unix_millis(cast(o_orderdate AS timestamp)) + (o_orderkey % 86400) * 1000",
+    "event_type": "'SATCOM_INTERFERENCE'",
+    "workflow_stage": _pick("o_orderkey % 4", ("DETECTION", "CHARACTERIZATION", "GEOLOCATION", "MITIGATION")),
+    "jammer_id": _tag("JAM-", "o_custkey % 7"),
+    "jammer_location": _tag("Site ", "o_custkey % 7"),
+    "jammer_country": _pick("(o_orderkey div 2) % 4", SITES),
+    "jammer_lat": _JAM_LAT,
+    "jammer_lon": _JAM_LON,
+    "jammer_terrain": _pick("o_orderkey % 3", ("HILL", "COAST", "PLAIN")),
+    "jammer_system": _tag("SYS-", "(o_orderkey div 3) % 5"),
+    "jammer_type": _pick("o_orderkey % 2", ("FIXED", "MOBILE")),
+    "jammer_power_kw": f"{_dbl('o_orderkey % 50')} / 2D",
+    "jammer_frequency_band": _pick("o_orderkey % 3", ("X", "KU", "KA")),
+    "target_satellite": _tag("SATCOM-", "(o_orderkey div 5) % 6"),
+    "target_orbit": _pick("o_orderkey % 3", ("GEO", "MEO", "LEO")),
+    "target_frequency_ghz": f"7D + {_dbl('o_orderkey % 40')} / 10D",
+    "tdoa_ms": f"{_dbl('o_orderkey % 5000')} / 1000D",
+    "fdoa_hz": f"-50D + {_dbl('o_orderkey % 1000')} / 10D",
+    "cep_km": _CEP,
+    "ellipse_major_km": f"{_CEP} * 2D",
+    "ellipse_minor_km": f"{_CEP} * 0.5D",
+    "ellipse_orientation": _dbl("o_orderkey % 180"),
+    "strike_coords_lat": _JAM_LAT,
+    "strike_coords_lon": _JAM_LON,
+    "mission_impact": _pick("o_orderkey % 6", IMPACTS),
+    "affected_unit_count": "cast(o_orderkey % 9 AS int)",
+    "comms_degradation_pct": _dbl("(o_orderkey * 17) % 101"),
+    "interference_type": _pick("(o_orderkey div 3) % 4", ("BROADBAND_NOISE", "SWEPT_CW", "PULSED", "SPOT")),
+    "spectral_signature": _pick("(o_orderkey div 7) % 3", ("SWEPT", "MULTI_TONE", "BARRAGE")),
+    "geolocation_confidence_pct": _dbl("(o_orderkey * 19) % 100"),
+    "mission_impact_severity": _pick("(o_orderkey div 2) % 4", LEVELS),
+    "recommended_action": _pick("o_orderkey % 3", ("FREQUENCY_HOP", "BEAM_REALLOCATION", "INCREASE_EIRP")),
+    "seq": "o_orderkey",
+}
 
 
-def _pick(index: Column, values) -> Column:
-    return F.array(*[F.lit(v) for v in values])[index.cast("int")]
+def _events(spark, sf_dir, event_type=None) -> DataFrame:
+    df = load(spark, sf_dir, "events")
+    return df if event_type is None else df.where(f"event_type = '{event_type}'")
 
 
-def _div(col: Column, n: int) -> Column:
-    return ((col - col % n) / n).cast("bigint")
+def gps_view(events: DataFrame) -> DataFrame:
+    return _view(events, GPS)
 
 
-def _tag(prefix: str, col: Column) -> Column:
-    return F.concat(F.lit(prefix), col.cast("string"))
+def aircraft_view(events: DataFrame) -> DataFrame:
+    return _view(events, AIRCRAFT)
 
 
-def _dbl(col: Column) -> Column:
-    return col.cast("double")
+def naval_view(events: DataFrame) -> DataFrame:
+    return _view(events, NAVAL)
 
 
-E_ID, USER = "event_id", "user_id"
+def cyber_view(events: DataFrame) -> DataFrame:
+    return _view(events, CYBER)
 
 
-def _position():
-    e = F.col(E_ID)
-    lat = F.lit(43.5) + _dbl(e % 160) / 100.0
-    lon = F.lit(35.25) + _dbl(e % 137) / 100.0
-    return lat, lon
+def sigint_view(events: DataFrame) -> DataFrame:
+    return _view(events, SIGINT)
 
 
-def _events(spark, sf_dir, event_type=None) -> DataFrame:
-    df = load(spark, sf_dir, "events")
-    return df if event_type is None else df.where(F.col("event_type") == event_type)
+def satellite_view(events: DataFrame) -> DataFrame:
+    return _view(events, SATELLITE)
 
 
 def gps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps_view(_events(spark, sf_dir))
 
 
-def gps_view(events: DataFrame) -> DataFrame:
-    e, u = F.col(E_ID), F.col(USER)
-    lat, lon = _position()
-    return events.select(
-        F.concat(_pick(u % 5, ("AC-", "SHIP-", "FAC-", "US-", "UK-")), u.cast("string")).alias("unit_id"),
-        _tag("Unit ", u).alias("unit_name"),
-        _pick(u % 4, ("ARMOR", "INFANTRY", "AVIATION", "MARINES")).alias("unit_type"),
-        millis(F.col("ts")).alias("timestamp"),
-        lat.alias("lat"),
-        lon.alias("lon"),
-        _dbl(e % 360).alias("heading_deg"),
-        F.col("value").alias("speed_kph"),
-        _dbl(e % 3000).alias("altitude_m"),
-        (_dbl((e * 37) % 1000) / 10.0).alias("fuel_level_pct"),
-        (_dbl((e * 53) % 1000) / 10.0).alias("ammo_level_pct"),
-        (e % 500).cast("int").alias("personnel_count"),
-        _pick(_div(e, 7) % 4, EQUIPMENT).alias("equipment_status"),
-        _pick(_div(e, 13) % 4, ("ENGAGED", "DEFENSIVE", "PATROL", "STANDBY")).alias("mission_status"),
-        (_dbl(_div(e, 3) % 8) * 10.0).alias("fuel_consumption_rate"),
-        _pick(_div(e, 11) % 4, COMMS).alias("comms_status"),
-        e.alias("seq"),
-    )
-
-
 def aircraft_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aircraft_view(_events(spark, sf_dir, "click"))
 
 
-def aircraft_view(events: DataFrame) -> DataFrame:
-    e, u = F.col(E_ID), F.col(USER)
-    lat, lon = _position()
-    altitude_ft, speed_kts = _dbl((e % 400) * 100), _dbl(e % 600)
-    return events.select(
-        u.cast("string").alias("aircraft_id"),
-        u.cast("string").alias("tail_number"),
-        _pick(_div(e, 4) % 3, ("TYPE-A", "TYPE-B", "TYPE-C")).alias("aircraft_type"),
-        _pick(_div(e, 3) % 9, ROLES).alias("role"),
-        _pick(e % 4, SITES).alias("country"),
-        _pick(e % 2, ("FIT-1", "FIT-2")).alias("weapons"),
-        millis(F.col("ts")).alias("timestamp"),
-        lat.alias("lat"),
-        lon.alias("lon"),
-        altitude_ft.alias("altitude_ft"),
-        feet_to_metres(altitude_ft).alias("altitude_m"),
-        _dbl(e % 360).alias("heading_deg"),
-        speed_kts.alias("speed_kts"),
-        knots_to_kph(speed_kts).alias("speed_kph"),
-        _pick(_div(e, 5) % 7, FLIGHT_STATUS).alias("status"),
-        (_dbl((e * 37) % 1000) / 10.0).alias("fuel_pct"),
-        _pick(_div(e, 3) % 4, LEVELS).alias("threat_level"),
-        _pick(_div(e, 2) % 3, IFF).alias("iff_mode"),
-        e.alias("seq"),
-    )
-
-
 def naval_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naval_view(_events(spark, sf_dir, "view"))
 
 
-def naval_view(events: DataFrame) -> DataFrame:
-    e, u = F.col(E_ID), F.col(USER)
-    lat, lon = _position()
-    return events.select(
-        u.cast("string").alias("vessel_id"),
-        u.cast("string").alias("hull_number"),
-        _pick(_div(e, 3) % 5, ("SUBMARINE", "DESTROYER", "CRUISER", "CARRIER", "TANKER")).alias("vessel_type"),
-        _pick(_div(e, 7) % 3, ("CLASS-1", "CLASS-2", "CLASS-3")).alias("vessel_class"),
-        ((e % 1000) * 100).cast("int").alias("displacement_tons"),
-        _pick(e % 5, ("US", "RU", "CN", "IR", "AA")).alias("country"),
-        _pick(e % 2, ("FIT-1", "FIT-2")).alias("weapons"),
-        (e % 40).cast("int").alias("aircraft_capacity"),
-        millis(F.col("ts")).alias("timestamp"),
-        lat.alias("lat"),
-        lon.alias("lon"),
-        _dbl(e % 360).alias("heading_deg"),
-        _dbl(e % 40).alias("speed_kts"),
-        _pick(_div(e, 5) % 4, ("UNDERWAY", "ANCHORED", "PATROL", "MOORED")).alias("status"),
-        _pick(_div(e, 2) % 3, IFF).alias("iff_mode"),
-        e.alias("seq"),
-    )
-
-
 def cyber_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cyber_view(_events(spark, sf_dir, "error"))
 
 
-def cyber_view(events: DataFrame) -> DataFrame:
-    e, u = F.col(E_ID), F.col(USER)
-    lat, lon = _position()
-    octets = F.concat_ws(".", F.lit("10"), _div(e, 65536) % 256, _div(e, 256) % 256, e % 256)
-    return events.select(
-        _tag("CYBER-", e).alias("incident_id"),
-        millis(F.col("ts")).alias("timestamp"),
-        _tag("ACTOR-", e % 9).alias("threat_actor"),
-        _pick(e % 5, ("RU", "CN", "IR", "KP", "AA")).alias("actor_country"),
-        _pick(_div(e, 5) % 3, ("NATION_STATE", "APT", "OTHER")).alias("sophistication"),
-        _pick(_div(e, 2) % 4, ("PHISHING", "RANSOMWARE", "DDOS", "INTRUSION")).alias("attack_type"),
-        _pick(_div(e, 3) % 4, LEVELS).alias("severity"),
-        _tag("Report ", e).alias("description"),
-        _tag("FAC-", u).alias("target_facility_id"),
-        _tag("Site ", u).alias("target_facility"),
-        _pick(e % 3, ("MAIL", "VPN", "HISTORIAN")).alias("target_system"),
-        _pick(e % 2, ("IT", "OT")).alias("target_type"),
-        _pick(e % 3, ("NORTH", "SOUTH", "EAST")).alias("target_region"),
-        F.lit("AA").alias("target_country"),
-        lat.alias("target_lat"),
-        lon.alias("target_lon"),
-        octets.alias("source_ip"),
-        _tag("192.0.2.", e % 256).alias("destination_ip"),
-        _pick(e % 2, ("TCP", "UDP")).alias("protocol"),
-        (e % 1024).cast("int").alias("port"),
-        _tag("T", e % 500 + 1000).alias("mitre_attack"),
-        _pick(_div(e, 7) % 3, ("INVESTIGATING", "DETECTED", "BLOCKED")).alias("status"),
-        e.alias("seq"),
-    )
-
-
 def sigint_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigint_view(_events(spark, sf_dir, "signup"))
 
 
-def sigint_view(events: DataFrame) -> DataFrame:
-    e = F.col(E_ID)
-    lat, lon = _position()
-    return events.select(
-        _tag("SIG-", e).alias("intercept_id"),
-        millis(F.col("ts")).alias("timestamp"),
-        _pick(e % 6, SIGNALS).alias("signal_type"),
-        (F.lit(100.0) + _dbl(e % 9000) / 10.0).alias("frequency_mhz"),
-        (_dbl(e % 250) / 10.0).alias("bandwidth_khz"),
-        _pick(e % 3, ("AM", "FM", "PSK")).alias("modulation"),
-        (_dbl(e % 3600) / 10.0).alias("bearing_deg"),
-        _dbl(e % 61 - 90).alias("signal_strength_dbm"),
-        lat.alias("lat"),
-        lon.alias("lon"),
-        _dbl(e % 90).alias("elevation_deg"),
-        _dbl(e % 30 + 70).alias("confidence_pct"),
-        _pick(_div(e, 5) % 7, EMITTERS).alias("emitter_classification"),
-        _pick(_div(e, 3) % 4, LEVELS).alias("threat_level"),
-        _pick(_div(e, 2) % 5, PATTERNS).alias("emission_pattern"),
-        _tag("COL-", e % 11).alias("collector_id"),
-        e.alias("seq"),
-    )
-
-
 def satellite_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return satellite_view(_events(spark, sf_dir, "purchase"))
 
 
-def satellite_view(events: DataFrame) -> DataFrame:
-    e = F.col(E_ID)
-    lat, lon = _position()
-    return events.select(
-        _tag("SAT-", e).alias("image_id"),
-        _tag("SRC-", e % 4).alias("source_id"),
-        millis(F.col("ts")).alias("timestamp"),
-        millis(F.col("ts")).cast("string").alias("acquisition_time"),
-        _pick(_div(e, 3) % 4, ("EO", "IR", "SAR", "MSI")).alias("sensor_type"),
-        (F.lit(0.5) + _dbl((e * 11) % 80) / 10.0).alias("resolution_m"),
-        _dbl(e % 101).alias("cloud_cover_pct"),
-        _dbl(e % 90).alias("sun_elevation_deg"),
-        _dbl(e % 45).alias("off_nadir_angle_deg"),
-        lat.alias("center_lat"),
-        lon.alias("center_lon"),
-        _pick(e % 2, ("OPEN", "RESTRICTED")).alias("classification"),
-        (_dbl((e * 7) % 101) / 100.0).alias("quality_score"),
-        _pick(e % 2, ("RAW", "PROCESSED")).alias("processing_status"),
-        e.alias("seq"),
-    )
-
-
 def jsir_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsir_view(load(spark, sf_dir, "orders"))
-
-
-def jsir_view(orders: DataFrame) -> DataFrame:
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    lat = F.lit(-10.0) + _dbl(o % 400) / 10.0
-    lon = F.lit(-20.0) + _dbl(o % 900) / 10.0
-    cep = _dbl((o * 13) % 80) / 10.0
-    return orders.select(
-        _tag("JSIR-", o).alias("incident_id"),
-        (millis(F.col("o_orderdate")) + (o % 86400) * 1000).alias("timestamp"),
-        F.lit("SATCOM_INTERFERENCE").alias("event_type"),
-        _pick(o % 4, ("DETECTION", "CHARACTERIZATION", "GEOLOCATION", "MITIGATION")).alias("workflow_stage"),
-        _tag("JAM-", c % 7).alias("jammer_id"),
-        _tag("Site ", c % 7).alias("jammer_location"),
-        _pick(_div(o, 2) % 4, SITES).alias("jammer_country"),
-        lat.alias("jammer_lat"),
-        lon.alias("jammer_lon"),
-        _pick(o % 3, ("HILL", "COAST", "PLAIN")).alias("jammer_terrain"),
-        _tag("SYS-", _div(o, 3) % 5).alias("jammer_system"),
-        _pick(o % 2, ("FIXED", "MOBILE")).alias("jammer_type"),
-        (_dbl(o % 50) / 2.0).alias("jammer_power_kw"),
-        _pick(o % 3, ("X", "KU", "KA")).alias("jammer_frequency_band"),
-        _tag("SATCOM-", _div(o, 5) % 6).alias("target_satellite"),
-        _pick(o % 3, ("GEO", "MEO", "LEO")).alias("target_orbit"),
-        (F.lit(7.0) + _dbl(o % 40) / 10.0).alias("target_frequency_ghz"),
-        (_dbl(o % 5000) / 1000.0).alias("tdoa_ms"),
-        (F.lit(-50.0) + _dbl(o % 1000) / 10.0).alias("fdoa_hz"),
-        cep.alias("cep_km"),
-        (cep * 2.0).alias("ellipse_major_km"),
-        (cep * 0.5).alias("ellipse_minor_km"),
-        _dbl(o % 180).alias("ellipse_orientation"),
-        lat.alias("strike_coords_lat"),
-        lon.alias("strike_coords_lon"),
-        _pick(o % 6, IMPACTS).alias("mission_impact"),
-        (o % 9).cast("int").alias("affected_unit_count"),
-        _dbl((o * 17) % 101).alias("comms_degradation_pct"),
-        _pick(_div(o, 3) % 4, ("BROADBAND_NOISE", "SWEPT_CW", "PULSED", "SPOT")).alias("interference_type"),
-        _pick(_div(o, 7) % 3, ("SWEPT", "MULTI_TONE", "BARRAGE")).alias("spectral_signature"),
-        _dbl((o * 19) % 100).alias("geolocation_confidence_pct"),
-        _pick(_div(o, 2) % 4, LEVELS).alias("mission_impact_severity"),
-        _pick(o % 3, ("FREQUENCY_HOP", "BEAM_REALLOCATION", "INCREASE_EIRP")).alias("recommended_action"),
-        o.alias("seq"),
-    )
+    return _view(load(spark, sf_dir, "orders"), JSIR)
 
 
 def embm_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = derive_embm_track(jsir_raw(spark, sf_dir))
-    key = F.col("seq")
-    return tracks.withColumns(
-        {
-            "confidence": _dbl((key * 19) % 100) / 100.0,
-            "targetable": (key % 3) != 0,
-        }
-    )
+    replaced = {"confidence": f"{_dbl('(seq * 19) % 100')} / 100D", "targetable": "(seq % 3) != 0"}
+    return _view(tracks, {c: replaced.get(c, c) for c in tracks.columns})
 
 
 def supply_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_partkey")
-    capacity = (F.col("p_size") * 10).cast("int")
-    fill = _dbl((p * 7) % 101) / 100.0
-    return load(spark, sf_dir, "part").select(
-        _tag("DEPOT-", p % 6).alias("depot_id"),
-        p.cast("string").alias("supply_class"),
-        F.floor(capacity * fill).cast("int").alias("on_hand"),
-        capacity.alias("max_capacity"),
-    )
+    return _view(load(spark, sf_dir, "part"), {
+        "depot_id": _tag("DEPOT-", "p_partkey % 6"),
+        "supply_class": "cast(p_partkey AS string)",
+        "on_hand": f"cast(floor(p_size * 10 * ({_dbl('(p_partkey * 7) % 101')} / 100D)) AS int)",
+        "max_capacity": "cast(p_size * 10 AS int)",
+    })
 
 
 def equipment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_partkey")
-    total = (F.col("p_size") + 9).cast("int")
-    return load(spark, sf_dir, "part").select(
-        _tag("EQ-", p).alias("equipment_id"),
-        _tag("UNIT-", p % 12).alias("unit_id"),
-        F.col("p_type").alias("equipment_type"),
-        total.alias("total"),
-        F.least(total, (_dbl((p * 7) % 101) / 100.0 * total).cast("int")).alias("fmc"),
-    )
+    total = "cast(p_size + 9 AS int)"
+    return _view(load(spark, sf_dir, "part"), {
+        "equipment_id": _tag("EQ-", "p_partkey"),
+        "unit_id": _tag("UNIT-", "p_partkey % 12"),
+        "equipment_type": "p_type",
+        "total": total,
+        "fmc": f"least({total}, cast({_dbl('(p_partkey * 7) % 101')} / 100D * {total} AS int))",
+    })
 
 
 REQUESTED = (
@@ -337,35 +340,33 @@ REQUESTED = (
 
 def action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator requests, some without an id, an action, an operator or optional fields."""
-    e = F.col(E_ID)
 
-    def sometimes(value: Column, n: int) -> Column:
-        return F.when(e % n != 0, value)
+    def sometimes(value: str, n: int) -> str:
+        return f"CASE WHEN event_id % {n} != 0 THEN {value} END"
 
-    return _events(spark, sf_dir).select(
-        sometimes(_tag("REQ-", F.col(USER)), 10).alias("entity_id"),
-        _pick(e % 3, ("CYBER", "SIGINT", "EMBM")).alias("domain"),
-        _pick(_div(e, 3) % len(REQUESTED), REQUESTED).alias("action"),
-        sometimes(_tag("OP-", e % 5), 4).alias("operator"),
-        sometimes(_tag("192.0.2.", e % 256), 5).alias("source_ip"),
-        sometimes(_pick(e % 3, ("MAIL", "VPN", "HISTORIAN")), 6).alias("target_system"),
-        sometimes(_pick(_div(e, 3) % 4, LEVELS), 7).alias("severity"),
-        sometimes(_pick(e % 2, ("L-BAND", "S-BAND")), 8).alias("frequency_band"),
-        millis(F.col("ts")).alias("epoch_ms"),
-        e.alias("seq"),
-    )
+    return _view(_events(spark, sf_dir), {
+        "entity_id": sometimes(_tag("REQ-", "user_id"), 10),
+        "domain": _pick("event_id % 3", ("CYBER", "SIGINT", "EMBM")),
+        "action": _pick(f"(event_id div 3) % {len(REQUESTED)}", REQUESTED),
+        "operator": sometimes(_tag("OP-", "event_id % 5"), 4),
+        "source_ip": sometimes(_tag("192.0.2.", "event_id % 256"), 5),
+        "target_system": sometimes(_pick("event_id % 3", ("MAIL", "VPN", "HISTORIAN")), 6),
+        "severity": sometimes(LEVEL, 7),
+        "frequency_band": sometimes(_pick("event_id % 2", ("L-BAND", "S-BAND")), 8),
+        "epoch_ms": MILLIS,
+        "seq": "event_id",
+    })
 
 
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites with their networks, from the supplier table."""
-    k = F.col("s_suppkey")
-    return load(spark, sf_dir, "supplier").select(
-        _tag("FAC-", k).alias("facility_id"),
-        F.col("s_name").alias("name"),
-        _pick(k % 3, ("AIR_BASE", "PORT", "DEPOT")).alias("type"),
-        _tag("REGION-", k % 5).alias("region"),
-        _tag("N", F.col("s_nationkey")).alias("country"),
-        (F.lit(-20.0) + _dbl(k % 400) / 10.0).alias("lat"),
-        (F.lit(-60.0) + _dbl(k % 900) / 10.0).alias("lon"),
-        F.array(F.lit("NET-A"), _tag("NET-", k % 4)).alias("networks"),
-    )
+    return _view(load(spark, sf_dir, "supplier"), {
+        "facility_id": _tag("FAC-", "s_suppkey"),
+        "name": "s_name",
+        "type": _pick("s_suppkey % 3", ("AIR_BASE", "PORT", "DEPOT")),
+        "region": _tag("REGION-", "s_suppkey % 5"),
+        "country": _tag("N", "s_nationkey"),
+        "lat": f"-20D + {_dbl('s_suppkey % 400')} / 10D",
+        "lon": f"-60D + {_dbl('s_suppkey % 900')} / 10D",
+        "networks": f"array('NET-A', {_tag('NET-', 's_suppkey % 4')})",
+    })

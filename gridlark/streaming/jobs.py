@@ -49,9 +49,12 @@ def stream_settings(spark: SparkSession, state_partitions: int | None = None):
                 spark.conf.set(name, value)
 
 
-def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of Parquet files (or one file of it) as a stream, with the schema they declare."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def file_stream(
+    spark: SparkSession, path: str, schema: str | None = None, files_per_trigger: int | None = None
+) -> DataFrame:
+    """A folder of Parquet files (or one file of it) as a stream, with a declared schema or
+    the one the files have."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if path.endswith(".parquet"):  # a stream watches a folder: narrow it to the one file
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)

@@ -29,7 +29,7 @@ def units(make, column, cases, **base):
 
 def cell(spark, lat, lon, scheme):
     df = spark.createDataFrame([(lat, lon)], "lat double, lon double")
-    return df.select(grid_square(F.col("lat"), F.col("lon"), scheme)).first()[0]
+    return df.select(grid_square("lat", "lon", scheme)).first()[0]
 
 
 @pytest.mark.parametrize(
