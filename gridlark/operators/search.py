@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlark.functions import vectors as V
+from gridlark.functions.conditions import literal
+from gridlark.functions.numbers import stat_sql
 from gridlark.operators.state import merge_first_wins
 
 # Sizes of result lists and how long a word must be to count.
@@ -83,18 +85,24 @@ def keyword_search(
     scored = [w for w in words if len(w) >= MIN_SCORED_LENGTH]
     out = None
     for place, (name, table) in enumerate(tables.items()):
-        lowered = F.lower(F.col(table.text_column))
-        found = reduce(or_, [F.contains(lowered, F.lit(w)) for w in words], F.lit(False))
-        points = reduce(
-            lambda a, b: a + b, [F.contains(lowered, F.lit(w)).cast("int") for w in scored], F.lit(0)
-        )
-        score = V.score(points.cast("double") / F.lit(float(max(len(scored), 1))))
-        matching = Collection(table.df.where(found), table.id_column, table.text_column, table.merge_id, table.line)
-        part = _best(_hits(name, place, matching, score), per_collection)
+        score = _keyword_score(table.text_column, words, scored)
+        # rows without a match have no score and sort last: they are dropped after the limit, so
+        # that matching and scoring share one pass over the text
+        part = _best(_hits(name, place, table, score), per_collection).where("score IS NOT NULL")
         out = part if out is None else out.unionByName(part)
     return _best(out, limit)
 
 
+def _keyword_score(text_column: str, words: list[str], scored: list[str]) -> Column:
+    """Share of the longer words that occur, NULL where no word does."""
+    found = {w: f"contains(lower({text_column}), {literal(w)})" for w in words}
+    if not words:
+        return F.lit(None).cast("double")
+    points = " + ".join(f"cast({found[w]} AS int)" for w in scored) or "0"
+    share = stat_sql(f"cast({points} AS double) / {literal(float(max(len(scored), 1)))}", V.SCORE_PLACES)
+    return F.expr(f"CASE WHEN {' OR '.join(found.values())} THEN {share} END")
+
+
 def hash_vector(text: str, dimensions: int = V.HASH_DIMENSIONS) -> np.ndarray:
     """The hash embedding of one text; the common prefix is digested only once."""
     lowered = text.lower()

@@ -51,8 +51,8 @@ def _register_all() -> None:
     enriched = {
         "gps": ("current", "classic", "setup", "clean", "deploy"),
         "aircraft": ("current", "setup", "clean"),
-        "sigint": ("current", "classic", "setup", "clean"),
-        "satellite": ("current", "classic", "setup"),
+        "sigint": ("current", "classic", "setup", "clean", "deploy"),
+        "satellite": ("current", "classic", "setup", "deploy"),
     }
     for stream, profiles in enriched.items():
         for profile in profiles:
@@ -563,8 +563,9 @@ for _kind, _spec in C.KINDS.items():
 
 
 def _indexed(spark, sf_dir, kind: str) -> DataFrame:
-    """Documents as an index holds them: the last one per id."""
-    return S.latest_record(_documents(spark, sf_dir, kind), C.KINDS[kind].id_column)
+    """Documents as an index holds them, one per id: rows are folded before texts are built."""
+    raw = getattr(feeds, f"{kind}_raw")(spark, sf_dir)
+    return C.build_documents(S.latest_record(raw, C.KINDS[kind].id_column), kind)
 
 
 for _kind in ("aircraft", "naval", "cyber"):
@@ -583,7 +584,9 @@ for _kind in ("aircraft", "naval", "cyber"):
 
 for _name, _sep in (("lines", "\n"), ("paragraphs", "\n\n")):
     register(f"doc_chunk_{_name}")(
-        lambda s, d, sep=_sep: C.chunk(feeds.load(s, d, "documents"), sep, "doc_id", "text")
+        lambda s, d, sep=_sep: C.chunk(
+            tables.spread(feeds.load(s, d, "documents").select("doc_id", "text")), sep, "doc_id", "text"
+        )
     )
 
 
@@ -669,6 +672,19 @@ def _load_kb(spark, sf_dir):
 register("kb_list_equipment")(
     lambda s, d: C.kb_list(_kb_equipment(s, d), "equipment_id").select("equipment_id", "name", "rag_text")
 )
+def _kb_geopolitical(spark, sf_dir) -> DataFrame:
+    """Countries with a size rank from their customers."""
+    sizes = feeds.load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        F.count(F.lit(1)).alias("size")
+    )
+    return feeds.load(spark, sf_dir, "nation").join(sizes, "n_nationkey", "left").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("country_code"),
+        F.col("n_name").alias("name"),
+        F.coalesce("size", F.lit(0)).alias("size"),
+    )
+
+
+register("kb_list_geopolitical")(lambda s, d: C.kb_list(_kb_geopolitical(s, d), "country_code"))
 register("kb_list_threat_actors")(lambda s, d: C.kb_list(_kb_actors(s, d), "actor_id"))
 
 
@@ -719,8 +735,8 @@ def _keyword_texts(spark, sf_dir):
         "turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     )
     texts = {
-        "documents": Q.Collection(feeds.load(spark, sf_dir, "documents"), "doc_id", "text"),
-        "pages": Q.Collection(feeds.load(spark, sf_dir, "pages"), "page_id", "html"),
+        "documents": Q.Collection(tables.spread(feeds.load(spark, sf_dir, "documents")), "doc_id", "text"),
+        "pages": Q.Collection(tables.spread(feeds.load(spark, sf_dir, "pages")), "page_id", "html"),
         "conversations": Q.Collection(turns, "turn_id", "text"),
     }
     return Q.keyword_search("the then station, whether éaux or ERETH", texts).select("collection", "hit_id", "score")
@@ -864,15 +880,15 @@ def _stream_dedupe(spark, sf_dir):
 @register("stream_persistent")
 def _stream_chain(spark, sf_dir):
     """Raw to enriched to breakout, each step a persistent query over the table before it."""
-    root = scratch_path(spark, "pipeline")
+    root = scratch_path(spark, "chain")
     streams = _streams(spark, sf_dir, "current")
-    pipeline = streaming.Pipeline(spark, root, [
+    chain = streaming.Chain(spark, root, [
         streaming.Job("sigint_air_defense", lambda t: A.breakout(t["sigint_enriched"], "air_defense"), ("sigint_enriched",)),
         streaming.Job("sigint_enriched", lambda t: streams.sigint.drop("ts")),
     ])
-    pipeline.run_available()
-    pipeline.stop()
-    return _public(spark.read.parquet(pipeline.table("sigint_air_defense")))
+    chain.run_available()
+    chain.stop()
+    return _public(spark.read.parquet(chain.table("sigint_air_defense")))
 
 
 @register("stream_join_gps")

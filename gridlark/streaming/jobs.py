@@ -168,7 +168,7 @@ class Job:
     mode: str = "append"
 
 
-class Pipeline:
+class Chain:
     """Persistent queries chained through the tables they write.
 
     Every job has its own checkpoint; jobs start after the ones they read from and stop

@@ -96,10 +96,10 @@ def test_restart_continues_where_it_stopped(spark, tmp_path):
     ).count()
 
 
-def test_pipeline_orders_jobs_and_rejects_circles(spark, tmp_path):
-    order = jobs.Pipeline(spark, str(tmp_path), [
+def test_chain_orders_jobs_and_rejects_circles(spark, tmp_path):
+    order = jobs.Chain(spark, str(tmp_path), [
         jobs.Job("c", None, ("b",)), jobs.Job("b", None, ("a",)), jobs.Job("a", None),
     ]).jobs
     assert [j.name for j in order] == ["a", "b", "c"]
     with pytest.raises(ValueError):
-        jobs.Pipeline(spark, str(tmp_path), [jobs.Job("a", None, ("b",)), jobs.Job("b", None, ("a",))])
+        jobs.Chain(spark, str(tmp_path), [jobs.Job("a", None, ("b",)), jobs.Job("b", None, ("a",))])
