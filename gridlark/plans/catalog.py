@@ -382,7 +382,7 @@ STREAMS = ("gps", "aircraft", "naval", "cyber", "sigint", "satellite", "jsir", "
 def _messages(spark, sf_dir, stream: str) -> DataFrame:
     raw = feeds.__dict__[f"{stream}_raw"](spark, sf_dir)
     columns = [*stream_columns(stream), "seq"]
-    return topics.as_messages(raw.select(*columns), KEYS[stream], TOPICS[stream], keep=("seq",))
+    return topics.as_messages(tables.spread(raw.select(*columns)), KEYS[stream], TOPICS[stream], keep=("seq",))
 
 
 for _stream in STREAMS:

@@ -35,20 +35,28 @@ def replace_table(df: DataFrame, path: str, max_records_per_file: int | None = N
     writer.parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, location = _file_system(spark, path)
+    return fs.getFileStatus(location).isDirectory()
+
+
 def list_tables(spark: SparkSession, root: str) -> list[str]:
-    """Names of the tables (directories or .parquet files) below a folder."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    """Names of the tables (folders or .parquet files) below a folder."""
+    fs, location = _file_system(spark, root)
+    if not fs.exists(location):
         return []
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop)]
+    names = [status.getPath().getName() for status in fs.listStatus(location)]
     return sorted(n.removesuffix(".parquet") for n in names if not n.startswith((".", "_")))
 
 
 def _open(spark: SparkSession, root: str, name: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{root}/{name}.parquet" if fs.exists(hadoop) else f"{root}/{name}")
+    fs, location = _file_system(spark, f"{root}/{name}.parquet")
+    return spark.read.parquet(f"{root}/{name}.parquet" if fs.exists(location) else f"{root}/{name}")
 
 
 def copy_tables(spark: SparkSession, source: str, target: str, listed: Sequence[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from gridlark.plans.profiles import ALERTS
 from gridlark.plans.session import scratch_path
 from gridlark.sources import feeds
 from gridlark.sources.sinks import Writer, read_upserted, upsert_sink, write_stream
+from gridlark.sources.tables import is_folder
 
 # How late a record may be. No delay is given with the rules; later rows are dropped.
 DELAY = "10 minutes"
@@ -55,7 +56,7 @@ def file_stream(
     """A folder of Parquet files (or one file of it) as a stream, with a declared schema or
     the one the files have."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
-    if path.endswith(".parquet"):  # a stream watches a folder: narrow it to the one file
+    if not is_folder(spark, path):  # a stream watches a folder: narrow it to the one file
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)
     if files_per_trigger:

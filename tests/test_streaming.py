@@ -22,7 +22,7 @@ def deliver(df, path):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Events in several files, in time order."""
-    path = str(tmp_path_factory.mktemp("events") / "in")
+    path = str(tmp_path_factory.mktemp("events") / "events.parquet")
     events = spark.read.parquet(f"{DATA}/events.parquet")
     edges = [None, 8, 15, 22, None]
     for low, high in zip(edges, edges[1:]):
