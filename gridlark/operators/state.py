@@ -73,26 +73,34 @@ def latest_time(df: DataFrame, time: str = "timestamp") -> Column:
     return df.agg(F.max(time).alias("now")).scalar()
 
 
+def _fresh_rows(df: DataFrame, ttl_seconds: int, now_ms: Column | int) -> DataFrame:
+    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    return df.where(now - F.col("timestamp") < F.lit(ttl_seconds * 1000))
+
+
 def state_fresh(
     df: DataFrame, key: str, ttl_seconds: int, now_ms: Column | int, order: Sequence[str] = ORDER
 ) -> DataFrame:
-    """Latest record per entity that is younger than the time to live."""
-    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
-    age = now - F.col("timestamp")
-    ttl = F.lit(ttl_seconds * 1000)
-    # a record older than the limit can never be an entity's fresh state: drop it before the exchange
-    return latest_record(df.where(age < ttl), key, order)
+    """Latest record per entity that is younger than the time to live.
+
+    A record older than the limit can never be an entity's fresh state, so it is dropped
+    before the exchange.
+    """
+    return latest_record(_fresh_rows(df, ttl_seconds, now_ms), key, order)
 
 
 def state_fresh_or_recent(
     df: DataFrame, key: str, ttl_seconds: int, now_ms: Column | int, fallback: DataFrame, n: int
 ) -> DataFrame:
-    """Fresh state, or the newest ``n`` rows of the fallback when nothing is fresh."""
-    fresh = state_fresh(df, key, ttl_seconds, now_ms)
-    nothing = fresh.agg(F.count(F.lit(1)) == 0).scalar()
-    recent = top_recent(fallback, n).where(nothing)
-    shared = [c for c in fallback.columns if c in fresh.columns]
-    return fresh.select(*shared).unionByName(recent.select(*shared))
+    """Fresh state, or the newest ``n`` rows of the fallback when nothing is fresh.
+
+    Which of the two it is gets decided by a probe that stops at the first fresh row, so
+    that the fallback is not read (and ranked) for nothing.
+    """
+    shared = [c for c in fallback.columns if c in df.columns]
+    if _fresh_rows(df, ttl_seconds, now_ms).isEmpty():
+        return top_recent(fallback, n).select(*shared)
+    return state_fresh(df, key, ttl_seconds, now_ms).select(*shared)
 
 
 def merge_first_wins(parts: Sequence[DataFrame], key: Column, order: Sequence[str] = ("timestamp",)) -> DataFrame:

@@ -427,7 +427,7 @@ def _multi_topic(spark, sf_dir):
 
 @register("src_snapshot_changes")
 def _snapshot(spark, sf_dir):
-    """Initial copy: orders of even status letters; changes: every order, newer document wins."""
+    """Initial copy: the first document per customer; changes: every document, the newest wins."""
     orders = feeds.load(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("change"),
@@ -853,6 +853,13 @@ def _stream_tumbling(spark, sf_dir):
     return _finished(spark, agg, "grid_force")
 
 
+@register("stream_watermark")
+def _stream_watermark(spark, sf_dir):
+    """Windows are final once the watermark has passed them; still open ones are held back."""
+    agg = W.flatten_window(W.force_composition(_streams(spark, sf_dir).gps, "deploy"))
+    return _finished(spark, agg, "force_composition")
+
+
 @register("stream_emit_changes")
 def _stream_changes(spark, sf_dir):
     """Every change of a window emitted; the table of last changes equals the batch answer."""

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package (as ``--py-files`` would), once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="gridlark-code-")) / PACKAGE.name
+    context.addPyFile(shutil.make_archive(str(archive), "zip", PACKAGE.parent, PACKAGE.name))
+    _shipped.add(context.applicationId)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Zone-less times are UTC; AQE may split hot partitions and pick joins from real sizes."""
+    ship_code(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
