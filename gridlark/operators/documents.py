@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from gridlark.functions.conditions import is_in, ladder
 from gridlark.functions.geo import geo_point
 from gridlark.functions.text import padded_index, template
-from gridlark.operators.state import top_recent
+from gridlark.operators.state import ORDER, top_recent
+from gridlark.sources.sinks import read_upserted, upsert_sink
 
 # Country names, document labels and text formats.
 COUNTRIES = {"US": "United States", "RU": "Russia", "CN": "China", "IR": "Iran"}
@@ -170,6 +171,15 @@ def build_documents(df: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def index_writer(path: str, kind: str):
+    """Sink that indexes documents of a kind: the last one per id wins."""
+    return upsert_sink(path, KINDS[kind].id_column, ORDER)
+
+
+def read_index(spark, path: str, kind: str) -> DataFrame:
+    return read_upserted(spark, path, KINDS[kind].id_column, ORDER)
+
+
 # --- chunks ----------------------------------------------------------------------------------
 def chunk(
     df: DataFrame,

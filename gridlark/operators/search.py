@@ -332,24 +332,49 @@ def union_hybrid_results(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     for origin, part in (("keyword", keyword), ("semantic", semantic)):
         own = F.col("merge_key").startswith(F.concat("collection", F.lit("/")))
         key = F.when(own, F.concat(F.lit(f"{origin}:"), "merge_key")).otherwise(F.col("merge_key"))
-        parts.append(part.withColumns({"origin": F.lit(origin), "merge_key": key}))
-    inverse = lambda df: df.withColumn("_order", -F.col("score"))
-    merged = merge_first_wins([inverse(p) for p in parts], F.col("merge_key"), ("_order", "priority", "hit_id"))
+        parts.append(_ordered(part, origin).withColumn("merge_key", key))
+    merged = merge_first_wins(parts, F.col("merge_key"), ("_order", "priority", "hit_id"))
+    return _numbered(merged)
+
+
+def _ordered(hits: DataFrame, origin: str) -> DataFrame:
+    return hits.withColumns({"origin": F.lit(origin), "_order": -F.col("score")})
+
+
+def _numbered(hits: DataFrame) -> DataFrame:
+    """Rank of each result and their number. Search results are few by construction (the
+    limits above), so they are numbered in one small sort."""
     first = F.when(F.col("origin") == "keyword", 0).otherwise(1)
-    # at most KEYWORD_LIMIT + VECTOR_LIMIT rows: numbered in one small sort
-    ordered = merged.withColumn("_first", first).groupBy().agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("_first", "_order", "priority", "hit_id", "collection", "text", "line", "origin", "score")
-            )
-        ).alias("rows")
-    )
-    return ordered.select(F.size("rows").alias("total"), F.posexplode("rows").alias("position", "r")).select(
+    fields = ("_first", "_order", "priority", "hit_id", "collection", "text", "line", "origin", "score")
+    rows = hits.withColumn("_first", first).groupBy().agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    return rows.select(F.size("rows").alias("total"), F.posexplode("rows").alias("position", "r")).select(
         (F.col("position") + 1).alias("rank"), "total", "r.collection", "r.hit_id", "r.origin", "r.score",
         "r.line", "r.text",
     )
 
 
+def search(query: str, tables: dict[str, Collection], search_type: str = "hybrid") -> DataFrame:
+    """Ranked results of one of the three kinds of search. Only hybrid results are merged by id."""
+    if search_type == "keyword":
+        return _numbered(_ordered(keyword_search(query, tables), "keyword"))
+    if search_type == "semantic":
+        return _numbered(_ordered(semantic_search(query, tables), "semantic"))
+    return hybrid_search(query, tables)
+
+
+def answer(query: str, tables: dict[str, Collection], search_type: str = "hybrid") -> tuple[DataFrame, DataFrame]:
+    """A question in words: route it by its domain, search, and sum the results up.
+
+    Returns the first page of results and the one-row summary.
+    """
+    if not query:
+        raise ValueError("No query provided")
+    domain = intent_of(query)
+    routed = {name: tables[name] for name in ROUTES.get(domain, DEFAULT_ROUTE) if name in tables}
+    results = search(query, routed, search_type)
+    return results_page(results), summarise(results, query, domain)
+
+
 def results_page(hybrid: DataFrame, n: int = RESULT_LIMIT) -> DataFrame:
     return hybrid.where(F.col("rank") <= n)
 

@@ -75,7 +75,10 @@ def latest_time(df: DataFrame, time: str = "timestamp") -> Column:
 
 def _fresh_rows(df: DataFrame, ttl_seconds: int, now_ms: Column | int) -> DataFrame:
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
-    return df.where(now - F.col("timestamp") < F.lit(ttl_seconds * 1000))
+    ttl = F.lit(ttl_seconds * 1000)
+    if "day" in df.columns:  # a table laid out by day: older days are not opened
+        df = df.where(F.col("day") >= F.to_date(F.timestamp_millis((now - ttl).cast("bigint"))))
+    return df.where(now - F.col("timestamp") < ttl)
 
 
 def state_fresh(

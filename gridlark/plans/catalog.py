@@ -572,14 +572,13 @@ for _kind in ("aircraft", "naval", "cyber"):
     @register(f"doc_upsert_{_kind}")
     def _index(spark, sf_dir, kind=_kind):
         """Documents indexed in two deliveries; the later one replaces by id."""
-        key = C.KINDS[kind].id_column
         path = scratch_path(spark, C.KINDS[kind].collection)
-        write = sinks.upsert_sink(path, key, S.ORDER)
+        write = C.index_writer(path, kind)
         docs = _documents(spark, sf_dir, kind)
         middle = docs.agg(F.percentile_approx("timestamp", 0.5)).scalar()
         write(docs.where(F.col("timestamp") > middle), 0)
         write(docs.where(F.col("timestamp") <= middle), 1)
-        return _flat_documents(sinks.read_upserted(spark, path, key, S.ORDER), key)
+        return _flat_documents(C.read_index(spark, path, kind), C.KINDS[kind].id_column)
 
 
 for _name, _sep in (("lines", "\n"), ("paragraphs", "\n\n")):
@@ -793,6 +792,15 @@ register("query_summary")(
 )
 
 
+for _type in ("keyword", "semantic", "hybrid"):
+    register(f"query_answer_{_type}")(
+        lambda s, d, t=_type: Q.answer(QUESTION, _collections(s, d, vectors=True), t)[0]
+    )
+register("query_answer_summary")(
+    lambda s, d: Q.answer(QUESTION, _collections(s, d), "keyword")[1]
+)
+
+
 def _questions(spark, sf_dir) -> DataFrame:
     """Every conversation turn as a query, with words of one of several themes added."""
     themes = (

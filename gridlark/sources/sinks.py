@@ -13,9 +13,12 @@ BATCH = "batch_id"
 Writer = Callable[[DataFrame, int], None]
 
 
-def _write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+DAY = "day"
+
+
+def _write_batch(batch: DataFrame, path: str, batch_id: int, by: Sequence[str] = ()) -> None:
     """One folder per micro-batch, replaced as a whole when a batch is replayed."""
-    batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    batch.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def upsert_sink(path: str, key: str | Sequence[str], order: Sequence[str]) -> Writer:
@@ -49,12 +52,18 @@ def compact_upserts(spark: SparkSession, path: str, target: str, key, order: Seq
     return newest
 
 
-def append_sink(path: str, id_columns: Sequence[str] = ()) -> Writer:
-    """Append every record once: ids are unique within a batch, a replay rewrites its folder."""
+def append_sink(path: str, id_columns: Sequence[str] = (), day_of: str | None = None) -> Writer:
+    """Append every record once: ids are unique within a batch, a replay rewrites its folder.
+
+    ``day_of`` names an epoch-millisecond column: files are then laid out by day, and
+    freshness reads over the table open only the days they need.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(list(id_columns)) if id_columns else batch
-        _write_batch(rows, path, batch_id)
+        if day_of:
+            rows = rows.withColumn(DAY, F.to_date(F.timestamp_millis(day_of)))
+        _write_batch(rows, path, batch_id, (DAY,) if day_of else ())
 
     return write
 

@@ -191,3 +191,13 @@ def test_naval_document_without_aircraft(make):
     assert "12,000 tons" in texts_[0] and "is a friendly unknown class vessel" in texts_[0]
     first = docs.first()
     assert first["location"]["coordinates"] == [-2.0, 1.0] and first["threat_level"] == "FRIENDLY"
+
+
+def test_answer_routes_by_domain(spark):
+    df = texts(spark).withColumn("embedding", F.array(F.lit(1.0)))
+    tables = {n: Q.Collection(df, "id", "body") for n in Q.DEFAULT_ROUTE}
+    page, summary = Q.answer("which aircraft has alpha", tables, "keyword")
+    assert {r["collection"] for r in page.collect()} == {"rag_aircraft", "kb_equipment"}
+    assert summary.first()["response"].startswith("**AIR Intelligence Summary**")
+    with pytest.raises(ValueError):
+        Q.answer("", tables)

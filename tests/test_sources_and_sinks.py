@@ -109,3 +109,57 @@ def test_shared_folder_comes_from_the_session(spark):
     folder = spark.conf.get(CHECKPOINT_DIR)
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(folder) and b.startswith(folder)
+
+
+def test_freshness_reads_open_only_recent_days(spark, tmp_path):
+    from gridlark.operators.state import state_fresh
+
+    path = str(tmp_path / "days")
+    day = 86_400_000
+    rows = spark.createDataFrame([(f"e{i}", i, i * day // 2) for i in range(10)], "id string, seq int, timestamp bigint")
+    sinks.append_sink(path, ("id",), day_of="timestamp")(rows, 0)
+    stored = sinks.read_appended(spark, path)
+    now = 9 * day // 2
+    got = state_fresh(stored, "id", 86_400, now)
+    assert sorted(r["id"] for r in got.collect()) == ["e8", "e9"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+class Reader:
+    """Stands for a Kafka reader (the connector is not installed): keeps the options it is given."""
+
+    def __init__(self, messages):
+        self.messages, self.given = messages, {}
+
+    def format(self, name):
+        self.given["format"] = name
+        return self
+
+    def option(self, name, value):
+        self.given[name] = value
+        return self
+
+    def options(self, **more):
+        self.given.update(more)
+        return self
+
+    def load(self):
+        return self.messages
+
+
+def test_kafka_options_and_arrival_order(spark):
+    from types import SimpleNamespace
+
+    messages = spark.createDataFrame(
+        [(bytearray(b"AC-1"), bytearray(b'{"unit_id": "1", "lat": 2.0}'), TOPICS["gps"], 0, 42)],
+        "key binary, value binary, topic string, partition int, offset bigint",
+    )
+    stream, batch_reader = Reader(messages), Reader(messages)
+    session = SimpleNamespace(readStream=stream, read=batch_reader)
+    row = topics.read_topic(session, "gps", "host:1", starting="latest").first()
+    assert (row["unit_id"], row["lat"], row["seq"]) == ("AC-1", 2.0, 42)
+    assert stream.given["format"] == "kafka" and stream.given["startingOffsets"] == "latest"
+    topics.read_messages(session, "host:1", ["a", "b"], streaming=False, options={"failOnDataLoss": "false"})
+    assert batch_reader.given["subscribe"] == "a,b" and batch_reader.given["startingOffsets"] == "earliest"
+    assert batch_reader.given["failOnDataLoss"] == "false"
