@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import dac, packing
+from gridlark.llm import bwt_dedup, dac, decontaminate, katz, language, packing, secrets
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
 from gridlark.plans.session import prepare, scratch_path
@@ -15,6 +15,28 @@ from gridlark.plans.session import prepare, scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op2_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from rows that are not held out."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into pieces of sequences of 2,048 tokens, along a Hilbert curve."""
     packed = packing.pack(table(prepare(spark), sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
@@ -23,6 +45,26 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-off bigram scores of every document, learned from rows that are not held out."""
+    return katz.score(table(prepare(spark), sf_dir, "documents"))
+
+
+def op6_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: by pattern, and by few characters per token."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, vocabulary_path("byte_bpe_50k.tiktoken"))
+    base = secrets.listing(F.col("found"), secrets.KINDS[:3])
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(base, 256).alias("base_sha256"),
+        secrets.listing(F.col("found")).alias("spans"),
+    )
+
+
 def op7_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in directly addressable codes and read back."""
     folder = scratch_path(prepare(spark), "dac")
@@ -30,5 +72,11 @@ def op7_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_curve_packing, op7_addressable_codes)}
+def op9_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that an earlier one has."""
+    cleaned = bwt_dedup.clean(table(prepare(spark), sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op9_merged_transforms)}
 ORACLE: dict[str, str] = {}

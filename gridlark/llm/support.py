@@ -9,6 +9,7 @@ columns, a row for each (group, bucket), and keep one order, so that an answer l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +90,33 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 FOLDED_VALUES = BYTE_VALUES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 
 
+#: Bytes of which range_hashes keeps prefix sums at a time (40 bytes each), and more only for longer ranges.
+_BLOCK = 1 << 20
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """64-bit hashes of data[start:end], a function of those bytes alone."""
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * powers(n)[:n], out=prefix[1:])
-    back = powers(n + 1, _INVERSE)
-    return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """64-bit hashes of data[start:end], a function of those bytes alone; starts ascend."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.append(np.searchsorted(starts, np.arange(0, max(len(data), 1), _BLOCK)), len(starts))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if lo < hi:
+            base, stop = int(starts[lo]), int(ends[lo:hi].max())
+            forth, back = _factors(stop - base + 1)
+            prefix = np.zeros(stop - base + 1, np.uint64)
+            np.cumsum(values[data[base:stop]] * forth[: stop - base], out=prefix[1:])
+            first, last = starts[lo:hi] - base, ends[lo:hi] - base
+            out[lo:hi] = (prefix[last] - prefix[first]) * back[first] + (last - first).astype(np.uint64) * _ODD
+    return mix(out)
+
+
+@lru_cache(maxsize=4)
+def _power_table(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(1 << bits), powers(1 << bits, _INVERSE)
+
+
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    forth, back = _power_table(max(n, 2).bit_length())
+    return forth[:n], back[:n]
 
 
 def words(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

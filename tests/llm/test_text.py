@@ -1,0 +1,307 @@
+"""Decontamination, language ID, language model, secrets and repeated strings, each against brute force."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridlark.llm import bwt_dedup, decontaminate, katz, language, secrets
+from gridlark.llm import queries as Q
+from gridlark.llm.tokens import vocabulary_path
+from llm.conftest import DATA
+
+RANKS = vocabulary_path("byte_bpe_50k.tiktoken")
+FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# --- decontamination -------------------------------------------------------------------------------------------
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+
+
+def brute_hits(text, items, window):
+    own, hit, found = words(text), set(), set()
+    for item, body in items:
+        w = words(body)
+        for i in range(max(len(w) - window + 1, min(len(w), 1))):
+            part = w[i : i + window]
+            for j in range(len(own) - len(part) + 1):
+                if own[j : j + len(part)] == part:
+                    hit.update(range(j, j + len(part)))
+                    found.add(item)
+    return len(own), len(hit), found
+
+
+_TEXT = st.lists(st.sampled_from("abc"), max_size=25).map(" ".join)
+
+
+@given(st.lists(_TEXT, max_size=6), st.lists(_TEXT, min_size=1, max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_automaton_finds_what_brute_force_finds(items, texts):
+    named = list(enumerate(items))
+    scanner = decontaminate.Scanner([(i, decontaminate.words_of(t.encode())) for i, t in named], 4)
+    for text in texts:
+        own = decontaminate.words_of(text.encode())
+        hit, found = np.zeros(len(own), bool), set()
+        scanner.scan(own, hit, found)
+        assert (len(own), int(hit.sum()), found) == brute_hits(text, named, 4)
+
+
+def test_decontamination_query(spark, texts):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    got = by_id(Q.QUERIES["op1_suffix_automaton"](spark, DATA), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    some = False
+    for doc_id, text in texts.items():
+        n, h, found = brute_hits(text, items, 13) if len(text or "") < 20_000 else (None,) * 3
+        if n is not None:
+            listed = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+            assert got[doc_id] == (n, h, len(found), listed, h > 0 and 20 * h >= n)
+            some |= h > 0
+    assert some
+
+
+def test_decontamination_awkward(spark, awkward, no_documents, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RESIDENT", 1)
+    items = [(1, "Alpha BETA gamma"), (2, None), (3, ""), (None, "alpha"), (4, "delta"), (4, "delta"), (5, "some words " * 20)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_hit", F.lit(0))
+    named = [(i, t) for i, t in items if i is not None and t]
+    for block in (1000, 8):  # one block; several, read after read
+        rows = decontaminate.scan(awkward, bench, block_words=block, prefix="x_").collect()
+        assert len(rows) == awkward.count()
+        for r in rows:
+            if len(r["text"] or "") < 5000:
+                n, h, found = brute_hits(r["text"], named, 13)
+                assert (r["x_n_words"], r["x_n_hit"], set(r["x_items"])) == (n, h, found) and r["items"] == "clash"
+    assert decontaminate.scan(no_documents, bench).count() == 0
+    assert {r["x_n_hit"] for r in decontaminate.scan(awkward, bench.limit(0), prefix="x_").collect()} == {0}
+
+
+# --- language ----------------------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_rows(spark, documents):
+    got = by_id(Q.QUERIES["op2_output_codes"](spark, DATA), "held_out", "lang_pred", "score", "ambiguous")
+    truth = by_id(documents, "lang")
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in got.items() if r[0]} == set(held)
+    assert np.mean([got[i][1] == truth[i][0] for i in held]) > 0.95
+    assert all(0 <= r[2] <= 1 for r in got.values())
+
+
+def test_language_awkward(awkward, documents, no_documents):
+    model = language.train(documents)
+    rows = language.predict(awkward, model, prefix="x_").collect()
+    assert len(rows) == awkward.count()
+    for r in rows:
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (r["x_lang_pred"], r["x_score"], r["x_ambiguous"]) == ("und", 0.0, False)
+        else:
+            assert r["x_lang_pred"] in model.languages and r["score"] == "clash"
+    assert language.predict(no_documents, model).count() == 0
+    nothing = language.train(no_documents)
+    assert {r["x_lang_pred"] for r in language.predict(awkward, nothing, prefix="x_").collect()} == {"und"}
+    one = language.train(documents.where("lang = 'en'"))
+    assert {r["lang_pred"] for r in language.predict(documents.limit(5), one).collect()} == {"en"}
+
+
+def test_language_does_not_depend_on_neighbours(documents):
+    model = language.train(documents)
+    all_of = by_id(language.predict(documents.select("doc_id", "text"), model), "lang_pred", "score")
+    alone = by_id(language.predict(documents.select("doc_id", "text").where("doc_id = 7"), model), "lang_pred", "score")
+    assert all_of[7][0] == alone[7][0] and abs(all_of[7][1] - alone[7][1]) < 1e-6
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20, 60])
+def test_codewords_differ(n):
+    code = language.codewords(n)
+    assert len({tuple(r) for r in code}) == n
+    assert len({tuple(c * c[0]) for c in code.T}) == code.shape[1] and (np.abs(code.sum(axis=0)) < n).all()
+
+
+# --- language model ------------------------------------------------------------------------------------------------
+
+
+def lm_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD)) + ["</s>"]
+
+
+def brute_model(rows):
+    """Scores by plain dictionaries; and the pieces, to check that the model is normalised."""
+    train = [lm_words(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    one, two, hist, follow = Counter(), Counter(), Counter(), defaultdict(set)
+    for seq in train:
+        for h, w in zip(["<s>", *seq], seq):
+            one[w] += 1
+            two[h, w] += 1
+            hist[h] += 1
+            follow[h].add(w)
+    having = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, 7)])
+    d1, d2 = katz.discounts(having(one)), katz.discounts(having(two))
+    cut = lambda r, d: r * (d[r - 1] if r <= 5 else 1)
+    n = sum(one.values())
+    left = 1 - sum(cut(c, d1) for c in one.values()) / n if n else 1.0
+
+    def p1(w):
+        return cut(one[w], d1) / n if one[w] else left
+
+    def p(h, w):
+        if not hist[h]:
+            return p1(w)
+        whole, d = hist[h], d2
+        if all(two[h, x] > 5 for x in follow[h]):
+            whole, d = whole + 1, np.ones(5)
+        if two[h, w]:
+            return cut(two[h, w], d) / whole
+        rest = 1 - sum(cut(two[h, x], d) for x in follow[h]) / whole
+        return rest / (1 - sum(p1(x) for x in follow[h])) * p1(w)
+
+    return one, n, hist, p, p1, left
+
+
+def check_scores(got, rows):
+    one, n, hist, p, p1, left = brute_model(rows)
+    v = len(one)
+    for (i, held, tokens, known, total, base, score), (j, text) in zip(got, rows):
+        seq = lm_words(text)
+        assert (i, tokens, known, total) == (j, len(seq), sum(one[w] > 0 for w in seq), n)
+        assert held == (i is None or zlib.crc32(str(i).encode()) % 10 == 0)
+        assert math.isclose(base, sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in seq), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(score, sum(math.log10(p(h, w)) for h, w in zip(["<s>", *seq], seq)), rel_tol=1e-7, abs_tol=1e-7)
+    for h in [*list(hist)[:40], "never seen"]:
+        assert math.isclose(sum(p(h, w) for w in one) + p(h, "new word"), 1, rel_tol=1e-9)
+
+
+def test_scores_query(spark, texts):
+    rows = sorted(texts.items())
+    got = sorted(tuple(r) for r in Q.QUERIES["op5_katz_backoff"](spark, DATA).collect())
+    check_scores(got, rows)
+
+
+def test_scores_awkward(awkward, no_documents):
+    rows = [(r["doc_id"], r["text"]) for r in awkward.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in katz.score(awkward).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, len(lm_words(r[1])) if isinstance(r[1], str) or r[1] is None else r[2])
+    check_scores(sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[2])), sorted(rows, key=order))
+    assert katz.score(no_documents).count() == 0
+
+
+# --- secrets -------------------------------------------------------------------------------------------------------
+
+
+def brute_base(text):
+    out, text = [], text or ""
+    pattern = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for kind, p, ok in (
+        ("assign", pattern, lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        out += [(m.start(), ("assign", "access", "hex").index(kind), kind, m.end()) for m in re.finditer(p, text) if ok(m)]
+    return [f"{k}:{s}:{e}" for s, _, k, e in sorted(out)]
+
+
+def test_secrets_query(spark, texts):
+    got = by_id(Q.QUERIES["op6_token_efficiency"](spark, DATA), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    some = 0
+    for i, text in texts.items():
+        base = brute_base(text)
+        kinds = Counter(b.split(":")[0] for b in base)
+        assert got[i][:3] == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert got[i][3] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in got[i][4].split(",") if s and not s.startswith("token")] == base
+        some += len(base)
+    assert some
+
+
+def test_random_strings_are_found_and_known_ones_left_alone():
+    encoding = secrets.vocabulary(RANKS)
+    find = lambda t: [t[s:e] for _, s, e in secrets.token_spans(t, encoding)]
+    key = "q7Zk2vX9bT4mW1pL8sRd3Yf6"
+    assert find(f"see {key} here") == [key]
+    assert find(hashlib.sha256(b"x").hexdigest()) == [] and find("123e4567-e89b-12d3-a456-426614174000") == []
+    assert find("internationalisation_of_configuration and Antidisestablishmentarianism") == []
+
+
+@given(st.text(st.sampled_from("aA1b_=: \"'kKAIPasswordſ0f"), max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_base_spans_equal_brute_force(text):
+    text = text + " password = 'abcdef' AKIA" + "A1" * 9
+    assert [f"{k}:{s}:{e}" for k, s, e in sorted(secrets.base_spans(text), key=lambda s: (s[1], secrets.KINDS.index(s[0])))] == brute_base(text)
+
+
+def test_secrets_awkward(awkward, no_documents):
+    rows = secrets.scan(awkward, RANKS, prefix="x_", redacted=True).collect()
+    assert len(rows) == awkward.count() and {r["found"] for r in rows} == {"clash"}
+    assert [r["text"] for r in rows if r["doc_id"] == 1] == [None]
+    assert secrets.scan(no_documents, RANKS).count() == 0
+    assert secrets.redact("a password=abcdefg b", [("assign", 2, 18), ("token", 11, 18)]) == "a [SECRET] b"
+
+
+# --- repeated strings ----------------------------------------------------------------------------------------------
+
+
+def brute_clean(rows, length):
+    """(n_bytes, n_removed, n_spans, kept) of each row."""
+    raw = [((i if i is not None else math.inf), (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, b in raw:
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            first[w] = min(first.get(w, math.inf), i)
+    out = []
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = True
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        out.append((len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+def test_repeats_query(spark, texts):
+    got = by_id(Q.QUERIES["op9_merged_transforms"](spark, DATA), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = sorted(texts.items())
+    for (i, _), (n, removed, spans, kept) in zip(rows, brute_clean(rows, 50)):
+        assert got[i] == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+    assert sum(r[1] for r in got.values())
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeats_awkward(awkward, no_documents, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT_KEY", hot)
+    awkward = awkward.where("doc_id is null or doc_id <> 4")
+    rows = [(r["doc_id"], r["text"]) for r in awkward.select("doc_id", "text").collect()]
+    got = sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in bwt_dedup.clean(awkward).collect())
+    assert got == sorted(repr((i, *w)) for (i, _), w in zip(rows, brute_clean(rows, 50)))
+    assert bwt_dedup.clean(no_documents).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.text("ab", min_size=1, max_size=30)), min_size=1, max_size=12), st.integers(2, 9))
+@settings(max_examples=150, deadline=None)
+def test_merged_transforms_give_first_owners(texts, length):
+    data = np.frombuffer(b"".join(t.encode() + b"\x00" for _, t in texts), np.uint8)
+    ends = np.cumsum([len(t) + 1 for _, t in texts]) - 1
+    owners = np.array([o for o, _ in texts])
+    size, bwt_dedup.SHARD_BYTES = bwt_dedup.SHARD_BYTES, 16
+    try:
+        got = bwt_dedup.first_owner(data, ends, owners, length)
+    finally:
+        bwt_dedup.SHARD_BYTES = size
+    begin = ends + 1 - [len(t) + 1 for _, t in texts]
+    for k, (_, t) in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            assert got[begin[k] + p] == min(o for o, u in texts if t[p : p + length] in u)
