@@ -43,7 +43,7 @@ def codewords(languages: int) -> np.ndarray:
         return np.where((splits[None, :] >> np.arange(languages)[:, None]) & 1 == 1, 1, -1).astype(np.int8)
     count = 10 * int(np.ceil(np.log2(languages)))
     drawn = mix(np.arange(1, languages * count * 4 + 1)).reshape(-1, languages) & np.uint64(1)
-    bits = list(dict.fromkeys(tuple(r ^ r[0]) for r in drawn.tolist() if 0 < sum(r) < languages))[:count]
+    bits = list(dict.fromkeys(tuple(v ^ r[0] for v in r) for r in drawn.tolist() if 0 < sum(r) < languages))[:count]
     return np.where(np.array(bits).T == 1, 1, -1).astype(np.int8)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import bwt_dedup, dac, decontaminate, katz, language, packing, secrets
+from gridlark.llm import bwt_dedup, dac, decontaminate, katz, language, multi_index, packing, secrets
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
 from gridlark.plans.session import prepare, scratch_path
@@ -78,5 +78,10 @@ def op9_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op9_merged_transforms)}
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return multi_index.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op9_merged_transforms, op10_multi_index)}
 ORACLE: dict[str, str] = {}
