@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import bwt_dedup, dac, decontaminate, katz, language, multi_index, packing, secrets
+from gridlark.llm import bwt_dedup, dac, dart_minhash, decontaminate, katz, language, multi_index, packing, secrets
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
 from gridlark.plans.session import prepare, scratch_path
@@ -72,6 +72,11 @@ def op7_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return dart_minhash.classes(table(prepare(spark), sf_dir, "documents"))
+
+
 def op9_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-byte strings that an earlier one has."""
     cleaned = bwt_dedup.clean(table(prepare(spark), sf_dir, "documents"))
@@ -83,5 +88,5 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op9_merged_transforms, op10_multi_index)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op8_dart_minhash, op9_merged_transforms, op10_multi_index)}
 ORACLE: dict[str, str] = {}
