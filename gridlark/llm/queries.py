@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import bwt_dedup, dac, dart_minhash, decontaminate, katz, language, multi_index, packing, secrets
+from gridlark.llm import bwt_dedup, dac, dart_minhash, decontaminate, katz, language, multi_index, packing, quotes, secrets
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
 from gridlark.plans.session import prepare, scratch_path
@@ -45,6 +45,12 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in reply order: what it answers, its quotes, and the checksum of what it says itself."""
+    linked = quotes.conversations(table(prepare(spark), sf_dir, "conversations"))
+    return linked.withColumn("body_sha256", F.sha2("body", 256)).drop("body")
+
+
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back-off bigram scores of every document, learned from rows that are not held out."""
     return katz.score(table(prepare(spark), sf_dir, "documents"))
@@ -88,5 +94,5 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op8_dart_minhash, op9_merged_transforms, op10_multi_index)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op4_quotation_links, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op8_dart_minhash, op9_merged_transforms, op10_multi_index)}
+ORACLE: dict[str, str] = {"op4_quotation_links": quotes.SQL}
