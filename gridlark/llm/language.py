@@ -27,7 +27,7 @@ FEATURE_BITS = 16
 #: Up to so many languages every split into two halves is a bit; beyond, bits are drawn by a hash.
 ALL_SPLITS = 6
 #: A text is ambiguous if its second language is at least this likely beside the first.
-AMBIGUOUS = 0.4
+AMBIGUOUS = 0.9
 UNDETERMINED = "und"
 _EPOCHS, _RATE, _DECAY = 12, 1.0, 1e-5
 #: Lower-cases A-Z; all that is no letter in ASCII becomes a space.
