@@ -76,10 +76,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def score(value: Column) -> Column:
-    """Scores are compared and reported at six places, so ranking does not depend on
-    the order in which the products were summed."""
+    """A score as it is reported; ranking uses the full one."""
     return round_stat(value, SCORE_PLACES)
 
-
-def vector_literal(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])

@@ -217,19 +217,16 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return col.cast("string")
 
 
-def embedding_text(df: DataFrame, fields: Sequence[str], limit: int = 1000) -> DataFrame:
-    """Chosen fields as one text: arrays and structs are joined, missing fields and blank
-    results skipped. The whole text is what gets encoded; ``text_content`` is what is stored."""
+def embedding_text(df: DataFrame, fields: Sequence[str], preview: int = 500) -> DataFrame:
+    """Chosen fields as one whole text, ``text_content``: arrays and structs are joined, missing fields and blank
+    results skipped. ``text_preview`` is its beginning, for listings."""
     present = [f for f in fields if f in df.columns]
     text = F.concat_ws(" ", *[_as_text(df, f) for f in present])
-    rows = df.withColumn("embedding_input", text).where(F.btrim("embedding_input", F.lit(BLANKS)) != "")
-    return rows.withColumn("text_content", F.substring("embedding_input", 1, limit))
-
-
-# How many rows of each operational table are embedded, from which columns.
-OPERATIONAL_ROWS = 50
+    rows = df.withColumn("text_content", text).where(F.btrim("text_content", F.lit(BLANKS)) != "")
+    return rows.withColumn("text_preview", F.substring("text_content", 1, preview))
 
 
+# From which columns the rows of each operational table are embedded.
 @dataclass(frozen=True)
 class OperationalText:
     source_type: str
@@ -272,15 +269,17 @@ OPERATIONAL = {
 }
 
 
-def operational_embeddings(tables: dict[str, DataFrame], n: int = OPERATIONAL_ROWS) -> DataFrame:
-    """Up to ``n`` rows of each operational table as text with metadata, newest first where
-    the table is time-ordered (others by id, so that the choice is stable)."""
+def operational_embeddings(tables: dict[str, DataFrame], n: int | None = None) -> DataFrame:
+    """The rows of each operational table as text with metadata. With ``n``, only so many of each: the newest where
+    the table is time-ordered, others by id."""
     out = None
     for name, df in tables.items():
         spec = OPERATIONAL[name]
         needed = {p.split("}")[0] for p in spec.pattern.split("{")[1:]} | set(spec.metadata)
         rows = df.withColumns({c: F.lit(None).cast("string") for c in needed if c not in df.columns})
-        if spec.newest_first:
+        if n is None:
+            pass
+        elif spec.newest_first:
             rows = top_recent(rows, n, tie=spec.id_column)
         else:
             rows = rows.orderBy(spec.id_column, *[F.col(c).desc() for c in ("timestamp", "seq") if c in df.columns]).limit(n)
@@ -300,12 +299,12 @@ def operational_embeddings(tables: dict[str, DataFrame], n: int = OPERATIONAL_RO
 
 
 # --- knowledge base --------------------------------------------------------------------------------
-KB_ROWS = 50
-
-
-def kb_list(df: DataFrame, id_column: str, n: int = KB_ROWS) -> DataFrame:
-    """First rows of a knowledge table without its vectors."""
-    return df.drop("embedding").orderBy(id_column).limit(n)
+def kb_list(df: DataFrame, id_column: str, after: str | None = None, n: int | None = None) -> DataFrame:
+    """A knowledge table without its vectors: all rows, or the page of ``n`` whose ids follow ``after``."""
+    rows = df.drop("embedding")
+    if after is not None:
+        rows = rows.where(F.col(id_column) > after)
+    return rows if n is None else rows.orderBy(id_column).limit(n)
 
 
 KB_DDL = {

@@ -184,19 +184,25 @@ def vector_search(
 ) -> DataFrame:
     """Exact cosine top-k over every row that has a vector, optionally filtered first.
 
-    There is no candidate cap: each task keeps its own best k, so only k rows per task travel.
+    There is no candidate cap: each task keeps its own best k, so only k rows per task travel. Rows are ranked by the
+    full score; it is rounded to six places only where it is shown.
     """
     similarity = _cosine_to(np.asarray(query_vector, dtype=np.float64))
     out = None
     for place, (name, table) in enumerate(tables.items()):
         usable = table.df.where(where) if where is not None else table.df
         source = Collection(usable, table.id_column, table.text_column, table.merge_id, table.line)
-        part = _hits(name, place, source, V.score(similarity(vector_column)))
+        part = _hits(name, place, source, similarity(vector_column))
         out = part if out is None else out.unionByName(part)
     # rows without a score come last: dropping them after the limit keeps the scoring to one pass
     return _best(out, k).where("score IS NOT NULL")
 
 
+def shown(hits: DataFrame, column: str = "score") -> DataFrame:
+    """Hits with the score as it is reported, at six places."""
+    return hits.withColumn(column, V.score(F.col(column)))
+
+
 def index_score(similarity: Column) -> Column:
     """Score as a vector index reports it: cosine mapped to 0..1."""
     return (similarity + 1.0) / 2.0
@@ -254,7 +260,7 @@ def vector_search_batch(
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(doc_id))
     # the rank limit is applied again before the exchange, so a task sends k rows per query
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", doc_id, "score")
+    return shown(ranked.select(query_id, "rank", doc_id, "score"))
 
 
 def _blocks(queries: DataFrame, query_id: str, vector_column: str, block_bytes: int):
@@ -304,8 +310,8 @@ def _scorer(shared, k: int, schema: pa.Schema):
                 names = part.column(0).filter(pa.array(present)).to_numpy(zero_copy_only=False)[usable]
                 order = np.argsort(names, kind="stable")  # ties go to the smaller id
                 names, docs = names[order], docs[order]
-                # scores are compared at six places, like everywhere else
-                scores = np.round(unit @ docs.T, V.SCORE_PLACES) + 0.0
+                # summed pair by pair: a pair's score is the same in whatever block, so equal vectors tie exactly
+                scores = np.einsum("qd,nd->qn", unit, docs)
                 for q in np.flatnonzero(scores.max(axis=1) >= worst):
                     best = [(-scores[q, i], names[i]) for i in _top(scores[q], k)]
                     kept[q] = heapq.nsmallest(k, kept[q] + best)
@@ -347,9 +353,12 @@ def _numbered(hits: DataFrame) -> DataFrame:
     first = F.when(F.col("origin") == "keyword", 0).otherwise(1)
     fields = ("_first", "_order", "priority", "hit_id", "collection", "text", "line", "origin", "score")
     rows = hits.withColumn("_first", first).groupBy().agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    return rows.select(F.size("rows").alias("total"), F.posexplode("rows").alias("position", "r")).select(
-        (F.col("position") + 1).alias("rank"), "total", "r.collection", "r.hit_id", "r.origin", "r.score",
-        "r.line", "r.text",
+    numbered = rows.select(F.size("rows").alias("total"), F.posexplode("rows").alias("position", "r"))
+    return shown(
+        numbered.select(
+            (F.col("position") + 1).alias("rank"), "total", "r.collection", "r.hit_id", "r.origin", "r.score",
+            "r.line", "r.text",
+        )
     )
 
 
@@ -370,7 +379,10 @@ def answer(query: str, tables: dict[str, Collection], search_type: str = "hybrid
     if not query:
         raise ValueError("No query provided")
     domain = intent_of(query)
-    routed = {name: tables[name] for name in ROUTES.get(domain, DEFAULT_ROUTE) if name in tables}
+    route = ROUTES.get(domain, DEFAULT_ROUTE)
+    if missing := [name for name in route if name not in tables]:
+        raise ValueError(f"questions about {domain or 'no domain'} search {', '.join(route)}; not given: {', '.join(missing)}")
+    routed = {name: tables[name] for name in route}
     results = search(query, routed, search_type)
     return results_page(results), summarise(results, query, domain)
 

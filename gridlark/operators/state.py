@@ -12,7 +12,7 @@ from gridlark.functions.numbers import ratio
 # Seconds a cached record stays current, and rows per recent read.
 FRESH_SECONDS = {"aircraft": 30, "naval": 30, "gps": 60, "sigint": 120, "cyber": 600}
 RECENT_ROWS = {
-    "alerts": 25, "cyber": 25, "cyber_merge": 20, "sigint_merge": 30, "breakout": 20, "embm": 20,
+    "alerts": 25, "cyber": 25, "breakout": 20, "embm": 20,
     "passes": 20, "jsir": 20, "fallback": 50,
 }
 FRIENDLY_PREFIXES = ("US-", "UK-")
@@ -78,7 +78,7 @@ def _fresh_rows(df: DataFrame, ttl_seconds: int, now_ms: Column | int) -> DataFr
     ttl = F.lit(ttl_seconds * 1000)
     if "day" in df.columns:  # a table laid out by day: older days are not opened
         df = df.where(F.col("day") >= F.to_date(F.timestamp_millis((now - ttl).cast("bigint"))))
-    return df.where(now - F.col("timestamp") < ttl)
+    return df.where(F.col("timestamp") > now - ttl)  # the bare column: the predicate can reach the files
 
 
 def state_fresh(
@@ -127,12 +127,13 @@ def composite_key(*columns: str) -> Column:
 
 
 def union_dedupe_merge(
-    history: DataFrame, cache: DataFrame, n: int, key_columns: Sequence[str]
+    history: DataFrame, cache: DataFrame, key_columns: Sequence[str]
 ) -> DataFrame:
-    """Newest history rows first, then cached rows whose composite key is not there yet."""
+    """All history rows, then cached rows whose composite key is not there yet. ``top_recent`` pages the result."""
     shared = [c for c in history.columns if c in cache.columns]
-    recent = top_recent(history, n).select(*shared)
-    return merge_first_wins([recent, cache.select(*shared)], composite_key(*key_columns), ("timestamp", "seq"))
+    return merge_first_wins(
+        [history.select(*shared), cache.select(*shared)], composite_key(*key_columns), ("timestamp", "seq")
+    )
 
 
 def readiness_rollup(current: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def readiness_rollup(current: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_tracked"),
     )
     overall = F.col("fuel") * 0.3 + F.col("ammo") * 0.3 + F.col("comms") * 0.2 + F.col("equip") * 0.2
-    rounded = lambda c: F.round(c.cast("decimal(28,6)"), 1).cast("double")
+    rounded = lambda c: F.round(c.cast("decimal(28,10)"), 1).cast("double")
     return folded.select(
         rounded(overall).alias("overall"),
         rounded(F.col("fuel")).alias("fuel_avg"),

@@ -317,7 +317,7 @@ def _merge_cyber(spark, sf_dir):
     raw = dom.raw("cyber")
     cache = S.state_fresh(raw, "incident_id", DAY, S.latest_time(raw))
     return _public(
-        S.union_dedupe_merge(dom.cyber, cache, S.RECENT_ROWS["cyber_merge"], ("incident_id", "source_ip", "timestamp"))
+        S.union_dedupe_merge(dom.cyber, cache, ("incident_id", "source_ip", "timestamp"))
     )
 
 
@@ -328,7 +328,7 @@ def _merge_sigint(spark, sf_dir):
     cache = S.state_fresh(raw, "intercept_id", DAY, S.latest_time(raw))
     return _public(
         S.union_dedupe_merge(
-            dom.sigint, cache, S.RECENT_ROWS["sigint_merge"], ("intercept_id", "frequency_mhz", "timestamp")
+            dom.sigint, cache, ("intercept_id", "frequency_mhz", "timestamp")
         )
     )
 
@@ -382,7 +382,7 @@ STREAMS = ("gps", "aircraft", "naval", "cyber", "sigint", "satellite", "jsir", "
 def _messages(spark, sf_dir, stream: str) -> DataFrame:
     raw = feeds.__dict__[f"{stream}_raw"](spark, sf_dir)
     columns = [*stream_columns(stream), "seq"]
-    return topics.as_messages(tables.spread(raw.select(*columns)), KEYS[stream], TOPICS[stream], keep=("seq",))
+    return topics.as_messages(raw.select(*columns), KEYS[stream], TOPICS[stream], keep=("seq",))
 
 
 for _stream in STREAMS:
@@ -584,7 +584,7 @@ for _kind in ("aircraft", "naval", "cyber"):
 for _name, _sep in (("lines", "\n"), ("paragraphs", "\n\n")):
     register(f"doc_chunk_{_name}")(
         lambda s, d, sep=_sep: C.chunk(
-            tables.spread(feeds.load(s, d, "documents").select("doc_id", "text")), sep, "doc_id", "text"
+            feeds.load(s, d, "documents").select("doc_id", "text"), sep, "doc_id", "text"
         )
     )
 
@@ -595,7 +595,7 @@ def _embed_text(spark, sf_dir):
         "doc_id", "lang", F.array("source", "lang").alias("tags"),
         F.struct("source", "n_chars").alias("origin"), "text",
     )
-    return C.embedding_text(docs, ("lang", "tags", "origin", "absent", "text"), 500).select("doc_id", "text_content")
+    return C.embedding_text(docs, ("lang", "tags", "origin", "absent", "text")).select("doc_id", "text_content")
 
 
 @register("doc_embed_operational")
@@ -619,7 +619,7 @@ register("emb_hash")(
     )
 )
 register("emb_batch")(
-    lambda s, d: _fingerprint(Q.embed(tables.spread(feeds.load(s, d, "documents").select("doc_id", "text")), "text"), "doc_id")
+    lambda s, d: _fingerprint(Q.embed(feeds.load(s, d, "documents").select("doc_id", "text"), "text"), "doc_id")
 )
 
 
@@ -713,7 +713,7 @@ def _collections(spark, sf_dir, vectors: bool = False) -> dict[str, Q.Collection
             "{attack_type} [{severity}] - {threat_actor} → {target_facility}",
         ),
         "kb_equipment": table(
-            tables.spread(_kb_equipment(spark, sf_dir)), "equipment_id", "equipment_id",
+            _kb_equipment(spark, sf_dir), "equipment_id", "equipment_id",
             "{name} ({equipment_type}) - {country_of_origin}",
         ),
         "kb_threat_actors": table(
@@ -734,15 +734,15 @@ def _keyword_texts(spark, sf_dir):
         "turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     )
     texts = {
-        "documents": Q.Collection(tables.spread(feeds.load(spark, sf_dir, "documents")), "doc_id", "text"),
-        "pages": Q.Collection(tables.spread(feeds.load(spark, sf_dir, "pages")), "page_id", "html"),
+        "documents": Q.Collection(feeds.load(spark, sf_dir, "documents"), "doc_id", "text"),
+        "pages": Q.Collection(feeds.load(spark, sf_dir, "pages"), "page_id", "html"),
         "conversations": Q.Collection(turns, "turn_id", "text"),
     }
     return Q.keyword_search("the then station, whether éaux or ERETH", texts).select("collection", "hit_id", "score")
 
 
 register("search_vector")(
-    lambda s, d: Q.semantic_search(QUESTION, _collections(s, d, vectors=True)).select(
+    lambda s, d: Q.shown(Q.semantic_search(QUESTION, _collections(s, d, vectors=True))).select(
         "collection", "hit_id", "text", "score"
     )
 )
@@ -759,7 +759,7 @@ def _vector_index(spark, sf_dir):
     query = feeds.load(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"]
     table = {"vector_embeddings": Q.Collection(rows, "source_id", "text_content")}
     hits = Q.vector_search(query, table, where=F.col("source_type") == "TYPE-3")
-    return hits.select("hit_id", "text", Q.index_score(F.col("score")).alias("score"))
+    return Q.shown(hits.select("hit_id", "text", Q.index_score(F.col("score")).alias("score")))
 
 
 @register("search_many")
@@ -775,7 +775,7 @@ def _many(spark, sf_dir):
 def _many_texts(spark, sf_dir):
     """Every benchmark text as a query against all whole documents."""
     queries = Q.embed(feeds.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
-    docs = Q.embed(tables.spread(feeds.load(spark, sf_dir, "documents").select("doc_id", "text")), "text")
+    docs = Q.embed(feeds.load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return Q.vector_search_batch(queries, docs, 10)
 
 
@@ -842,16 +842,16 @@ def _query_log(spark, sf_dir):
 
 
 # --- streaming -----------------------------------------------------------------------------------------------
-def _streams(spark, sf_dir, profile: str = "classic") -> streaming.Streams:
-    return streaming.Streams(streaming.file_stream(spark, f"{sf_dir}/events.parquet", feeds.TABLES["events"]), profile)
+#: Partitions of streaming state. A checkpoint keeps its number for good: choose it for the data, not for the machine.
+STATE_PARTITIONS = 8
 
 
-def _state_partitions(spark) -> int:
-    return min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _streams(spark, sf_dir, profile: str = "classic") -> streaming.Streams:
+    return streaming.Streams(streaming.file_stream(spark, f"{sf_dir}/events.parquet", feeds.TABLES["events"]), profile)
 
 
 def _finished(spark, df, name, mode="append") -> DataFrame:
-    return spark.read.parquet(streaming.finish(df, name, mode, state_partitions=_state_partitions(spark)))
+    return spark.read.parquet(streaming.finish(df, name, mode, state_partitions=STATE_PARTITIONS))
 
 
 @register("stream_tumbling")
@@ -873,14 +873,14 @@ def _stream_changes(spark, sf_dir):
     """Every change of a window emitted; the table of last changes equals the batch answer."""
     agg = W.flatten_window(W.grid_threat(_streams(spark, sf_dir).sigint, "setup"))
     return streaming.finish_changes(
-        agg, "grid_threat", ("window_start", "grid_square"), ("intercept_count",), _state_partitions(spark)
+        agg, "grid_threat", ("window_start", "grid_square"), ("intercept_count",), STATE_PARTITIONS
     ).select(*agg.columns)
 
 
 @register("stream_stateful_latest")
 def _stream_latest(spark, sf_dir):
     changes = streaming.gps_latest_changes(_streams(spark, sf_dir).gps_raw)
-    table = streaming.finish_changes(changes, "gps_latest", "unit_id", ("updates",), _state_partitions(spark))
+    table = streaming.finish_changes(changes, "gps_latest", "unit_id", ("updates",), STATE_PARTITIONS)
     return table.drop("updates")
 
 

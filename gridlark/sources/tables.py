@@ -10,16 +10,6 @@ from pyspark.sql import functions as F
 from gridlark.operators.state import latest_record
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan, spread over all cores when it has fewer partitions than there are cores.
-
-    For work that is heavy per row on small inputs. A large table has more splits than
-    cores and is left alone, so nothing is shuffled there.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def snapshot_plus_changes(
     snapshot: DataFrame, changes: DataFrame, key: str | Sequence[str], order: Sequence[str]
 ) -> DataFrame:

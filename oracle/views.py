@@ -22,7 +22,7 @@ def rnd(expr: str, n: int) -> str:
 
 def stat(expr: str, n: int) -> str:
     """ROUND of an aggregate, immune to summation order."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(28,6)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(28,10)), {n}) AS DOUBLE)"
 
 
 def whole(expr: str) -> str:

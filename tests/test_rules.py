@@ -332,3 +332,8 @@ def test_supply_grades(spark):
     rounded = [r["status"] for r in S.supply_status(df, rounded=True).collect()]
     assert exact == ["AMBER", "GREEN", "AMBER", "RED", "GREEN", "RED"]
     assert rounded == ["AMBER", "GREEN", "RED", "RED", "AMBER", "RED"]
+
+
+def test_a_value_is_rounded_once(spark):
+    df = spark.createDataFrame([(0.0499999999,), (0.25,), (-0.05,)], "x double")
+    assert [r[0] for r in df.select(round_stat(F.col("x"), 1)).collect()] == [0.0, 0.3, -0.1]

@@ -92,6 +92,20 @@ def brute(query, data, k):
     return [(i, -s) for s, i in sorted(scored)[:k]]
 
 
+def test_near_ties_are_ranked_by_the_full_score(spark):
+    rows = spark.createDataFrame([(1, "far", [1.0, 3e-4]), (2, "near", [1.0, 0.0])], "id int, text string, embedding array<double>")
+    table = {"v": Q.Collection(rows, "id", "text")}
+    assert [r["hit_id"] for r in Q.vector_search([1.0, 0.0], table, k=1).collect()] == ["2"]
+    queries = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<double>")
+    many = Q.vector_search_batch(queries, rows.withColumnRenamed("id", "doc_id"), 1).collect()
+    assert [(r["doc_id"], r["score"]) for r in many] == [(2, 1.0)]
+
+
+def test_answer_names_a_missing_collection(spark):
+    with pytest.raises(ValueError, match="rag_sigint"):
+        Q.answer("strong radar emission", {}, "keyword")
+
+
 def test_vector_search_is_exact(spark):
     data, df = vectors(spark)
     rows = df.select(F.lpad(F.col("doc_id").cast("string"), 4, "0").alias("id"), "embedding", F.lit("t").alias("text"))
@@ -172,14 +186,14 @@ def test_chunk_index_grows_past_its_width(spark):
     assert "d-007" in ids and "d-1001" in ids
 
 
-def test_embedding_text_joins_and_cuts(spark):
+def test_embedding_text_is_whole(spark):
     df = spark.createDataFrame(
         [(["x", "y"], (1, "z"), "long " * 300), (None, None, "  ")],
         "tags array<string>, s struct<a: int, b: string>, body string",
     )
     got = C.embedding_text(df, ("tags", "s", "absent", "body"), 20).collect()
-    assert [r["text_content"] for r in got] == ["x y 1 z long long lo"]
-    assert len(got[0]["embedding_input"]) > 1000
+    assert [r["text_preview"] for r in got] == ["x y 1 z long long lo"]
+    assert len(got[0]["text_content"]) > 1000
 
 
 def test_naval_document_without_aircraft(make):
