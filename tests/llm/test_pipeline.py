@@ -1,0 +1,79 @@
+"""Each stage of the pipeline on its own input, and the whole of it."""
+
+import re
+
+import pytest
+
+import corpus_pipeline as P
+from llm.conftest import DATA
+from llm.test_neighbours import brute_classes
+from llm.test_text import brute_hits
+
+
+@pytest.fixture(scope="module")
+def stages(spark, documents, tmp_path_factory):
+    """The rows before each stage and after the last."""
+    folder, docs, out = tmp_path_factory.mktemp("stages"), documents, []
+    for k, (_, stage) in enumerate(P.STAGES):
+        out.append(docs)
+        stage(spark, docs, DATA).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return [*out, docs]
+
+
+def rows(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_columns_stay(stages, documents):
+    assert all(s.columns == documents.columns and s.dtypes == documents.dtypes for s in stages[:-1])
+
+
+def test_language_keeps_what_is_clear(stages):
+    before, after = rows(stages[0]), rows(stages[1])
+    assert set(after) <= set(before) and len(after) > 0.98 * len(before)
+    assert all(any(map(str.isalpha, r["text"])) for r in after.values())
+
+
+def test_one_of_each_class_stays(stages):
+    before, after = rows(stages[1]), rows(stages[2])
+    classes = brute_classes(sorted((i, r["text"]) for i, r in before.items()))
+    assert set(after) == {c for _, c, _ in classes} and len(after) < len(before)
+
+
+def test_contaminated_documents_go(spark, stages):
+    before, after = rows(stages[2]), rows(stages[3])
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    gone = set()
+    for i, r in before.items():
+        n, hit, _ = brute_hits(r["text"], items, 13)
+        gone |= {i} if hit and 20 * hit >= n else set()
+    assert set(before) - set(after) == gone and gone
+    assert all(after[i] == before[i] for i in after)
+
+
+def test_secrets_are_replaced(stages):
+    before, after = rows(stages[3]), rows(stages[4])
+    assert set(before) == set(after)
+    changed = {i for i in after if after[i]["text"] != before[i]["text"]}
+    assert changed and all("[SECRET]" in after[i]["text"] and after[i]["n_chars"] == len(after[i]["text"]) for i in changed)
+    assert not any(re.search("[0-9a-f]{24}|AKIA[A-Z0-9]{16}", r["text"]) for r in after.values())
+    assert all(after[i] == before[i] for i in set(after) - changed)
+
+
+def test_every_token_is_packed(stages):
+    after = stages[5].groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert {r["doc_id"] for r in after} == set(rows(stages[4]))
+    assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in after)
+
+
+def test_run(spark, stages):
+    assert P.run(spark, DATA).count() == stages[5].count()
+
+
+def test_awkward(spark, awkward, no_documents):
+    for docs in (awkward, no_documents):
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+        assert P.STAGES[-1][1](spark, docs, DATA).count() >= docs.count()
