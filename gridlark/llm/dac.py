@@ -2,7 +2,7 @@
 
 An id is split into chunks of eight bits, lowest first. Level 1 holds the first chunk of every id, level 2 the second
 chunk of those ids that need one, and so on. A bitmap of each level says which ids go on, and a directory of ranks
-(ones before every 512th bit) leads from a place in one level to its place in the next.
+(ones before every 64th bit) leads from a place in one level to its place in the next.
 
 A store is a Parquet table of segments, a row each: where the segment lies, the documents in it and its levels. Spark
 writes and reads it, so it can live in any file system that the cluster knows.
@@ -22,7 +22,6 @@ from gridlark.llm.support import documents, share_count, slices
 from gridlark.llm.tokens import encoder
 
 SEGMENT_BYTES = 8 << 20
-_RANK_BITS = 512
 SEGMENTS = (
     "part int, segment int, before long, tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, "
     "chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
@@ -44,9 +43,10 @@ def encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
         chunks.append((rest & 255).astype(np.uint8).tobytes())
         more = rest > 255
         bits = np.packbits(more, bitorder="little")
-        ones = np.cumsum(more, dtype=np.int64)
+        bits = np.concatenate((bits, np.zeros(-len(bits) % 8, np.uint8)))  # whole words of 64 bits
+        ones = np.cumsum(np.bitwise_count(bits.view("<u8")), dtype=np.uint32)
         bitmaps.append(bits.tobytes())
-        ranks.append(np.concatenate(([0], ones[_RANK_BITS - 1 :: _RANK_BITS])).astype("<u8").tobytes())
+        ranks.append(np.concatenate(([0], ones[:-1])).astype("<u4").tobytes())
         if not more.any():
             return chunks, bitmaps, ranks
         rest = rest[more] >> 8
@@ -58,24 +58,24 @@ def access(places: np.ndarray, chunks: list[bytes], bitmaps: list[bytes], ranks:
     at, who = np.asarray(places, np.int64), np.arange(len(places))
     for level, chunk in enumerate(chunks):
         out[who] |= np.frombuffer(chunk, np.uint8)[at].astype(np.uint32) << np.uint32(8 * level)
-        bits = np.frombuffer(bitmaps[level], np.uint8)
-        goes_on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        at, who = at[goes_on], who[goes_on]
+        words, bit = np.frombuffer(bitmaps[level], "<u8"), (at & 63).astype(np.uint64)
+        word = words[at >> 6]
+        goes_on = (word >> bit) & np.uint64(1) == 1
+        at, who, word, bit = at[goes_on], who[goes_on], word[goes_on], bit[goes_on]
         if not len(at):
             break
-        at = _rank(at, bits, np.frombuffer(ranks[level], "<u8").astype(np.int64))
+        before = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        at = np.frombuffer(ranks[level], "<u4")[at >> 6].astype(np.int64) + before
     return out
 
 
-def _rank(at: np.ndarray, bits: np.ndarray, directory: np.ndarray) -> np.ndarray:
-    """How many ones lie before each place: the directory's count and the bits from there on (63 bytes at most)."""
-    block = at // _RANK_BITS
-    first, last = block * (_RANK_BITS // 8), at >> 3
-    count = directory[block] + np.bitwise_count(bits[last] & ((1 << (at & 7)) - 1).astype(np.uint8)).astype(np.int64)
-    for step in range(int((last - first).max(initial=0))):
-        use = first + step < last
-        count[use] += np.bitwise_count(bits[(first + step)[use]])
-    return count
+def decode(count: int, chunks: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
+    """All ids of a segment, from its levels one after the other."""
+    out, who = np.zeros(count, np.uint32), np.arange(count)
+    for level, (chunk, bits) in enumerate(zip(chunks, bitmaps)):
+        out[who] |= np.frombuffer(chunk, np.uint8).astype(np.uint32) << np.uint32(8 * level)
+        who = who[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(who), bitorder="little").view(bool)]
+    return out
 
 
 def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 1, text: str = "text", id_column: str = "doc_id") -> None:
@@ -117,18 +117,18 @@ def segments_of(spark: SparkSession, folder: str) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every stored document."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names if k != "ranks"}
                 sizes = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(sizes)
-                ids = access(np.arange(row["tokens"]), row["chunks"], row["bitmaps"], row["ranks"]).astype("<u4")
+                ids = decode(row["tokens"], row["chunks"], row["bitmaps"]).astype("<u4")
                 blobs = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes)]
                 columns = [row["doc_ids"], row["start"] + ends - sizes, sizes, blobs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _READ_ARROW.types)], schema=_READ_ARROW)
 
-    return segments_of(spark, folder).mapInArrow(decode, READ)
+    return segments_of(spark, folder).mapInArrow(documents_of, READ)
 
 
 def tokens_at(spark: SparkSession, folder: str, start: int, stop: int) -> list[int]:

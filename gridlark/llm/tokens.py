@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words remembered by a task; at the limit it starts anew.
-MEMORY = 700_000
+MEMORY = 1_200_000
 
 # The classes of Latin-1 characters, and the word patterns that belong to the two vocabularies.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -62,7 +62,11 @@ class Encoder:
 
     def _learn(self, word: str) -> int:
         place = self.known[word] = len(self.ends) - 1
-        self.flat.extend([t.id for t in self.merge("".join(map(self.letters.__getitem__, word.encode())))])
+        if word.isascii() and word.isprintable():
+            stood_in = word.replace(" ", self.letters[32])  # the others stand for themselves
+        else:
+            stood_in = "".join(map(self.letters.__getitem__, word.encode()))
+        self.flat.extend([t.id for t in self.merge(stood_in)])
         self.ends.append(len(self.flat))
         return place
 
