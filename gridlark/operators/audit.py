@@ -37,12 +37,17 @@ DETAILS: dict[tuple[str, str], dict[str, str]] = {
 }
 
 
-def detail_catalogue(spark: SparkSession) -> DataFrame:
-    """(domain, action) -> detail templates, one row per pair."""
-    rows = [(d, a, [(k, t) for k, t in fields.items()]) for (d, a), fields in DETAILS.items()]
-    return spark.createDataFrame(
-        rows, "domain string, action string, templates array<struct<field: string, template: string>>"
-    )
+def detail_templates(domain: Column, action: Column) -> Column:
+    """The detail templates of a (domain, action) as a literal map: no join, whatever number of requests one pair has."""
+    known = [
+        entry
+        for (d, a), fields in DETAILS.items()
+        for entry in (
+            F.lit(f"{d}/{a}"),
+            F.array(*[F.struct(F.lit(k).alias("field"), F.lit(t).alias("template")) for k, t in fields.items()]),
+        )
+    ]
+    return F.try_element_at(F.create_map(*known), F.concat_ws("/", domain, action))
 
 
 def _present(name: str) -> Column:
@@ -62,15 +67,14 @@ def _fill(template: Column) -> Column:
     return out
 
 
-def action_audit(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+def action_audit(requests: DataFrame) -> DataFrame:
     """One audit record per complete request; an unknown action has empty details."""
     complete, _ = split_requests(requests)
-    joined = complete.join(catalogue, ["domain", "action"], "left")
     fields = F.coalesce(
-        F.col("templates"), F.array().cast("array<struct<field: string, template: string>>")
+        detail_templates(F.col("domain"), F.col("action")), F.array().cast("array<struct<field: string, template: string>>")
     )
     details = F.map_from_entries(F.transform(fields, lambda f: F.struct(f["field"], _fill(f["template"]))))
-    return joined.select(
+    return complete.select(
         "entity_id",
         "action",
         F.coalesce("operator", F.lit(DEFAULT_OPERATOR)).alias("operator"),

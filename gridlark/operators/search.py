@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -22,6 +22,7 @@ from gridlark.functions import vectors as V
 from gridlark.functions.conditions import literal
 from gridlark.functions.numbers import stat_sql
 from gridlark.operators.state import merge_first_wins
+from gridlark.plans.session import scratch_path
 
 # Sizes of result lists and how long a word must be to count.
 KEYWORD_PER_COLLECTION = 10
@@ -214,7 +215,7 @@ def semantic_search(query: str, tables: dict[str, Collection], k: int = VECTOR_L
 
 
 # --- many queries at once --------------------------------------------------------------------------
-QUERY_BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,16 +232,16 @@ def vector_search_batch(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector_column: str = "embedding",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact top-k documents for every query.
 
-    Queries are cut into blocks of bounded size; a block travels to every task, which
-    scores its document batches with one matrix product and keeps k per query. So no
-    (query, document) pair is ever a row: what is shuffled is k rows per query and task.
-    More queries mean more blocks (passes over the documents), not bigger ones.
+    Both sides are packed into blocks of bounded size by the executors and stored, so each vector is made once. Every
+    pair of blocks then meets by an equi-join on the block's number and is scored with one matrix product, which keeps
+    k per query: no (query, document) pair is ever a row, and only block numbers pass through the driver. Vectors
+    without a length, or of a width that the other side does not have, match nothing.
     """
-    id_type, doc_type = queries.schema[query_id].dataType, docs.schema[doc_id].dataType
+    spark, id_type, doc_type = docs.sparkSession, queries.schema[query_id].dataType, docs.schema[doc_id].dataType
     partial = T.StructType(
         [
             T.StructField(query_id, id_type),
@@ -248,41 +249,53 @@ def vector_search_batch(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    context = docs.sparkSession.sparkContext
-    slim = docs.select(doc_id, vector_column)
-    out = None
-    for block in _blocks(queries.select(query_id, vector_column), query_id, vector_column, block_bytes):
-        shared = context.broadcast(block)
-        part = slim.mapInArrow(_scorer(shared, k, to_arrow_schema(partial)), partial)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], partial)
+    asked = _blocks(queries, query_id, vector_column, block_bytes).withColumnsRenamed(
+        {"block": "q_block", "ids": "q_ids", "width": "q_width", "unit": "q_unit"}
+    )
+    numbers = [r[0] for r in asked.select("q_block").collect()]
+    if not numbers:
+        return spark.createDataFrame([], T.StructType([partial[0], T.StructField("rank", T.IntegerType()), *partial.fields[1:]]))
+    stored = _blocks(docs, doc_id, vector_column, block_bytes)
+    met = stored.withColumn("q_block", F.explode(F.array(*[F.lit(n) for n in numbers]))).join(asked, "q_block")
+    met = met.where(F.col("width") == F.col("q_width")).select("q_ids", "q_unit", "ids", "unit", "width")
+    out = met.mapInArrow(_scorer(k, to_arrow_schema(partial)), partial)
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(doc_id))
     # the rank limit is applied again before the exchange, so a task sends k rows per query
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return shown(ranked.select(query_id, "rank", doc_id, "score"))
 
 
-def _blocks(queries: DataFrame, query_id: str, vector_column: str, block_bytes: int):
-    """Query blocks of at most ``block_bytes`` as (ids, unit vectors), one after the other."""
-    ids, rows, size = [], [], 0
-
-    def packed():
-        unit, usable = _unit_rows(np.vstack(rows))
-        return [q for q, good in zip(ids, usable) if good], unit
+def _blocks(df: DataFrame, id_column: str, vector_column: str, block_bytes: int) -> DataFrame:
+    """(block, ids, width, unit): vectors of one width scaled to length one, in blocks of bounded size, as a table."""
+    spark, id_type = df.sparkSession, df.schema[id_column].dataType
+    schema = T.StructType(
+        [
+            T.StructField("block", T.StringType()),
+            T.StructField("ids", T.ArrayType(id_type)),
+            T.StructField("width", T.IntegerType()),
+            T.StructField("unit", T.BinaryType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
 
-    for row in queries.toLocalIterator(prefetchPartitions=False):
-        vector = row[vector_column]
-        if not vector:
-            continue
-        ids.append(row[query_id])
-        rows.append(np.asarray(vector, dtype=np.float64))
-        size += rows[-1].nbytes
-        if size >= block_bytes:
-            yield packed()
-            ids, rows, size = [], [], 0
-    if ids:
-        yield packed()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes[sizes > 0]):
+                own = pa.array(sizes == width)
+                matrix, names = _matrix(vectors.filter(own), int(width))[0], ids.filter(own)
+                rows = max(1, block_bytes // (8 * int(width)))
+                for start in range(0, len(matrix), rows):
+                    unit, usable = _unit_rows(matrix[start : start + rows])
+                    if len(unit):
+                        kept = names.slice(start, rows).filter(pa.array(usable)).to_pylist()
+                        columns = ([uuid.uuid4().hex], [kept], [int(width)], [unit.tobytes()])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+    folder = scratch_path(spark, "blocks")
+    df.select(id_column, vector_column).mapInArrow(pack, schema).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _top(row: np.ndarray, k: int) -> np.ndarray:
@@ -295,32 +308,22 @@ def _top(row: np.ndarray, k: int) -> np.ndarray:
     return candidates[np.argsort(-row[candidates], kind="stable")][:k]
 
 
-def _scorer(shared, k: int, schema: pa.Schema):
+def _scorer(k: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
-        kept: list[list] = [[] for _ in ids]
-        worst = np.full(len(ids), -np.inf)  # score a document needs to enter a query's list
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                vectors, present = _matrix(part.column(1), unit.shape[1])
-                docs, usable = _unit_rows(vectors)
-                if not len(docs):
-                    continue
-                names = part.column(0).filter(pa.array(present)).to_numpy(zero_copy_only=False)[usable]
-                order = np.argsort(names, kind="stable")  # ties go to the smaller id
-                names, docs = names[order], docs[order]
-                # summed pair by pair: a pair's score is the same in whatever block, so equal vectors tie exactly
-                scores = np.einsum("qd,nd->qn", unit, docs)
-                for q in np.flatnonzero(scores.max(axis=1) >= worst):
-                    best = [(-scores[q, i], names[i]) for i in _top(scores[q], k)]
-                    kept[q] = heapq.nsmallest(k, kept[q] + best)
-                    if len(kept[q]) == k:
-                        worst[q] = -kept[q][-1][0]
-        found = [(ids[q], doc, -s) for q, best in enumerate(kept) for s, doc in best]
-        if found:
-            columns = [pa.array(c, t) for c, t in zip(map(list, zip(*found)), schema.types)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
+                queries, docs = (np.frombuffer(row[n], np.float64).reshape(-1, row["width"]) for n in ("q_unit", "unit"))
+                order = sorted(range(len(docs)), key=row["ids"].__getitem__)  # ties go to the smaller id
+                docs, names = docs[order], [row["ids"][i] for i in order]
+                found = []
+                for start in range(0, len(queries), SLICE_ROWS):
+                    # summed pair by pair: a pair's score is the same in whatever block, so equal vectors tie exactly
+                    scores = np.einsum("qd,nd->qn", queries[start : start + SLICE_ROWS], docs)
+                    for q, own in zip(row["q_ids"][start : start + SLICE_ROWS], scores):
+                        found += [(q, names[i], float(own[i])) for i in _top(own, k)]
+                columns = [pa.array(c, t) for c, t in zip(map(list, zip(*found)), schema.types)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 

@@ -357,20 +357,20 @@ register("limit_peek")(lambda s, d: Domain(s, d, "current").all_alerts().limit(5
 
 # --- operator responses ----------------------------------------------------------------------------
 register("action_audit")(
-    lambda s, d: R.action_audit(feeds.action_requests(s, d), R.detail_catalogue(s)).drop("seq")
+    lambda s, d: R.action_audit(feeds.action_requests(s, d)).drop("seq")
 )
 register("action_audit_rejected")(
     lambda s, d: R.split_requests(feeds.action_requests(s, d))[1].select("seq", "domain", "error")
 )
 register("action_fanout")(
-    lambda s, d: R.action_fanout(R.action_audit(feeds.action_requests(s, d), R.detail_catalogue(s))).select(
+    lambda s, d: R.action_fanout(R.action_audit(feeds.action_requests(s, d))).select(
         "topic", "entity_id", "action", "epoch_ms"
     )
 )
 for _domain in (None, "cyber"):
     register(f"log_last_n_{_domain or 'all'}")(
         lambda s, d, dom=_domain: S.log_last_n(
-            R.action_audit(feeds.action_requests(s, d), R.detail_catalogue(s)), 50, dom
+            R.action_audit(feeds.action_requests(s, d)), 50, dom
         ).drop("seq")
     )
 
@@ -796,6 +796,27 @@ for _type in ("keyword", "semantic", "hybrid"):
     register(f"query_answer_{_type}")(
         lambda s, d, t=_type: Q.answer(QUESTION, _collections(s, d, vectors=True), t)[0]
     )
+def _all_collections(spark, sf_dir) -> dict[str, Q.Collection]:
+    """What any question may be routed to: the default collections, facilities and signals, with vectors."""
+    facilities, signals = _documents(spark, sf_dir, "facility"), _indexed(spark, sf_dir, "sigint")
+    more = {"rag_facilities": (facilities, "facility_id"), "rag_sigint": (signals, "intercept_id")}
+    return _collections(spark, sf_dir, vectors=True) | {
+        name: Q.Collection(Q.embed(df.select(id_column, "rag_text"), "rag_text"), id_column, merge_id=id_column)
+        for name, (df, id_column) in more.items()
+    }
+
+
+#: A question for each domain that has a collection of its own.
+DOMAIN_QUESTIONS = {
+    "infrastructure": "which airfield or station base has the networks",
+    "signals": "strong radar emission with critical threat level",
+    "maritime": "friendly destroyer at sea",
+    "cyber": "critical malware intrusion",
+}
+for _name, _asked in DOMAIN_QUESTIONS.items():
+    register(f"query_answer_{_name}")(lambda s, d, q=_asked: Q.answer(q, _all_collections(s, d))[0])
+
+
 register("query_answer_summary")(
     lambda s, d: Q.answer(QUESTION, _collections(s, d), "keyword")[1]
 )
