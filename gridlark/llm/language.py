@@ -145,7 +145,9 @@ def train(
         bit = table["bit"][0].as_py()
         table = table.sort_by([("draw", "ascending"), ("language", "ascending")])  # one order, however rows arrive
         signs = code[table["language"].to_numpy(), bit].astype(np.float64)
-        weights, bias, trust = _logistic(table["features"].to_pylist(), table["shares"].to_pylist(), signs)
+        features_of, shares_of = (table[k].combine_chunks() for k in ("features", "shares"))
+        sizes = features_of.value_lengths().to_numpy().astype(np.int64)
+        weights, bias, trust = _logistic(sizes, features_of.flatten().to_numpy(), shares_of.flatten().to_numpy(), signs)
         return pa.table({"bit": pa.array([bit], pa.int32()), "weights": pa.array([weights], pa.list_(pa.float32())), "bias": [bias], "trust": [trust]})
 
     tasks = sampled.mapInArrow(counted, "draw long, language int, features array<int>, shares array<float>")
@@ -156,12 +158,12 @@ def train(
     return empty
 
 
-def _logistic(features_of: list, shares_of: list, signs: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Logistic regression by full gradient steps scaled by each feature's squared gradients; the bit's trust."""
-    sizes = [len(f) for f in features_of]
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    feature = np.concatenate([np.array(f, np.int64) for f in features_of]) if sizes else np.empty(0, np.int64)
-    share = np.concatenate([np.array(s, np.float64) for s in shares_of]) if sizes else np.empty(0)
+def _logistic(sizes: np.ndarray, feature: np.ndarray, share: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Logistic regression by full gradient steps scaled by each feature's squared gradients; the bit's trust.
+
+    ``sizes`` says how many features each row has; ``feature`` and ``share`` are those of all rows.
+    """
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     weight = np.where(signs > 0, 0.5 / max((signs > 0).sum(), 1), 0.5 / max((signs < 0).sum(), 1))
     w, seen, bias, seen_bias = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-12), 0.0, 1e-12
     for _ in range(_EPOCHS * 5):
@@ -173,7 +175,7 @@ def _logistic(features_of: list, shares_of: list, signs: np.ndarray) -> tuple[np
         seen_bias += pull.sum() ** 2
         bias -= _RATE * pull.sum() / np.sqrt(seen_bias)
     margin = np.bincount(row, share * w[feature], len(sizes)) + bias
-    wrong = float(((signs * margin <= 0) * weight).sum()) if sizes else 0.5
+    wrong = float(((signs * margin <= 0) * weight).sum()) if len(sizes) else 0.5
     return w.astype(np.float32), float(bias), max(0.05, 1 - 2 * wrong)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.support import documents, joined, mix, share_count, slices
-from gridlark.llm.tokens import encoder
+from gridlark.llm.tokens import MEMORY, encoder
 
 DIMENSIONS, BITS = 3, 10
 SEQUENCE_TOKENS = 2048
@@ -87,17 +87,18 @@ def pack(
     end_id: int = 1,
     text: str = "text",
     id_column: str = "doc_id",
+    memory: int = MEMORY,
 ) -> DataFrame:
     """Pieces of documents and where they lie: sequence and offset, without gaps, in sequences of at most ``size`` ids.
 
     A document's ids are its whole text's and then ``end_id``; null text counts as empty. ``start`` counts the
     document's ids before the piece, ``ids`` are little-endian unsigned 32-bit. Every sequence has ``size`` ids or a
     power of two (``size`` itself should be one), so none needs padding. Rows with one place are ordered by id and
-    text, so copies may be dealt to several partitions.
+    text, so copies may be dealt to several partitions. ``memory`` bounds the words that a worker remembers.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number, held, used = encoder(vocabulary).ids, TaskContext.get().partitionId() << 40, [], 0
+        encode, number, held, used = encoder(vocabulary, memory).ids, TaskContext.get().partitionId() << 40, [], 0
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered by a task; at the limit it starts anew.
+#: Words that a Python worker remembers, some 200 bytes each; at the limit it starts anew.
 MEMORY = 1_200_000
 
 # The classes of Latin-1 characters, and the word patterns that belong to the two vocabularies.
@@ -44,7 +44,8 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """``ids(text)`` equals the library's encoding without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,7 +78,7 @@ class Encoder:
             return self._whole(text)
         if _ODD_SPACE.search(text):
             return self._whole(text)
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self._forget()
         found = self.cut(text.lower() if self.lower else text)
         known = self.known
@@ -97,6 +98,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, memory)

@@ -36,9 +36,8 @@ def test_ids_of_odd_texts(text):
         assert encoder(vocabulary_path(name)).ids(text).tolist() == library(name)(text)
 
 
-def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr("gridlark.llm.tokens.MEMORY", 3)
-    own, other = encoder.__wrapped__(vocabulary_path(BYTE)), library(BYTE)
+def test_memory_of_words_is_bounded():
+    own, other = encoder.__wrapped__(vocabulary_path(BYTE), 3), library(BYTE)
     for text in ("one two three four", "five six seven", "one two"):
         assert own.ids(text).tolist() == other(text)
 
