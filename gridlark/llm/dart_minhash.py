@@ -70,26 +70,35 @@ def signature(names: np.ndarray, counts: np.ndarray, k: int = BANDS * ROWS) -> n
     region = mix(np.repeat(names, counts) + unit.astype(np.uint64) * _GOLD)
     bound = (k * np.log(k) + 2 * k) / len(region)
     while True:
-        best, rank = np.zeros(k, np.uint64), np.full(k, np.inf)
-        live, at, dart = region, np.zeros(len(region)), 0
-        while len(live):
-            dart += 1
-            draw = mix(live + np.uint64(dart))
-            at = at - np.log(_uniform(draw))  # ranks of a region's darts are a Poisson process
-            hit = at < bound
-            live, at, draw = live[hit], at[hit], draw[hit]
-            name = mix(draw ^ _GOLD)
-            coordinate = (name % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((name, at, coordinate))
-            first = order[np.flatnonzero(np.diff(coordinate[order], prepend=-1))]
-            nearer = at[first] < rank[coordinate[first]]
-            first = first[nearer]
-            best[coordinate[first]], rank[coordinate[first]] = name[first], at[first]
-        if np.isfinite(rank).all():
-            return best
+        darts, ranks = _darts(region, bound)
+        name = mix(darts ^ _GOLD)
+        coordinate = (name % np.uint64(k)).astype(np.int64)
+        order = np.lexsort((ranks, coordinate))
+        first = order[np.flatnonzero(np.diff(coordinate[order], prepend=-1))]
+        if len(first) == k:
+            return name[first]
         bound *= 2
 
 
+def _darts(region: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """All darts of the regions with ranks below ``bound``. A region's ranks are a Poisson process of rate one."""
+    draw = mix(region + np.uint64(1))
+    at = -np.log(_uniform(draw))
+    hit = at < bound
+    live, at, thrown = region[hit], at[hit], 1
+    darts, ranks = [draw[hit]], [at]
+    step = int(bound + 4 * np.sqrt(bound)) + 2  # mostly all further darts of a region
+    while len(live):
+        draw = mix(live[:, None] + np.arange(thrown + 1, thrown + step + 1, dtype=np.uint64))
+        further = at[:, None] - np.cumsum(np.log(_uniform(draw)), axis=1)
+        hit = further < bound
+        darts.append(draw[hit])
+        ranks.append(further[hit])
+        on = hit[:, -1]
+        live, at, thrown = live[on], further[on, -1], thrown + step
+    return np.concatenate(darts), np.concatenate(ranks)
+
+
 def bands(darts: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key of each band of a signature; bands of different places differ."""
     out = np.arange(1, count + 1, dtype=np.uint64) * _GOLD
@@ -214,17 +223,22 @@ def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, labels) among nodes (node, bands) that share a band and are similar; None where there are none."""
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    size = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    groups = _written(rows.join(size, "band").select("band", "node"), "bands")
-    count = groups.select("node").distinct().count()
+def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, labels) among the nodes of rows (row, node, bands) that share a band and are similar; None if none do.
+
+    ``docs`` has the texts of the rows. Sets are built only of nodes that share a band, from one row of each.
+    """
+    nodes = rows.where("node is not null").select("node", "bands").dropDuplicates(["node"])
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    size = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    groups = _written(banded.join(size, "band").select("band", "node"), "bands")
+    wanted = groups.select("node").distinct()
+    wanted = _written(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "wanted")
+    count = wanted.count()
     if not count:
         return None, None
-    wanted = groups.select("node").distinct()
-    sets = sets_of(docs).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = _written(sets, "sets")
+    own = docs.join(wanted.select("row"), "row", "left_semi").dropDuplicates(["row"]).select("text")
+    sets = _written(sets_of(own), "sets")
     found, labels, tried, used = None, None, None, None
     while True:
         # groups with several classes are still open
@@ -275,8 +289,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple
 def _classed(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, row, node, label) of documents with a row name; label is null for texts without words."""
     rows = _written(sketches(docs), "sketches")
-    nodes = rows.where("node is not null").select("node", "bands").dropDuplicates(["node"])
-    _, labels = links(docs.select("doc_id", "text"), nodes, least)
+    _, labels = links(docs, rows, least)
     return _labelled(rows.select("doc_id", "row", "node"), labels)
 
 
