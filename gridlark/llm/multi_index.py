@@ -26,12 +26,12 @@ from gridlark.llm.support import mix
 #: Rows that the codebooks are fitted on, at most about, and rounds of k-means.
 FIT_ROWS, FIT_ROUNDS = 20_000, 12
 #: Entries for each cell on average decide how many centroids a half has, within these bounds.
-CELL_ENTRIES, CENTROIDS = 1, (2, 1024)
+CELL_ENTRIES, CENTROIDS = 8, (2, 1024)
 #: A query visits cells until they hold this share of all entries, and so many at least. Vectors without clusters, as
 #: the supplied ones, need a large share; with clusters a few hundredths do.
-VISIT_SHARE, VISIT_LEAST = 0.42, 3000
+VISIT_SHARE, VISIT_LEAST = 0.5, 3000
 #: Entries of a chunk.
-CHUNK = 4096
+CHUNK = 8192
 _VECTOR = "array<double>"
 NEIGHBOURS = "query_id long, rank int, vec_id long, score double"
 
