@@ -108,9 +108,8 @@ def scan(df: DataFrame, path: str, text: str = "text", prefix: str = "", redacte
     ``redacted`` the text column has its secrets replaced. Null text has no spans and stays null; repeated rows are
     judged alike.
     """
-    out = df.schema
-    for f in T._parse_datatype_string(FOUND).fields:
-        out = out.add(T.StructField(prefix + f.name, f.dataType))
+    new = [T.StructField(prefix + f.name, f.dataType) for f in T._parse_datatype_string(FOUND).fields]
+    out = T.StructType([*df.schema.fields, *new])
     place = df.columns.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
