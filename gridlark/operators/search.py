@@ -216,6 +216,8 @@ def semantic_search(query: str, tables: dict[str, Collection], k: int = VECTOR_L
 
 # --- many queries at once --------------------------------------------------------------------------
 BLOCK_BYTES = 4 << 20
+#: More than a product of unit vectors can be off by.
+NOISE = 1e-9
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,10 +320,14 @@ def _scorer(k: int, schema: pa.Schema):
                 docs, names = docs[order], [row["ids"][i] for i in order]
                 found = []
                 for start in range(0, len(queries), SLICE_ROWS):
-                    # summed pair by pair: a pair's score is the same in whatever block, so equal vectors tie exactly
-                    scores = np.einsum("qd,nd->qn", queries[start : start + SLICE_ROWS], docs)
-                    for q, own in zip(row["q_ids"][start : start + SLICE_ROWS], scores):
-                        found += [(q, names[i], float(own[i])) for i in _top(own, k)]
+                    part = queries[start : start + SLICE_ROWS]
+                    for q, query, rough in zip(row["q_ids"][start : start + SLICE_ROWS], part, part @ docs.T):
+                        # a matrix product's last bits depend on the block: what it puts near the top is summed again,
+                        # pair by pair, so that equal vectors tie exactly wherever they lie
+                        limit = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
+                        near = np.flatnonzero(rough >= limit - NOISE)
+                        scores = np.einsum("nd,d->n", docs[near], query)
+                        found += [(q, names[near[i]], float(scores[i])) for i in _top(scores, k)]
                 columns = [pa.array(c, t) for c, t in zip(map(list, zip(*found)), schema.types)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
