@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Bytes of input files for each group and bucket; their number grows with the input.
 GROUP_BYTES = 8 << 20
+#: Sizes from here on are Spark's stand-in for an unknown size.
+_UNKNOWN = 1 << 58
 MESSAGE = "to int, sender int, a binary, b binary, c binary, d binary, e binary"
 _MESSAGE = pa.schema([("to", pa.int32()), ("sender", pa.int32()), *((k, pa.binary()) for k in "abcde")])
 
@@ -32,9 +34,13 @@ def documents(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> D
 
 
 def share_count(df: DataFrame, bytes_each: int = GROUP_BYTES) -> int:
-    """How many shares of about ``bytes_each`` the input has, and at least the session's shuffle partitions."""
+    """How many shares of about ``bytes_each`` the input has, and at least the session's shuffle partitions.
+
+    Where Spark does not know the input's size (rows that are not from files), it is the session's number.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bytes_each), 1 << 20))
+    shares = -(-size // bytes_each) if size < _UNKNOWN else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shares, 1 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
