@@ -41,7 +41,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 and more
 _STRING = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.IGNORECASE)
-_PLAIN = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*\Z")
+_NUMBERS = re.compile(r"[0-9]+(?:[+/_=-]+[0-9]+)*[+/_=-]*\Z")
 
 FOUND = "n_assign long, n_access long, n_hex long, n_token long, found array<struct<kind:string,start:int,end:int>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -71,8 +71,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_kind(string: str) -> bool:
-    """Digests of the usual lengths, UUIDs, and identifiers made of words or numbers of one case."""
-    return bool(_DIGEST.match(string) or _UUID.match(string) or _PLAIN.match(string))
+    """Digests of the usual lengths, UUIDs, and identifiers of digits only. Letters are left to the ratio."""
+    return bool(_DIGEST.match(string) or _UUID.match(string) or _NUMBERS.match(string))
 
 
 def token_spans(text: str, encoding) -> list[tuple[str, int, int]]:

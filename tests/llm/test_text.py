@@ -238,6 +238,20 @@ def test_random_strings_are_found_and_known_ones_left_alone():
     assert find("internationalisation_of_configuration and Antidisestablishmentarianism") == []
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_one_case_are_found(spark, letters):
+    rng, encoding = np.random.default_rng(3), secrets.vocabulary(RANKS)
+    keys = ["".join(rng.choice(list(letters), n)) for n in (20, 32, 40, 64) for _ in range(25)]
+    wanted = [k for k in keys if len(k) <= secrets.LEAST_RATIO * len(encoding.encode_ordinary(k))]
+    assert len(wanted) > 0.85 * len(keys)
+    df = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = secrets.scan(df, RANKS).where("n_token = 1").select("doc_id", secrets.listing(F.col("found"), ("token",))).collect()
+    assert {tuple(r) for r in got} == {(i, f"token:4:{4 + len(k)}") for i, k in enumerate(keys) if k in wanted}
+    joined = f"{keys[-1]}-{keys[-2]}"
+    assert [(s, e) for _, s, e in secrets.token_spans(joined, encoding)] == [(0, len(joined))]
+    assert secrets.token_spans("2024-10-31-0000123456789 98765432109876543210", encoding) == []
+
+
 @given(st.text(st.sampled_from("aA1b_=: \"'kKAIPasswordſ0f"), max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_base_spans_equal_brute_force(text):
