@@ -28,8 +28,9 @@ FIT_ROWS, FIT_ROUNDS = 20_000, 12
 #: Entries for each cell on average decide how many centroids a half has, within these bounds.
 CELL_ENTRIES, CENTROIDS = 8, (2, 1024)
 #: A query visits cells until they hold this share of all entries, and so many at least. Vectors without clusters, as
-#: the supplied ones, need a large share; with clusters a few hundredths do.
-VISIT_SHARE, VISIT_LEAST = 0.5, 3000
+#: the supplied ones, need a large share, and the more the fewer they are; with clusters a few hundredths do. The share
+#: alone, without the least number, has to give the recall.
+VISIT_SHARE, VISIT_LEAST = 0.65, 3000
 #: Entries of a chunk.
 CHUNK = 8192
 _VECTOR = "array<double>"

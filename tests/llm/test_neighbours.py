@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,35 @@ def test_recall_of_the_query(spark):
     assert len(got) == len(expected)
 
 
+def recall_of(df, **options):
+    """The share of the exact 20 nearest that the search finds for every twentieth row, without ties."""
+    rows = df.select("vec_id", "embedding").collect()
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    found = defaultdict(set)
+    for r in multi_index.search(df, F.col("vec_id") % 20 == 0, **options).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    shares = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[i]
+        scores[i] = -np.inf
+        shares.append(len(found[ids[i]] & set(ids[np.argsort(-scores)[:20]].tolist())) / 20)
+    return np.mean(shares)
+
+
+@pytest.mark.parametrize("count", [6000, 12_000])
+def test_recall_above_the_least_number_of_visits(spark, tmp_path, count):
+    vectors = np.random.default_rng(5).normal(size=(count, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    columns = [pa.array(range(count), pa.int64()), pa.array(list(vectors), pa.list_(pa.float64()))]
+    pq.write_table(pa.Table.from_arrays(columns, ["vec_id", "embedding"]), f"{tmp_path}/v.parquet")
+    assert recall_of(spark.read.parquet(f"{tmp_path}/v.parquet")) >= 0.92
+
+
+def test_recall_of_the_share_alone(spark):
+    larger = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall_of(larger, visit_least=0) >= 0.91
+
+
 def test_search_is_exact_where_all_cells_are_visited(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.normal(size=6).tolist()) for i in range(300)]
