@@ -2,7 +2,8 @@
 
 Both public vocabularies first cut a text into words by a fixed pattern and then merge the bytes of each word on its
 own. So a word that was met before needs no second encoding. Texts within Latin-1 (without its rare white space) are
-cut here by the same pattern; any other text goes through the library's whole pipeline.
+cut here by the same pattern; any other text goes through the library's whole pipeline, and so does a text that has an
+added token of the vocabulary, such as <|endoftext|>, written out.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """``ids(text)`` equals the library's encoding without special tokens."""
+    """``ids(text)`` equals the library's plain encoding, with nothing put around the text (add_special_tokens=False)."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.memory = memory
@@ -50,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.merge = self.whole.model.tokenize
         self.lower = self.whole.normalizer is not None
         self.cut = re.compile(_LOWER_WORDS if self.lower else _BYTE_WORDS).findall
@@ -76,7 +77,7 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole(text)
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or any(a in text for a in self.added):
             return self._whole(text)
         if len(self.known) > self.memory:
             self._forget()

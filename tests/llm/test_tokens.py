@@ -36,6 +36,38 @@ def test_ids_of_odd_texts(text):
         assert encoder(vocabulary_path(name)).ids(text).tolist() == library(name)(text)
 
 
+def plain(name):
+    """The library as it comes: added tokens that are written out in a text have ids of their own."""
+    whole = Tokenizer.from_file(vocabulary_path(name))
+    return lambda t: whole.encode(t or "", add_special_tokens=False).ids
+
+
+MARKED = ["x <|endoftext|> y", "<|startoftext|>", "a<|endoftext|><|startoftext|>b", "日 <|endoftext|>  don't", "<|EndOfText|> <|endoftext|"]
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", " ", "A b", "é", "日", "\n"]), max_size=8).map("".join))
+@settings(max_examples=60, deadline=None)
+def test_added_tokens_in_a_text_equal_the_librarys(name, text):
+    assert encoder(vocabulary_path(name)).ids(text).tolist() == plain(name)(text)
+
+
+def test_added_tokens_in_the_store_and_in_pieces(spark, tmp_path):
+    assert encoder(vocabulary_path(BYTE)).ids(MARKED[0]).tolist() == [87, 220, 50256, 331]
+    df = spark.createDataFrame([*enumerate(MARKED), (9, "the last one")], "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    dac.write(df, str(tmp_path / "store"), vocabulary_path(WORD))
+    expected, start = [], 0
+    for doc_id, text in sorted(texts.items()):
+        ids = [*plain(WORD)(text), 1]
+        expected.append((doc_id, start, ids))
+        start += len(ids)
+    read = dac.read(spark, str(tmp_path / "store")).collect()
+    assert sorted((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in read) == expected
+    rows = packing.pack(df, vocabulary_path(BYTE)).collect()
+    check_pieces(rows, {i: [[*plain(BYTE)(t), 1]] for i, t in texts.items()}, 2048)
+
+
 def test_memory_of_words_is_bounded():
     own, other = encoder.__wrapped__(vocabulary_path(BYTE), 3), library(BYTE)
     for text in ("one two three four", "five six seven", "one two"):
