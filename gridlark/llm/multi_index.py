@@ -6,8 +6,9 @@ the cells that it has passed hold enough vectors. Those vectors are then scored
 
 Equal vectors are one entry of the index with their smallest ids, so a vector that fills a third of the table costs
 no more than any other; equal queries are searched for once. The codebooks are fitted on a bounded sample; the index
-holds every vector. Neighbouring cells lie on a shelf, and a shelf is cut into chunks of a bounded number of entries; a
-shuffle brings the chunks together with the queries that visit cells there.
+holds every vector. Neighbouring cells lie on a shelf, and a shelf is cut into chunks of a bounded number of entries;
+queries are dealt to blocks of a bounded number too. A shuffle brings every chunk together with those queries of a block
+that visit cells there, once for each block.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ CELL_ENTRIES, CENTROIDS = 8, (2, 1024)
 #: the supplied ones, need a large share, and the more the fewer they are; with clusters a few hundredths do. The share
 #: alone, without the least number, has to give the recall.
 VISIT_SHARE, VISIT_LEAST = 0.65, 3000
-#: Entries of a chunk.
-CHUNK = 8192
+#: Entries of a chunk, and distinct queries of a block on average.
+CHUNK, QUERY_BLOCK = 8192, 4096
 _VECTOR = "array<double>"
 NEIGHBOURS = "query_id long, rank int, vec_id long, score double"
 
@@ -93,6 +94,7 @@ def search(
     id_column: str = "vec_id",
     visit_share: float = VISIT_SHARE,
     visit_least: int = VISIT_LEAST,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k nearest found rows of each query row, by inner product, ties to the smaller id; never the row itself.
 
@@ -174,8 +176,12 @@ def search(
     asked_ids = df.where(is_query).select(F.col(id_column).cast("long").alias("query_id"), F.col(vector).cast(_VECTOR).alias("vector"))
     asked_ids = asked_ids.where(F.col("query_id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == width)).distinct()
     asked_ids = asked_ids.select("query_id", F.xxhash64(F.transform("vector", lambda x: x + F.lit(0.0))).alias("entry"))
-    queries = placed.select("entry", "vector").join(asked_ids.select("entry").distinct(), "entry", "left_semi")
+    asked_entries = asked_ids.select("entry").distinct()
+    blocks = max(1, -(-asked_entries.count() // query_block))
+    queries = placed.select("entry", "vector").join(asked_entries, "entry", "left_semi")
     visited = queries.mapInArrow(visits, f"query long, vector {_VECTOR}, shelf int, chunk int, cells binary")
+    visited = visited.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -202,7 +208,8 @@ def search(
                 rows += [(name, float(own[p]), ids[p]) for p in best]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, _CANDIDATES.types)], schema=_CANDIDATES)
 
-    met = visited.groupBy("shelf", "chunk").cogroup(stored.groupBy("shelf", "chunk"))
+    keys = ("block", "shelf", "chunk")
+    met = visited.groupBy(*keys).cogroup(stored.groupBy(*keys))
     best = met.applyInArrow(scored, "query long, score double, ids array<long>")
     # of each distinct query vector: the k + 1 best rows, then of each query row: without itself
     rows = best.select("query", "score", F.explode("ids").alias("vec_id"))

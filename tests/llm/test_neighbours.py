@@ -178,6 +178,16 @@ def test_search_is_exact_where_all_cells_are_visited(spark):
     assert np.allclose([r[3] for r in got], [r[3] for r in expected], atol=1e-12)
 
 
+def test_queries_meet_chunks_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=6).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, cut = (multi_index.search(df, F.col("vec_id") % 2 == 0, k=5, visit_least=0, **o) for o in ({}, {"query_block": 50}))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+    plan = cut._jdf.queryExecution().toString()
+    assert re.search(r"FlatMapCoGroupsInArrow \[block", plan) and "explode(sequence(0, 11," in plan
+
+
 def test_search_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert multi_index.search(empty, F.col("vec_id") % 20 == 0).count() == 0
