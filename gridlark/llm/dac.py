@@ -115,16 +115,16 @@ def segments_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every stored document."""
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every stored document, each by its places."""
 
     def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names if k != "ranks"}
+                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
                 sizes = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(sizes)
-                ids = decode(row["tokens"], row["chunks"], row["bitmaps"]).astype("<u4")
-                blobs = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes)]
+                levels = row["chunks"], row["bitmaps"], row["ranks"]
+                blobs = [access(np.arange(e - n, e), *levels).astype("<u4").tobytes() for e, n in zip(ends, sizes)]
                 columns = [row["doc_ids"], row["start"] + ends - sizes, sizes, blobs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _READ_ARROW.types)], schema=_READ_ARROW)
 

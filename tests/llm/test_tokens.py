@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridlark.llm import dac, packing
@@ -112,6 +113,14 @@ def test_store_awkward(spark, awkward, tmp_path):
     assert dac.tokens_at(spark, str(tmp_path / "store"), 3, 40) == flat[3:40]
 
 
+def test_reading_goes_by_the_rank_directories(spark, documents, tmp_path):
+    dac.write(documents, str(tmp_path / "store"), vocabulary_path(WORD))
+    zeros = F.transform("ranks", lambda r: F.unhex(F.repeat(F.lit("00"), F.length(r))))
+    spark.read.parquet(str(tmp_path / "store")).withColumn("ranks", zeros).write.parquet(str(tmp_path / "wrong"))
+    right, wrong = ({r["doc_id"]: bytes(r["ids"]) for r in dac.read(spark, str(tmp_path / k)).collect()} for k in ("store", "wrong"))
+    assert right.keys() == wrong.keys() and sum(right[i] != wrong[i] for i in right) > len(right) / 2
+
+
 def test_store_empty(spark, no_documents, tmp_path):
     dac.write(no_documents, str(tmp_path / "store"), vocabulary_path(WORD))
     assert dac.read(spark, str(tmp_path / "store")).count() == 0
