@@ -6,9 +6,11 @@ whole of an item shorter than a window) the last words are a hit. Words are numb
 only stretches whose neighbouring word pairs all occur in the benchmark reach the automaton: elsewhere the longest run
 is shorter than the shortest window.
 
-Items are dealt to blocks of a bounded number of words. Each block is broadcast on its own (its size is bounded by
-``BLOCK_WORDS``), and every document passes through ``RESIDENT`` of them in one read. A larger benchmark takes more
-reads: what was found so far is then written to a table in the shared folder.
+Long items are cut into pieces that overlap by a window less one word, so that every window lies in one of them. Pieces
+are dealt by a running word count to blocks of at most about twice ``BLOCK_WORDS`` words, in a table in the shared
+folder. Each block is broadcast on its own, and every document passes through ``RESIDENT`` of them in one read; only
+the blocks of that read pass through the driver. A larger benchmark takes more reads: what was found so far is then
+written to a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +35,8 @@ BLOCK_WORDS = 100_000
 RESIDENT = 4
 #: Hit words of a document that make it contaminated, as a share of its words: one in twenty.
 ONE_IN = 20
+PIECES = "item long, body binary, part int, before long, n long"
+_PIECE_ARROW = pa.schema([("item", pa.int64()), ("body", pa.binary()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64())])
 FOUND = "n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, items array<bigint>"
 _FOUND_ARROW = pa.schema(
     [
@@ -185,6 +190,79 @@ def _runs(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _SCANNERS: dict[str, Scanner] = {}
 
 
+def _scanner(key: str, items: list, window: int) -> Scanner:
+    """This worker's scanner of a block; only the blocks of one benchmark are kept."""
+    if key not in _SCANNERS:
+        owner = key.rpartition("/")[0]
+        for other in [k for k in _SCANNERS if k.rpartition("/")[0] != owner]:
+            del _SCANNERS[other]
+        _SCANNERS[key] = Scanner([(i, words_of(t)) for i, t in items], window)
+    return _SCANNERS[key]
+
+
+def store_blocks(benchmark: DataFrame, block_words: int, text: str, id_column: str, window: int = WINDOW) -> DataFrame:
+    """The distinct items, cut into pieces and stored by block: (item, body, block). No block has as many as
+    2 * ``block_words`` + ``window`` words. Items without an id or without words have no windows.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(id_column).cast("long").alias("item"), F.col(text).cast("binary").alias("body"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "body"):
+            rows = []
+            for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist()):
+                words = words_of(body)
+                for at in range(0, max(len(words) - window, 0) + 1 if words else 0, block_words):
+                    piece = words[at : at + block_words + window - 1]
+                    rows.append((item, b" ".join(piece), part, before, len(piece)))
+                    before += len(piece)
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_ARROW.types)], schema=_PIECE_ARROW)
+
+    cut, folder = scratch_path(spark, "pieces"), scratch_path(spark, "blocks")
+    items.where(F.col("item").isNotNull()).distinct().mapInArrow(pieces, PIECES).write.parquet(cut)
+    stored = spark.read.schema(PIECES).parquet(cut)
+    # only one row for each written file goes through the running total
+    sums = stored.groupBy("part").agg(F.sum("n").alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start"))
+    block = F.floor((F.col("part_start") + F.col("before")) / F.lit(block_words)).cast("long")
+    stored.join(starts, "part").select("item", "body", block.alias("block")).write.partitionBy("block").parquet(folder)
+    return spark.read.schema("item long, body binary, block long").parquet(folder)
+
+
+def scan(self, words: list[bytes], hit: np.ndarray, items: set[int]) -> None:
+        """Marks the hit words and adds the items that occur."""
+        least = self.automaton.shortest
+        if len(words) < least or not self.known:
+            return
+        codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if least == 1:
+            good = codes >= 0
+            starts, ends = _runs(good)
+        else:
+            both = codes[:-1] * self.base + codes[1:]
+            both[(codes[:-1] < 0) | (codes[1:] < 0)] = -1
+            place = np.minimum(np.searchsorted(self.pairs, both), max(len(self.pairs) - 1, 0))
+            good = self.pairs[place] == both if len(self.pairs) else np.zeros(len(both), bool)
+            starts, ends = _runs(good)
+            ends = ends + 1
+        for start, end in zip(starts, ends):
+            if end - start >= least:
+                for stop, length, found in self.automaton.hits(codes[start:end].tolist()):
+                    hit[start + stop - length : start + stop] = True
+                    items.update(found)
+
+
+def _runs(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step = np.diff(np.concatenate(([0], good.astype(np.int8), [0])))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+_SCANNERS: dict[str, Scanner] = {}
+
+
 def _scanner(key: str, items: list, window: int) -> Scanner:
     """This worker's scanner of a block; only the blocks of one benchmark are kept."""
     if key not in _SCANNERS:
@@ -226,16 +304,23 @@ def scan(
     """
     spark = df.sparkSession
     body, names = f"{prefix}body", [prefix + f.name for f in _FOUND_ARROW]
-    found = blocks_of(benchmark, block_words, item_text, item_id) or [[]]
+    stored = store_blocks(benchmark, block_words, item_text, item_id, window)
+    numbers = [r["block"] for r in stored.select("block").distinct().orderBy("block").collect()]
+    shared: list = []
     fields = T._parse_datatype_string(FOUND).fields
     out = T.StructType([*df.schema.fields, *(T.StructField(prefix + f.name, f.dataType) for f in fields)])
-    for first in range(0, len(found), RESIDENT):
-        shared = [spark.sparkContext.broadcast(items) for items in found[first : first + RESIDENT]]
+    for first in range(0, max(len(numbers), 1), RESIDENT):
         source = df.withColumn(body, F.col(text).cast("binary"))
         if first:
             folder = scratch_path(spark, "decontaminate")
             df.write.parquet(folder)
             source = spark.read.parquet(folder).withColumn(body, F.col(text).cast("binary"))
+        for b in shared:
+            b.destroy()  # that read is written
+        held: dict[int, list] = {b: [] for b in numbers[first : first + RESIDENT]}
+        for r in stored.where(F.col("block").isin(list(held))).collect():
+            held[r["block"]].append((r["item"], bytes(r["body"])))
+        shared = [spark.sparkContext.broadcast(sorted(items)) for items in held.values()]
         df = source.mapInArrow(_judge(shared, window, body, names, bool(first)), out)
     return df
 

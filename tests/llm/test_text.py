@@ -91,6 +91,23 @@ def test_decontamination_awkward(spark, awkward, no_documents, monkeypatch):
     assert {r["x_n_hit"] for r in decontaminate.scan(awkward, bench.limit(0), prefix="x_").collect()} == {0}
 
 
+def test_blocks_of_a_skewed_benchmark_are_bounded(spark):
+    long = [f"w{i}" for i in range(1000)]
+    items = [(1, " ".join(long)), *[(2, " ".join(f"v{i}" for i in range(20)))] * 300]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks, windows = defaultdict(int), set()
+    for r in decontaminate.store_blocks(bench, 50, "text", "item_id").collect():
+        words = bytes(r["body"]).split()
+        blocks[r["block"]] += len(words)
+        windows |= {(r["item"], *words[i : i + 13]) for i in range(len(words) - 12)}
+    assert max(blocks.values()) < 2 * 50 + 13 and len(blocks) > 5
+    assert len(windows) == (1000 - 12) + (20 - 12)
+    texts = [" ".join(long[a : a + n]) + " tail" for a, n in ((40, 13), (45, 12), (30, 80), (987, 13), (0, 1000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(decontaminate.scan(df, bench, block_words=200), "n_words", "n_hit", "items")
+    assert {i: (n, h, set(f)) for i, (n, h, f) in got.items()} == {i: brute_hits(t, items[:2], 13) for i, t in enumerate(texts)}
+
+
 # --- language ----------------------------------------------------------------------------------------------------
 
 
