@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import bwt_dedup, dac, dart_minhash, decontaminate, katz, language, multi_index, packing, quotes, secrets
+from gridlark.llm import (
+    bwt_dedup, dac, dart_minhash, decontaminate, hard_negatives, html_text, katz, language, multi_index, packing, quotes, secrets,
+    turn_repair,
+)
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
 from gridlark.plans.session import prepare, scratch_path
@@ -94,5 +97,28 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_automaton, op2_output_codes, op3_curve_packing, op4_quotation_links, op5_katz_backoff, op6_token_efficiency, op7_addressable_codes, op8_dart_minhash, op9_merged_transforms, op10_multi_index)}
+def op11_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired at the least cost."""
+    return turn_repair.check(table(prepare(spark), sf_dir, "conversations"))
+
+
+def op12_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op13_vertical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has a wrong label."""
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+_FUNCTIONS = (
+    op1_suffix_automaton, op2_output_codes, op3_curve_packing, op4_quotation_links, op5_katz_backoff, op6_token_efficiency,
+    op7_addressable_codes, op8_dart_minhash, op9_merged_transforms, op10_multi_index, op11_hirschberg_repair, op12_tree_scoring,
+    op13_vertical_scan,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _FUNCTIONS}
 ORACLE: dict[str, str] = {"op4_quotation_links": quotes.SQL}
