@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -12,15 +11,14 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlark.functions import vectors as V
 from gridlark.functions.conditions import literal
 from gridlark.functions.numbers import stat_sql
+from gridlark.operators import blocks
+from gridlark.operators.blocks import matrix_of
 from gridlark.operators.state import merge_first_wins
 from gridlark.plans.session import scratch_path
 
@@ -31,7 +29,6 @@ VECTOR_LIMIT = 10
 RESULT_LIMIT = 10
 SUMMARY_PER_COLLECTION = 5
 MIN_SCORED_LENGTH = 3
-SLICE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -95,10 +92,10 @@ def keyword_search(
 
 
 def _keyword_score(text_column: str, words: list[str], scored: list[str]) -> Column:
-    """Share of the longer words that occur, NULL where no word does."""
+    """Share of the longer words that occur, NULL where no word does. A query without a word finds every text."""
     found = {w: f"contains(lower({text_column}), {literal(w)})" for w in words}
     if not words:
-        return F.lit(None).cast("double")
+        return F.when(F.col(text_column).isNotNull(), 0.0)
     points = " + ".join(f"cast({found[w]} AS int)" for w in scored) or "0"
     share = stat_sql(f"cast({points} AS double) / {literal(float(max(len(scored), 1)))}", V.SCORE_PLACES)
     return F.expr(f"CASE WHEN {' OR '.join(found.values())} THEN {share} END")
@@ -133,13 +130,17 @@ def embed(
     text_column: str,
     encoder: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None,
     output: str = "embedding",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Encode the text of every row, batch by batch. The factory runs once per task, so a
     model is loaded where it is used. Default: the hash embedding.
 
     A column rather than a map over the rows: only the text travels to Python, and the
-    column is pruned where nothing reads it.
+    column is pruned where nothing reads it. ``tasks`` deals the rows to so many tasks first, which pays where one task
+    would read them all (a file of one row group) and the columns are few: moving a text costs less than encoding it.
     """
+    if tasks:
+        df = df.repartition(tasks)
     if encoder is None:
         encode = F.arrow_udf(_hash_batch, "array<double>")
     else:
@@ -153,22 +154,13 @@ def embed(
     return df.withColumn(output, encode(text_column))
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of an Arrow list column as a matrix, and which rows had one of that width."""
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    width = width or int(lengths.max(initial=0))
-    usable = (lengths == width) & (width > 0)
-    values = column.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64).reshape(-1, max(width, 1)), usable
-
-
 def _cosine_to(query: np.ndarray):
     """Column function: cosine of a vector column with one query; NULL without a length."""
     length = float(np.sqrt((query * query).sum()))
 
     def run(column: pa.Array) -> pa.Array:
         scores = np.full(len(column), np.nan)
-        docs, usable = _matrix(column, len(query))
+        docs, usable = matrix_of(column, len(query))
         with np.errstate(divide="ignore", invalid="ignore"):
             scores[usable] = (docs @ query) / (np.sqrt((docs * docs).sum(axis=1)) * length)
         return pa.array(scores, mask=~np.isfinite(scores))
@@ -215,18 +207,6 @@ def semantic_search(query: str, tables: dict[str, Collection], k: int = VECTOR_L
 
 
 # --- many queries at once --------------------------------------------------------------------------
-BLOCK_BYTES = 4 << 20
-#: More than a product of unit vectors can be off by.
-NOISE = 1e-9
-
-
-def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length one, and which rows had a finite length at all."""
-    length = np.sqrt((matrix * matrix).sum(axis=1))
-    usable = np.isfinite(length) & (length > 0)
-    return matrix[usable] / length[usable, None], usable
-
-
 def vector_search_batch(
     queries: DataFrame,
     docs: DataFrame,
@@ -234,104 +214,14 @@ def vector_search_batch(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector_column: str = "embedding",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = blocks.BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact top-k documents for every query.
-
-    Both sides are packed into blocks of bounded size by the executors and stored, so each vector is made once. Every
-    pair of blocks then meets by an equi-join on the block's number and is scored with one matrix product, which keeps
-    k per query: no (query, document) pair is ever a row, and only block numbers pass through the driver. Vectors
-    without a length, or of a width that the other side does not have, match nothing.
-    """
-    spark, id_type, doc_type = docs.sparkSession, queries.schema[query_id].dataType, docs.schema[doc_id].dataType
-    partial = T.StructType(
-        [
-            T.StructField(query_id, id_type),
-            T.StructField(doc_id, doc_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    asked = _blocks(queries, query_id, vector_column, block_bytes).withColumnsRenamed(
-        {"block": "q_block", "ids": "q_ids", "width": "q_width", "unit": "q_unit"}
-    )
-    numbers = [r[0] for r in asked.select("q_block").collect()]
-    if not numbers:
-        return spark.createDataFrame([], T.StructType([partial[0], T.StructField("rank", T.IntegerType()), *partial.fields[1:]]))
-    stored = _blocks(docs, doc_id, vector_column, block_bytes)
-    met = stored.withColumn("q_block", F.explode(F.array(*[F.lit(n) for n in numbers]))).join(asked, "q_block")
-    met = met.where(F.col("width") == F.col("q_width")).select("q_ids", "q_unit", "ids", "unit", "width")
-    out = met.mapInArrow(_scorer(k, to_arrow_schema(partial)), partial)
-    order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(doc_id))
-    # the rank limit is applied again before the exchange, so a task sends k rows per query
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return shown(ranked.select(query_id, "rank", doc_id, "score"))
-
-
-def _blocks(df: DataFrame, id_column: str, vector_column: str, block_bytes: int) -> DataFrame:
-    """(block, ids, width, unit): vectors of one width scaled to length one, in blocks of bounded size, as a table."""
-    spark, id_type = df.sparkSession, df.schema[id_column].dataType
-    schema = T.StructType(
-        [
-            T.StructField("block", T.StringType()),
-            T.StructField("ids", T.ArrayType(id_type)),
-            T.StructField("width", T.IntegerType()),
-            T.StructField("unit", T.BinaryType()),
-        ]
-    )
-    arrow = to_arrow_schema(schema)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
-            sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-            for width in np.unique(sizes[sizes > 0]):
-                own = pa.array(sizes == width)
-                matrix, names = _matrix(vectors.filter(own), int(width))[0], ids.filter(own)
-                rows = max(1, block_bytes // (8 * int(width)))
-                for start in range(0, len(matrix), rows):
-                    unit, usable = _unit_rows(matrix[start : start + rows])
-                    if len(unit):
-                        kept = names.slice(start, rows).filter(pa.array(usable)).to_pylist()
-                        columns = ([uuid.uuid4().hex], [kept], [int(width)], [unit.tobytes()])
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
-
-    folder = scratch_path(spark, "blocks")
-    df.select(id_column, vector_column).mapInArrow(pack, schema).write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
-def _top(row: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, earlier position first among equals."""
-    if len(row) > k:
-        limit = np.partition(row, len(row) - k)[len(row) - k]
-        candidates = np.flatnonzero(row >= limit)
-    else:
-        candidates = np.arange(len(row))
-    return candidates[np.argsort(-row[candidates], kind="stable")][:k]
-
-
-def _scorer(k: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                queries, docs = (np.frombuffer(row[n], np.float64).reshape(-1, row["width"]) for n in ("q_unit", "unit"))
-                order = sorted(range(len(docs)), key=row["ids"].__getitem__)  # ties go to the smaller id
-                docs, names = docs[order], [row["ids"][i] for i in order]
-                found = []
-                for start in range(0, len(queries), SLICE_ROWS):
-                    part = queries[start : start + SLICE_ROWS]
-                    for q, query, rough in zip(row["q_ids"][start : start + SLICE_ROWS], part, part @ docs.T):
-                        # a matrix product's last bits depend on the block: what it puts near the top is summed again,
-                        # pair by pair, so that equal vectors tie exactly wherever they lie
-                        limit = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
-                        near = np.flatnonzero(rough >= limit - NOISE)
-                        scores = np.einsum("nd,d->n", docs[near], query)
-                        found += [(q, names[near[i]], float(scores[i])) for i in _top(scores, k)]
-                columns = [pa.array(c, t) for c, t in zip(map(list, zip(*found)), schema.types)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return run
+    """Exact top-k documents for every query. Both sides are packed into blocks and stored, so each vector is made once.
+    Vectors without a length, or of a width that the other side does not have, match nothing."""
+    folder = scratch_path(docs.sparkSession, "blocks")
+    asked = blocks.pack(queries, query_id, vector_column, f"{folder}/queries", block_bytes=block_bytes)
+    stored = blocks.pack(docs, doc_id, vector_column, f"{folder}/docs", block_bytes=block_bytes)
+    return shown(blocks.search(asked, stored, k, query_id, doc_id).hits)
 
 
 # --- hybrid ------------------------------------------------------------------------------------------
@@ -505,10 +395,16 @@ def summarise(hybrid: DataFrame, query: str, domain: str | None) -> DataFrame:
     )
 
 
-def log_queries(queries: DataFrame, search_type: str, now_ms: int) -> DataFrame:
+def log_queries(queries: DataFrame, search_type: str, now_ms: Column | int) -> DataFrame:
     """Rows for the query log."""
     intent = extract_intent(F.col("query"))
     return queries.select(
         "query", intent.alias("intent"), F.lit(search_type).alias("search_type"), "result_count",
-        F.lit(now_ms).alias("timestamp"),
+        (F.lit(now_ms) if isinstance(now_ms, int) else now_ms).alias("timestamp"),
     )
+
+
+def recent_queries(logged: DataFrame, now_ms: int, hours: int = 24) -> DataFrame:
+    """How many questions were logged in the last hours, and how many of them found nothing."""
+    recent = logged.where(F.col("timestamp") >= now_ms - hours * 3_600_000)
+    return recent.agg(F.count("*").alias("recent_queries"), F.count_if(F.col("result_count") == 0).alias("without_results"))

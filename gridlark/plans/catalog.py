@@ -13,6 +13,7 @@ from gridlark.operators import audit as R
 from gridlark.operators import derive as D
 from gridlark.operators import documents as C
 from gridlark.operators import enrich as N
+from gridlark.operators import index as I
 from gridlark.operators import joins as J
 from gridlark.operators import search as Q
 from gridlark.operators import state as S
@@ -605,11 +606,11 @@ def _embed_operational(spark, sf_dir):
     return C.operational_embeddings({**views, "alerts": dom.all_alerts()})
 
 
-def _fingerprint(df: DataFrame, id_column: str) -> DataFrame:
+def _fingerprint(df: DataFrame, *id_columns: str) -> DataFrame:
     """A vector as one comparable text: every byte value, digested."""
     as_bytes = F.transform("embedding", lambda x: (x * 128 + 128).cast("int").cast("string"))
     return df.select(
-        id_column, F.size("embedding").alias("dimensions"), F.md5(F.concat_ws(",", as_bytes)).alias("fingerprint")
+        *id_columns, F.size("embedding").alias("dimensions"), F.md5(F.concat_ws(",", as_bytes)).alias("fingerprint")
     )
 
 
@@ -619,10 +620,18 @@ register("emb_hash")(
     )
 )
 register("emb_batch")(
-    lambda s, d: _fingerprint(Q.embed(feeds.load(s, d, "documents").select("doc_id", "text"), "text"), "doc_id")
+    lambda s, d: _fingerprint(Q.embed(feeds.load(s, d, "documents").select("doc_id", "text"), "text", tasks=_tasks(s)), "doc_id")
 )
 
 
+@register("emb_rows_operational")
+def _embedding_rows(spark, sf_dir):
+    """Complete embedding rows: where the text is from, its vector, the model and its dimensions."""
+    rows = I.embedding_rows(_embed_operational(spark, sf_dir), tasks=_tasks(spark))
+    kept = ("embedding_id", "source_collection", "source_id", "source_type", "text_content", "embedding_model", "metadata")
+    return _fingerprint(rows.select(*kept, F.col("dimensions").alias("told"), "embedding"), *kept, "told")
+
+
 # --- knowledge tables ------------------------------------------------------------------------------------
 def _kb_equipment(spark, sf_dir) -> DataFrame:
     key = F.col("p_partkey")
@@ -691,13 +700,11 @@ register("kb_list_threat_actors")(lambda s, d: C.kb_list(_kb_actors(s, d), "acto
 QUESTION = "hostile aircraft or critical cyber incident with small ring in status PATROL"
 
 
-def _collections(spark, sf_dir, vectors: bool = False) -> dict[str, Q.Collection]:
-    """The five searchable collections of the default route."""
+def _collections(spark, sf_dir) -> dict[str, Q.Collection]:
+    """The searchable collections: the five of the default route, facilities and signals."""
 
     def table(df, id_column, merge_id, line):
-        df = Q.embed(df.select(*[c for c in df.columns if c not in ("rag_metadata", "location", "position")]), "rag_text") \
-            if vectors else df
-        return Q.Collection(df, id_column, "rag_text", merge_id, lambda: template(line))
+        return Q.Collection(df, id_column, "rag_text", merge_id, (lambda: template(line)) if line else None)
 
     return {
         "rag_aircraft": table(
@@ -719,11 +726,33 @@ def _collections(spark, sf_dir, vectors: bool = False) -> dict[str, Q.Collection
         "kb_threat_actors": table(
             _kb_actors(spark, sf_dir), "actor_id", None, "{name} ({country}) - {sophistication}",
         ),
+        "rag_facilities": table(_documents(spark, sf_dir, "facility"), "facility_id", "facility_id", None),
+        "rag_sigint": table(_indexed(spark, sf_dir, "sigint"), "intercept_id", "intercept_id", None),
     }
 
 
+_INDEXES: dict[tuple[str, str], tuple[tuple, str, int, str]] = {}
+
+
+def _tasks(spark) -> int:
+    """For tables that one task reads: as many tasks as the cluster has cores to encode their texts."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _index_of(spark, sf_dir) -> I.Published:
+    """The search index over the tables of a folder: built once, brought up to date when their files have changed."""
+    name, now = (spark.sparkContext.applicationId, sf_dir), tables.stamp(spark, sf_dir)
+    seen, path, batch, target = _INDEXES.get(name, (None, scratch_path(spark, "search-index"), -1, ""))
+    if seen != now:
+        I.deliver(spark, path, I.searchable(_collections(spark, sf_dir)), batch + 1, complete=True, tasks=_tasks(spark))
+        target = scratch_path(spark, "search-published")
+        I.publish(spark, path, target)
+        _INDEXES[name] = now, path, batch + 1, target
+    return I.published(spark, target)
+
+
 register("search_keyword")(
-    lambda s, d: Q.keyword_search(QUESTION, _collections(s, d)).select("collection", "hit_id", "text", "line", "score")
+    lambda s, d: I.keyword(QUESTION, _index_of(s, d), Q.DEFAULT_ROUTE).select("collection", "hit_id", "text", "line", "score")
 )
 
 
@@ -742,9 +771,7 @@ def _keyword_texts(spark, sf_dir):
 
 
 register("search_vector")(
-    lambda s, d: Q.shown(Q.semantic_search(QUESTION, _collections(s, d, vectors=True))).select(
-        "collection", "hit_id", "text", "score"
-    )
+    lambda s, d: Q.shown(I.semantic(QUESTION, _index_of(s, d), Q.DEFAULT_ROUTE)).select("collection", "hit_id", "text", "score")
 )
 
 
@@ -775,36 +802,17 @@ def _many(spark, sf_dir):
 def _many_texts(spark, sf_dir):
     """Every benchmark text as a query against all whole documents."""
     queries = Q.embed(feeds.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
-    docs = Q.embed(feeds.load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = Q.embed(feeds.load(spark, sf_dir, "documents").select("doc_id", "text"), "text", tasks=_tasks(spark))
     return Q.vector_search_batch(queries, docs, 10)
 
 
-register("search_hybrid")(
-    lambda s, d: Q.results_page(Q.hybrid_search(QUESTION, _collections(s, d, vectors=True)))
-)
-register("union_hybrid_results")(
-    lambda s, d: Q.hybrid_search(QUESTION, _collections(s, d, vectors=True)).drop("text", "line")
-)
+register("search_hybrid")(lambda s, d: Q.results_page(I.ask(QUESTION, _index_of(s, d), collections=Q.DEFAULT_ROUTE)))
+register("union_hybrid_results")(lambda s, d: I.ask(QUESTION, _index_of(s, d), collections=Q.DEFAULT_ROUTE).drop("text", "line"))
 register("query_summary")(
-    lambda s, d: Q.summarise(
-        Q.hybrid_search(QUESTION, _collections(s, d, vectors=True)), QUESTION, Q.intent_of(QUESTION)
-    )
+    lambda s, d: Q.summarise(I.ask(QUESTION, _index_of(s, d), collections=Q.DEFAULT_ROUTE), QUESTION, Q.intent_of(QUESTION))
 )
-
-
 for _type in ("keyword", "semantic", "hybrid"):
-    register(f"query_answer_{_type}")(
-        lambda s, d, t=_type: Q.answer(QUESTION, _collections(s, d, vectors=True), t)[0]
-    )
-def _all_collections(spark, sf_dir) -> dict[str, Q.Collection]:
-    """What any question may be routed to: the default collections, facilities and signals, with vectors."""
-    facilities, signals = _documents(spark, sf_dir, "facility"), _indexed(spark, sf_dir, "sigint")
-    more = {"rag_facilities": (facilities, "facility_id"), "rag_sigint": (signals, "intercept_id")}
-    return _collections(spark, sf_dir, vectors=True) | {
-        name: Q.Collection(Q.embed(df.select(id_column, "rag_text"), "rag_text"), id_column, merge_id=id_column)
-        for name, (df, id_column) in more.items()
-    }
-
+    register(f"query_answer_{_type}")(lambda s, d, t=_type: I.answer(QUESTION, _index_of(s, d), t)[0])
 
 #: A question for each domain that has a collection of its own.
 DOMAIN_QUESTIONS = {
@@ -814,12 +822,8 @@ DOMAIN_QUESTIONS = {
     "cyber": "critical malware intrusion",
 }
 for _name, _asked in DOMAIN_QUESTIONS.items():
-    register(f"query_answer_{_name}")(lambda s, d, q=_asked: Q.answer(q, _all_collections(s, d))[0])
-
-
-register("query_answer_summary")(
-    lambda s, d: Q.answer(QUESTION, _collections(s, d), "keyword")[1]
-)
+    register(f"query_answer_{_name}")(lambda s, d, q=_asked: I.answer(q, _index_of(s, d))[0])
+register("query_answer_summary")(lambda s, d: I.answer(QUESTION, _index_of(s, d), "keyword")[1])
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -852,15 +856,30 @@ def _routes(spark, sf_dir):
     )
 
 
-@register("query_log")
-def _query_log(spark, sf_dir):
-    path = scratch_path(spark, "rag_query_history")
-    asked = _questions(spark, sf_dir).withColumn("result_count", F.lit(0))
-    sinks.append_sink(path)(Q.log_queries(asked, "hybrid", 1_700_000_000_000), 0)
-    return sinks.read_appended(spark, path).select(
-        "query", "intent.domain", "search_type", "result_count", "timestamp"
+for _type in ("keyword", "semantic", "hybrid"):
+    register(f"query_answer_many_{_type}")(
+        lambda s, d, t=_type: Q.results_page(I.answer_many(_questions(s, d), _index_of(s, d), search_type=t))
     )
 
+#: When the questions were asked at the latest; each conversation an hour before the next.
+ASKED_MS, HOUR_MS = 1_700_000_000_000, 3_600_000
+
+
+def _logged(spark, sf_dir) -> DataFrame:
+    """The log of all questions, each with the number of results that one plan finds for all of them."""
+    asked = _questions(spark, sf_dir)
+    answers = I.answer_many(asked, _index_of(spark, sf_dir))
+    age = (F.split("query_id", "-")[0].cast("long") % 48) * HOUR_MS
+    path = scratch_path(spark, "rag_query_history")
+    sinks.append_sink(path)(I.log_answers(asked.withColumn("asked_ms", F.lit(ASKED_MS) - age), answers, "hybrid", F.col("asked_ms")), 0)
+    return sinks.read_appended(spark, path)
+
+
+register("query_log")(
+    lambda s, d: _logged(s, d).select("query", "intent.domain", "search_type", "result_count", "timestamp")
+)
+register("query_log_recent")(lambda s, d: Q.recent_queries(_logged(s, d), ASKED_MS))
+
 
 # --- streaming -----------------------------------------------------------------------------------------------
 #: Partitions of streaming state. A checkpoint keeps its number for good: choose it for the data, not for the machine.

@@ -16,16 +16,20 @@ Writer = Callable[[DataFrame, int], None]
 DAY = "day"
 
 
-def _write_batch(batch: DataFrame, path: str, batch_id: int, by: Sequence[str] = ()) -> None:
+def write_batch(batch: DataFrame, path: str, batch_id: int, by: Sequence[str] = ()) -> None:
     """One folder per micro-batch, replaced as a whole when a batch is replayed."""
     batch.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def _committed(spark: SparkSession, path: str) -> DataFrame:
-    """The batches whose writer has left its mark; one that is still being written, or was given up, is not read."""
+def committed_batches(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the batches whose writer has left its mark; one that is being written, or was given up, is not read."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}=*/_SUCCESS")
     marks = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    folders = [mark.getPath().getParent().toString() for mark in marks]
+    return [mark.getPath().getParent().toString() for mark in marks or []]
+
+
+def _committed(spark: SparkSession, path: str) -> DataFrame:
+    folders = committed_batches(spark, path)
     if not folders:
         raise FileNotFoundError(f"no finished batch in {path}")
     return spark.read.option("basePath", path).parquet(*folders)
@@ -39,7 +43,7 @@ def upsert_sink(path: str, key: str | Sequence[str], order: Sequence[str]) -> Wr
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(latest_record(batch, key, order), path, batch_id)
+        write_batch(latest_record(batch, key, order), path, batch_id)
 
     return write
 
@@ -58,7 +62,7 @@ def compact_upserts(spark: SparkSession, path: str, target: str, key, order: Seq
     stored = _committed(spark, path)
     newest = stored.agg(F.max(BATCH)).first()[0]
     folded = latest_record(stored, key, (*order, BATCH)).drop(BATCH)
-    _write_batch(folded, target, newest)
+    write_batch(folded, target, newest)
     return newest
 
 
@@ -75,7 +79,7 @@ def append_sink(path: str, id_columns: Sequence[str] = (), day_of: str | None =
         rows = batch.dropDuplicates(list(id_columns)) if id_columns else batch
         if day_of:
             rows = rows.withColumn(DAY, F.to_date(F.timestamp_millis(day_of)))
-        _write_batch(rows, path, batch_id, (DAY,) if day_of else ())
+        write_batch(rows, path, batch_id, (DAY,) if day_of else ())
 
     return write
 

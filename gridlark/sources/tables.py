@@ -35,6 +35,16 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(location).isDirectory()
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of every file below a folder: changes when the stored tables do."""
+    fs, location = _file_system(spark, path)
+    files, out = fs.listFiles(location, True), []
+    while files.hasNext():
+        status = files.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def list_tables(spark: SparkSession, root: str) -> list[str]:
     """Names of the tables (folders or .parquet files) below a folder."""
     fs, location = _file_system(spark, root)
