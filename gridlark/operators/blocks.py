@@ -9,7 +9,7 @@ are joined. Blocks meet by equi-joins on block numbers; a pair of blocks keeps k
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,9 @@ from gridlark.plans.session import scratch_path
 BLOCK_BYTES = 4 << 20
 #: A task sorts so many blocks' rows at a time into this many groups for each block.
 BUFFER_BLOCKS, GROUPS_PER_BLOCK = 8, 2
-#: Document blocks that each query block meets before bounds are known to rule others out.
-SEEDS = 2
+#: Document blocks that each query block meets before bounds are known to rule others out. Where there are few pairs of
+#: blocks in all, comparing them costs less than finding out which can be left out, and each is met.
+SEEDS, FEW = 2, 64
 #: Blocks of one side whose centres one task compares.
 SHARD = 1024
 SLICE_ROWS = 1024
@@ -153,12 +154,12 @@ def _directory(blocks: DataFrame, side: str, shards: int) -> DataFrame:
     )
 
 
-def _bounds(asked: DataFrame, stored: DataFrame) -> DataFrame:
+def _bounds(asked: DataFrame, stored: DataFrame, counts: tuple[int, int]) -> DataFrame:
     """(q, d, bound) of all pairs of blocks of one scope and width: the highest score that they can hold.
 
     Centres are compared by the matrix, shard by shard: the two directories repeat once per shard of the other one.
     """
-    q_shards, d_shards = (-(-side.count() // SHARD) or 1 for side in (asked, stored))
+    q_shards, d_shards = (-(-count // SHARD) or 1 for count in counts)
     left = _directory(asked, "q", q_shards).withColumn("d_shard", F.explode(F.sequence(F.lit(0), F.lit(d_shards - 1))))
     right = _directory(stored, "d", d_shards).withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(q_shards - 1))))
 
@@ -206,14 +207,17 @@ def search(asked: DataFrame, stored: DataFrame, k: int, query_id: str, doc_id: s
     def result(hits: DataFrame) -> DataFrame:
         return best(hits).select(query_id, "rank", doc_id, "score")
 
-    several = stored.groupBy("scope", "width").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if several is None or several <= SEEDS:  # every block would be a first one: nothing to rule out
-        same = stored.select(F.col("block").alias("d"), "scope", "width")
-        pairs = asked.select(F.col("block").alias("q"), "scope", "width").join(same, ["scope", "width"]).select("q", "d")
-        return Met(result(scored(pairs)), pairs, pairs)
+    sides = asked.select(F.lit("q").alias("side")).unionAll(stored.select(F.lit("d").alias("side")))
+    sizes = {r["side"]: r for r in sides.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    counts = tuple(sizes[side]["n"] if side in sizes else 0 for side in "qd")
+    if counts[0] * counts[1] <= FEW:
+        renamed = asked.select("scope", "width", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
+        met = renamed.join(stored, ["scope", "width"])
+        pairs = met.select("q", F.col("block").alias("d"))
+        return Met(result(met.select("q_ids", "q_unit", "ids", "unit", "width").mapInArrow(scorer, partial)), pairs, pairs)
     folder = scratch_path(spark, "block-pairs")
     nearest = Window.partitionBy("q").orderBy(F.col("bound").desc(), "d")
-    _bounds(asked, stored).withColumn("first", F.row_number().over(nearest) <= SEEDS).write.parquet(f"{folder}/bounds")
+    _bounds(asked, stored, counts).withColumn("first", F.row_number().over(nearest) <= SEEDS).write.parquet(f"{folder}/bounds")
     pairs = spark.read.parquet(f"{folder}/bounds")
     best(scored(pairs.where("first"))).write.parquet(f"{folder}/first")
     found = spark.read.parquet(f"{folder}/first")
@@ -229,6 +233,40 @@ def search(asked: DataFrame, stored: DataFrame, k: int, query_id: str, doc_id: s
     return met
 
 
+def nearest(stored: DataFrame, vector, k: int, scopes: Sequence[str] | None = None) -> DataFrame:
+    """(id, score): the k best stored vectors for one vector by cosine, ties to the smaller id. A task scores a block only
+    if its bound can still beat the k that the task has found."""
+    unit, usable = unit_rows(np.asarray(vector, np.float64)[None])
+    kind = stored.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    rows = stored.where((F.col("width") == unit.shape[1]) & F.lit(bool(usable[0])))
+    rows = rows.where(F.col("scope").isin(*scopes)) if scopes else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, held = unit[0], []
+        for batch in batches:
+            centres, radii = batch.column("centre"), batch.column("radius").to_pylist()
+            for r in range(batch.num_rows):
+                centre = np.frombuffer(centres[r].as_buffer(), np.float64)
+                apart = max(np.sqrt(((query - centre) ** 2).sum()) - radii[r] - SLACK, 0.0)
+                if len(held) == k and 1 - apart**2 / 2 < held[-1][0] - NOISE:
+                    continue
+                docs = np.frombuffer(batch.column("unit")[r].as_buffer(), np.float64).reshape(-1, len(query))
+                rough = docs @ query
+                limit = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
+                if len(held) == k:
+                    limit = max(limit, held[-1][0])
+                near = np.flatnonzero(rough >= limit - NOISE)
+                names, scores = batch.column("ids")[r].values.take(pa.array(near)).to_pylist(), np.einsum("nd,d->n", docs[near], query)
+                held = sorted([*held, *zip(scores.tolist(), names)], key=lambda h: (-h[0], h[1]))[:k]
+        columns = ([h[1] for h in held], [h[0] for h in held])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+    hits = rows.select("ids", "unit", "centre", "radius").mapInArrow(run, schema)
+    return hits.orderBy(F.col("score").desc(), "id").limit(k)
+
+
 def _top(row: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, earlier position first among equals."""
     if len(row) > k:

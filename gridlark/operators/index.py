@@ -149,10 +149,11 @@ def keyword(query: str, index: Published, collections: Sequence[str] | None = No
 
 
 def semantic(query: str, index: Published, collections: Sequence[str] | None = None, k: int = search.VECTOR_LIMIT) -> DataFrame:
-    """Semantic hits of one question: one scan of the stored vectors, nothing but the question is embedded."""
-    similarity = search._cosine_to(search.hash_vector(query))
-    hits = _of(index.rows, collections).select(*search.HIT[:5], similarity("embedding").alias("score"), "priority")
-    return search._best(hits, k).where("score IS NOT NULL")
+    """Semantic hits of one question: one scan of the stored blocks, nothing but the question is embedded. What a hit says
+    is looked up for the k that are left."""
+    hits = blocks.nearest(index.vectors, search.hash_vector(query), k, collections)
+    told = _of(index.rows, collections).withColumn("id", _block_id()).join(F.broadcast(hits), "id")
+    return search._best(told.select(*search.HIT), k)
 
 
 def ask(query: str, index: Published, search_type: str = "hybrid", collections: Sequence[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gridlark.operators import alerts as A
 from gridlark.operators import audit as R
+from gridlark.operators import blocks
 from gridlark.operators import derive as D
 from gridlark.operators import documents as C
 from gridlark.operators import enrich as N
@@ -731,7 +732,18 @@ def _collections(spark, sf_dir) -> dict[str, Q.Collection]:
     }
 
 
-_INDEXES: dict[tuple[str, str], tuple[tuple, str, int, str]] = {}
+_STORED: dict[tuple, tuple] = {}
+
+
+def _kept(spark, sf_dir, what: str, build: Callable):
+    """What is stored once over the tables of a folder, and built on when their files have changed: ``build`` gets what
+    it returned before, or None."""
+    name, now = (spark.sparkContext.applicationId, sf_dir, what), tables.stamp(spark, sf_dir)
+    seen, value = _STORED.get(name, (None, None))
+    if seen != now:
+        value = build(value)
+        _STORED[name] = now, value
+    return value
 
 
 def _tasks(spark) -> int:
@@ -739,16 +751,15 @@ def _tasks(spark) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+def _delivered(spark, sf_dir, before: tuple | None) -> tuple[str, int, I.Published]:
+    path, batch, _ = before or (scratch_path(spark, "search-index"), -1, None)
+    I.deliver(spark, path, I.searchable(_collections(spark, sf_dir)), batch + 1, complete=True, tasks=_tasks(spark))
+    return path, batch + 1, I.publish(spark, path, scratch_path(spark, "search-published"))
+
+
 def _index_of(spark, sf_dir) -> I.Published:
-    """The search index over the tables of a folder: built once, brought up to date when their files have changed."""
-    name, now = (spark.sparkContext.applicationId, sf_dir), tables.stamp(spark, sf_dir)
-    seen, path, batch, target = _INDEXES.get(name, (None, scratch_path(spark, "search-index"), -1, ""))
-    if seen != now:
-        I.deliver(spark, path, I.searchable(_collections(spark, sf_dir)), batch + 1, complete=True, tasks=_tasks(spark))
-        target = scratch_path(spark, "search-published")
-        I.publish(spark, path, target)
-        _INDEXES[name] = now, path, batch + 1, target
-    return I.published(spark, target)
+    """The search index over the tables of a folder."""
+    return _kept(spark, sf_dir, "index", lambda before: _delivered(spark, sf_dir, before))[2]
 
 
 register("search_keyword")(
@@ -777,16 +788,19 @@ register("search_vector")(
 
 @register("search_vector_index")
 def _vector_index(spark, sf_dir):
-    """Filtered index search; the score is the index's (1 + cosine) / 2."""
+    """Filtered index search over stored blocks of one source type each; the score is the index's (1 + cosine) / 2."""
     rows = feeds.load(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("source_id"), "embedding",
         F.concat(F.lit("TYPE-"), F.col("label").cast("string")).alias("source_type"),
-        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text_content"),
+    )
+    stored = _kept(
+        spark, sf_dir, "vectors",
+        lambda _: blocks.pack(rows, "source_id", "embedding", scratch_path(spark, "vectors"), "source_type"),
     )
     query = feeds.load(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"]
-    table = {"vector_embeddings": Q.Collection(rows, "source_id", "text_content")}
-    hits = Q.vector_search(query, table, where=F.col("source_type") == "TYPE-3")
-    return Q.shown(hits.select("hit_id", "text", Q.index_score(F.col("score")).alias("score")))
+    hits = blocks.nearest(stored, query, Q.VECTOR_LIMIT, ["TYPE-3"])
+    text = F.concat(F.lit("vector "), "id").alias("text")
+    return Q.shown(hits.select(F.col("id").alias("hit_id"), text, Q.index_score(F.col("score")).alias("score")))
 
 
 @register("search_many")

@@ -115,7 +115,7 @@ def test_questions_embed_no_corpus(spark):
         text = plan._jdf.queryExecution().toString()
         assert "_hash_batch" not in text
     hybrid = contract.queries()["search_hybrid"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "_hash_batch" not in hybrid and hybrid.count("ArrowEvalPython") == 1
+    assert "_hash_batch" not in hybrid and hybrid.count("MapInArrow") == 1 and "ArrowEvalPython" not in hybrid
 
 
 def test_index_follows_the_tables(spark, tmp_path):
@@ -125,10 +125,11 @@ def test_index_follows_the_tables(spark, tmp_path):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(40).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
     first = catalog._index_of(spark, str(folder)).rows
     assert catalog._index_of(spark, str(folder)).rows.inputFiles() == first.inputFiles()
-    assert catalog._INDEXES[spark.sparkContext.applicationId, str(folder)][2] == 0
+    known = spark.sparkContext.applicationId, str(folder), "index"
+    assert catalog._STORED[known][1][1] == 0
     spark.read.parquet(f"{DATA}/part.parquet").limit(50).coalesce(1).write.mode("overwrite").parquet(f"{folder}/part.parquet")
     rows = catalog._index_of(spark, str(folder)).rows
-    path, batch = catalog._INDEXES[spark.sparkContext.applicationId, str(folder)][1:3]
+    path, batch, _ = catalog._STORED[known][1]
     assert batch == 1 and rows.where("collection = 'kb_equipment'").count() == 50
     assert spark.read.parquet(f"{path}/batch_id=1").count() == 10
 
@@ -149,7 +150,8 @@ def nearest(data, q, k, allowed):
 
 
 @pytest.mark.parametrize("scoped", [False, True])
-def test_bounds_skip_most_blocks_and_lose_nothing(spark, tmp_path, scoped):
+def test_bounds_skip_most_blocks_and_lose_nothing(spark, tmp_path, scoped, monkeypatch):
+    monkeypatch.setattr(blocks, "FEW", 2)
     data, df = clustered(spark)
     scope = "scope" if scoped else None
     docs = blocks.pack(df.coalesce(1), "id", "embedding", str(tmp_path / "docs"), scope, block_bytes=8 * 6 * 20)
@@ -163,6 +165,15 @@ def test_bounds_skip_most_blocks_and_lose_nothing(spark, tmp_path, scoped):
     assert met.share() < 0.5 and met.visited.count() == met.visited.distinct().count()
 
 
+def test_one_query_over_blocks(spark, tmp_path):
+    data, df = clustered(spark)
+    stored = blocks.pack(df.coalesce(1), "id", "embedding", str(tmp_path / "one"), "scope", block_bytes=8 * 6 * 20)
+    for q, scopes in ((3, None), (14, ["b"]), (100, ["a", "b"])):
+        got = [r["id"] for r in blocks.nearest(stored, data[q], 7, scopes).collect()]
+        assert got == nearest(data, q, 7, [i for i in range(len(data)) if scopes != ["b"] or i % 7 == 0])
+    assert blocks.nearest(stored, [0.0] * 6, 7).count() == blocks.nearest(stored, [1.0], 7).count() == 0
+
+
 def test_blocks_hold_neighbours_within_their_radius(spark, tmp_path):
     data, df = clustered(spark)
     for r in blocks.pack(df, "id", "embedding", str(tmp_path / "b"), block_bytes=8 * 6 * 9).collect():
