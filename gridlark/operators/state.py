@@ -73,37 +73,59 @@ def latest_time(df: DataFrame, time: str = "timestamp") -> Column:
     return df.agg(F.max(time).alias("now")).scalar()
 
 
+def cache_key(stream: str) -> Column:
+    """What a record is cached by: its id, or what stands for it. A record without an id, of a stream that has nothing
+    else to tell its entities by, is not cached: its key is NULL."""
+
+    def given(column: str) -> Column:
+        return F.nullif(F.col(column), F.lit(""))
+
+    keys = {"gps": "unit_id", "aircraft": "aircraft_id", "naval": "vessel_id"}
+    if stream in keys:
+        return given(keys[stream])
+    if stream == "cyber":
+        other = F.concat_ws("_", F.coalesce("source_ip", F.lit("unknown")), F.coalesce(F.col("timestamp").cast("string"), F.lit("")))
+        return F.coalesce(given("incident_id"), other)
+    if stream == "sigint":
+        frequency = F.coalesce(F.col("frequency_mhz").cast("string"), F.lit(""))
+        return F.coalesce(given("intercept_id"), F.concat_ws("_", F.coalesce("collector_id", F.lit("unknown")), frequency))
+    raise ValueError(f"no cache of {stream}")
+
+
 def _fresh_rows(df: DataFrame, ttl_seconds: int, now_ms: Column | int) -> DataFrame:
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
     ttl = F.lit(ttl_seconds * 1000)
     if "day" in df.columns:  # a table laid out by day: older days are not opened
         df = df.where(F.col("day") >= F.to_date(F.timestamp_millis((now - ttl).cast("bigint"))))
-    return df.where(F.col("timestamp") > now - ttl)  # the bare column: the predicate can reach the files
+    return df.where(F.col("timestamp") > now - ttl)
 
 
 def state_fresh(
-    df: DataFrame, key: str, ttl_seconds: int, now_ms: Column | int, order: Sequence[str] = ORDER
+    df: DataFrame, key: str | Column, ttl_seconds: int, now_ms: Column | int, order: Sequence[str] = ORDER
 ) -> DataFrame:
-    """Latest record per entity that is younger than the time to live.
+    """Latest record per entity that is younger than the time to live. ``key`` is a column or an expression such as
+    ``cache_key``; rows whose key is NULL have no entity.
 
-    A record older than the limit can never be an entity's fresh state, so it is dropped
-    before the exchange.
+    A record older than the limit can never be an entity's fresh state, so it is dropped before the exchange. Where the
+    time is computed from a stored column, read the rows through a zone map: it filters by what is stored.
     """
-    return latest_record(_fresh_rows(df, ttl_seconds, now_ms), key, order)
+    entity = F.col(key) if isinstance(key, str) else key
+    rows = _fresh_rows(df, ttl_seconds, now_ms).withColumn("_entity", entity).where("_entity IS NOT NULL")
+    return latest_record(rows, "_entity", order).select(*df.columns)
 
 
 def state_fresh_or_recent(
-    df: DataFrame, key: str, ttl_seconds: int, now_ms: Column | int, fallback: DataFrame, n: int
+    df: DataFrame, key: str | Column, ttl_seconds: int, now_ms: Column | int, fallback: DataFrame, n: int
 ) -> DataFrame:
     """Fresh state, or the newest ``n`` rows of the fallback when nothing is fresh.
 
-    Which of the two it is gets decided by a probe that stops at the first fresh row, so
-    that the fallback is not read (and ranked) for nothing.
+    The plan itself decides, when it runs: a subquery that stops at the first fresh row lets the fallback's rows through
+    or none of them. No job runs while the plan is built.
     """
     shared = [c for c in fallback.columns if c in df.columns]
-    if _fresh_rows(df, ttl_seconds, now_ms).isEmpty():
-        return top_recent(fallback, n).select(*shared)
-    return state_fresh(df, key, ttl_seconds, now_ms).select(*shared)
+    some = _fresh_rows(df, ttl_seconds, now_ms).limit(1).agg(F.count(F.lit(1)).alias("some")).scalar()
+    recent = top_recent(fallback.where(some == 0), n).select(*shared)
+    return state_fresh(df, key, ttl_seconds, now_ms).select(*shared).unionByName(recent)
 
 
 def merge_first_wins(parts: Sequence[DataFrame], key: Column, order: Sequence[str] = ("timestamp",)) -> DataFrame:

@@ -25,7 +25,9 @@ from gridlark.plans.pictures import Domain
 from gridlark.plans.profiles import ALERTS, BREAKOUTS
 from gridlark.plans.session import prepare, scratch_path
 from gridlark.sources import feeds, sinks, tables, topics
+from gridlark.streaming import entities
 from gridlark.streaming import jobs as streaming
+from gridlark.sources.zones import ZoneMap, from_millis, to_millis
 from gridlark.sources.schemas import KEYS, TOPICS, stream_columns, stream_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,23 +252,52 @@ def _vessels_of_interest(spark, sf_dir):
     ).select("vessel_id", "flag_country", "lat", "lon", "severity", "timestamp")
 
 
+_STORED: dict[tuple, tuple] = {}
+
+
+def _kept(spark, sf_dir, what: str, build: Callable):
+    """What is stored once over the tables of a folder, and built on when their files have changed: ``build`` gets what
+    it returned before, or None."""
+    name, now = (spark.sparkContext.applicationId, sf_dir, what), tables.stamp(spark, sf_dir)
+    seen, value = _STORED.get(name, (None, None))
+    if seen != now:
+        value = build(value)
+        _STORED[name] = now, value
+    return value
+
+
 # --- current state and recent rows ---------------------------------------------------------------
-DAY = 86_400
+DAY, HOUR_MS = 86_400, 3_600_000
+
+
+def _zones(spark, sf_dir) -> ZoneMap:
+    """The zone map of the event table, by kind of event."""
+    table = f"{sf_dir}/events.parquet"
+    return _kept(
+        spark, sf_dir, "zones",
+        lambda before: (before or ZoneMap(spark, table, scratch_path(spark, "zones"), "ts", "event_type", feeds.TABLES["events"])).refresh(),
+    )
+
 
+def _cached(spark, sf_dir, stream: str, seconds: int) -> DataFrame:
+    """Fresh state of a stream: one scan of the files that the zone map picks, filtered by the stored time."""
+    zones, kinds = _zones(spark, sf_dir), feeds.KINDS.get(stream)
+    newest = zones.newest(kinds)
+    view = getattr(feeds, f"{stream}_view")
+    if newest is None:
+        return view(feeds.load(spark, sf_dir, "events")).limit(0)
+    now = to_millis(newest)
+    raw = view(zones.since(from_millis(now - seconds * 1000), kinds))
+    return S.state_fresh(raw, S.cache_key(stream), seconds, now)
 
-def _fresh(stream: str, key: str, ttl: int | None = None) -> Query:
-    def build(spark, sf_dir):
-        raw = feeds.__dict__[f"{stream}_raw"](spark, sf_dir)
-        seconds = S.FRESH_SECONDS[stream] if ttl is None else ttl
-        return _public(S.state_fresh(raw, key, seconds, S.latest_time(raw)))
 
-    return build
+def _fresh(stream: str, ttl: int | None = None) -> Query:
+    return lambda s, d: _public(_cached(s, d, stream, S.FRESH_SECONDS[stream] if ttl is None else ttl))
 
 
-for _stream, _key in (("aircraft", "aircraft_id"), ("naval", "vessel_id"), ("gps", "unit_id"),
-                      ("sigint", "intercept_id"), ("cyber", "incident_id")):
-    register(f"state_fresh_{_stream}")(_fresh(_stream, _key))
-    register(f"state_fresh_{_stream}_day")(_fresh(_stream, _key, DAY))
+for _stream in ("aircraft", "naval", "gps", "sigint", "cyber"):
+    register(f"state_fresh_{_stream}")(_fresh(_stream))
+    register(f"state_fresh_{_stream}_day")(_fresh(_stream, DAY))
 
 
 @register("state_fresh_or_recent_fresh")
@@ -316,8 +347,7 @@ register("top_recent_jsir")(
 @register("union_dedupe_merge_cyber")
 def _merge_cyber(spark, sf_dir):
     dom = Domain(spark, sf_dir, "current")
-    raw = dom.raw("cyber")
-    cache = S.state_fresh(raw, "incident_id", DAY, S.latest_time(raw))
+    cache = _cached(spark, sf_dir, "cyber", DAY)
     return _public(
         S.union_dedupe_merge(dom.cyber, cache, ("incident_id", "source_ip", "timestamp"))
     )
@@ -326,8 +356,7 @@ def _merge_cyber(spark, sf_dir):
 @register("union_dedupe_merge_sigint")
 def _merge_sigint(spark, sf_dir):
     dom = Domain(spark, sf_dir, "current")
-    raw = dom.raw("sigint")
-    cache = S.state_fresh(raw, "intercept_id", DAY, S.latest_time(raw))
+    cache = _cached(spark, sf_dir, "sigint", DAY)
     return _public(
         S.union_dedupe_merge(
             dom.sigint, cache, ("intercept_id", "frequency_mhz", "timestamp")
@@ -347,8 +376,11 @@ register("agg_count_by_type")(
 
 @register("agg_recent_count")
 def _recent(spark, sf_dir):
-    raw = feeds.gps_raw(spark, sf_dir)
-    return S.recent_count(raw, S.latest_time(raw))
+    zones = _zones(spark, sf_dir)
+    newest = zones.newest()
+    if newest is None:
+        return S.recent_count(feeds.gps_raw(spark, sf_dir), 0)
+    return zones.count_since(from_millis(to_millis(newest) - 24 * HOUR_MS))
 
 
 register("agg_equipment_rate")(lambda s, d: S.equipment_rate(feeds.equipment_status(s, d)))
@@ -427,13 +459,18 @@ def _multi_topic(spark, sf_dir):
     return out
 
 
-@register("src_snapshot_changes")
-def _snapshot(spark, sf_dir):
-    """Initial copy: the first document per customer; changes: every document, the newest wins."""
-    orders = feeds.load(spark, sf_dir, "orders").select(
+def _order_documents(spark, sf_dir) -> DataFrame:
+    """One document per customer, replaced by each of the customer's orders."""
+    return feeds.load(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("change"),
     )
+
+
+@register("src_snapshot_changes")
+def _snapshot(spark, sf_dir):
+    """Initial copy: the first document per customer; changes: every document, the newest wins."""
+    orders = _order_documents(spark, sf_dir)
     first = orders.groupBy("doc_id").agg(F.min("change").alias("change"))
     snapshot = orders.join(first, ["doc_id", "change"], "left_semi")
     return tables.snapshot_plus_changes(snapshot, orders, "doc_id", ("change",))
@@ -732,20 +769,6 @@ def _collections(spark, sf_dir) -> dict[str, Q.Collection]:
     }
 
 
-_STORED: dict[tuple, tuple] = {}
-
-
-def _kept(spark, sf_dir, what: str, build: Callable):
-    """What is stored once over the tables of a folder, and built on when their files have changed: ``build`` gets what
-    it returned before, or None."""
-    name, now = (spark.sparkContext.applicationId, sf_dir, what), tables.stamp(spark, sf_dir)
-    seen, value = _STORED.get(name, (None, None))
-    if seen != now:
-        value = build(value)
-        _STORED[name] = now, value
-    return value
-
-
 def _tasks(spark) -> int:
     """For tables that one task reads: as many tasks as the cluster has cores to encode their texts."""
     return spark.sparkContext.defaultParallelism
@@ -876,7 +899,7 @@ for _type in ("keyword", "semantic", "hybrid"):
     )
 
 #: When the questions were asked at the latest; each conversation an hour before the next.
-ASKED_MS, HOUR_MS = 1_700_000_000_000, 3_600_000
+ASKED_MS = 1_700_000_000_000
 
 
 def _logged(spark, sf_dir) -> DataFrame:
@@ -946,6 +969,44 @@ def _stream_dedupe(spark, sf_dir):
     return _finished(spark, once.drop("ts"), "alerts")
 
 
+def _slices(df: DataFrame, column: str, n: int) -> list[DataFrame]:
+    """The rows in ``n`` parts along a column, as they would arrive."""
+    at = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)])).first()[0]
+    place = sum((F.col(column) > F.lit(edge)).cast("int") for edge in at)
+    return [df.where(place == i) for i in range(n)]
+
+
+@register("stream_state_fresh")
+def _stream_fresh(spark, sf_dir):
+    """Units whose last report is younger than two hours as the stream ends, and those that have expired."""
+    events = feeds.load(spark, sf_dir, "events")
+
+    def changes(stream):
+        timed = streaming.Streams(stream).gps_raw
+        return entities.fresh_changes(timed, S.cache_key("gps"), ["unit_id", "lat", "lon", "timestamp", "seq"], 2 * 3600)
+
+    path = entities.run_deliveries(
+        spark, _slices(events, "event_id", 4), changes, entities.ENTITY, ("timestamp", "seq", entities.STATUS), STATE_PARTITIONS
+    )
+    table = sinks.read_upserted(spark, path, entities.ENTITY, ("timestamp", "seq", entities.STATUS))
+    return table.select("entity", "status", "unit_id", "lat", "lon", "timestamp")
+
+
+@register("stream_snapshot_changes")
+def _stream_snapshot(spark, sf_dir):
+    """Documents as of a snapshot, then a stream of changes, some of them older than the snapshot."""
+    orders = _order_documents(spark, sf_dir)
+    last = orders.agg(F.max("change")).first()[0] or 0
+    early, middle = last * 4 // 10, last * 6 // 10
+    snapshot = S.latest_record(orders.where(F.col("change") <= middle), "doc_id", ("change",))
+    path = entities.run_deliveries(
+        spark, _slices(orders.where(F.col("change") > early), "change", 2),
+        lambda stream: entities.changes_after_snapshot(stream, snapshot, "doc_id", "change"), "doc_id", ("change",), STATE_PARTITIONS,
+    )
+    newer = sinks.read_upserted(spark, path, "doc_id", ("change",)).withColumn("from_stream", F.lit(True))
+    return tables.snapshot_plus_changes(snapshot.withColumn("from_stream", F.lit(False)), newer, "doc_id", ("change",))
+
+
 @register("stream_persistent")
 def _stream_chain(spark, sf_dir):
     """Raw to enriched to breakout, each step a persistent query over the table before it."""

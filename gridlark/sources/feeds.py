@@ -248,6 +248,10 @@ JSIR = {
 }
 
 
+#: Which kinds of events a stream is made of; of all, where none is named.
+KINDS = {"aircraft": ["click"], "naval": ["view"], "cyber": ["error"], "sigint": ["signup"], "satellite": ["purchase"]}
+
+
 def _events(spark, sf_dir, event_type=None) -> DataFrame:
     df = load(spark, sf_dir, "events")
     return df if event_type is None else df.where(f"event_type = '{event_type}'")
@@ -282,23 +286,23 @@ def gps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aircraft_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aircraft_view(_events(spark, sf_dir, "click"))
+    return aircraft_view(_events(spark, sf_dir, KINDS["aircraft"][0]))
 
 
 def naval_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return naval_view(_events(spark, sf_dir, "view"))
+    return naval_view(_events(spark, sf_dir, KINDS["naval"][0]))
 
 
 def cyber_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cyber_view(_events(spark, sf_dir, "error"))
+    return cyber_view(_events(spark, sf_dir, KINDS["cyber"][0]))
 
 
 def sigint_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sigint_view(_events(spark, sf_dir, "signup"))
+    return sigint_view(_events(spark, sf_dir, KINDS["sigint"][0]))
 
 
 def satellite_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return satellite_view(_events(spark, sf_dir, "purchase"))
+    return satellite_view(_events(spark, sf_dir, KINDS["satellite"][0]))
 
 
 def jsir_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
