@@ -128,9 +128,10 @@ def derive_affected_units(incidents: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def lookup_corrective_actions(df: DataFrame, catalogue: DataFrame, default: str) -> DataFrame:
-    """Attach the action list for (signal_type, threat_level); unknown pairs get the default."""
+    """Attach the action list for (signal_type, threat_level); unknown pairs get the default. Of several lists for a pair
+    the least counts, so repeated catalogue rows change nothing."""
     pair = lambda: F.concat_ws("/", "signal_type", "threat_level")
-    table = catalogue.groupBy(pair().alias("pair")).agg(F.first("corrective_actions").alias("corrective_actions"))
+    table = catalogue.groupBy(pair().alias("pair")).agg(F.min("corrective_actions").alias("corrective_actions"))
     joined = lookup_join(df, table, pair(), "pair").drop("_key")
     return joined.withColumn(
         "corrective_actions", F.coalesce("corrective_actions", F.array(F.lit(default)))
@@ -148,10 +149,16 @@ def with_topic(df: DataFrame, nation: str, kind: str) -> DataFrame:
     return df.withColumn("topic", F.concat(F.lit("coalition-"), F.lower(nation), F.lit(f"-{kind}")))
 
 
+# Columns that a store adds to every record.
+STORE_COLUMNS = ("_id", "last_update")
+
+
 def norm_columns(df: DataFrame) -> DataFrame:
-    """Lower-case names, ISO text for times, integers for whole decimals."""
+    """Lower-case names, ISO text for times, integers for whole decimals; the store's own columns are dropped."""
     out = []
     for field in df.schema.fields:
+        if field.name in STORE_COLUMNS:
+            continue
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             whole_second = F.date_format(col, "SSSSSS") == "000000"

@@ -53,13 +53,13 @@ def latest_values(
     )
 
 
-def gps_latest(gps: DataFrame, profile: str = "setup") -> DataFrame:
-    """Latest known position and status per unit."""
+def gps_latest(gps: DataFrame, profile: str = "setup", order: Sequence[str] = ORDER) -> DataFrame:
+    """Latest known position and status per unit: by event time, or with ``order`` ("seq",) by arrival alone."""
     columns = GPS_LATEST[profile]
     if profile != "setup":
-        return latest_values(gps, "unit_id", columns)
+        return latest_values(gps, "unit_id", columns, order)
     return latest_values(
-        gps.withColumn("last_update", F.col("timestamp")), "unit_id", (*columns, "last_update")
+        gps.withColumn("last_update", F.col("timestamp")), "unit_id", (*columns, "last_update"), order
     )
 
 

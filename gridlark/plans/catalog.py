@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from gridlark.plans.pictures import Domain
 from gridlark.plans.profiles import ALERTS, BREAKOUTS
 from gridlark.plans.session import prepare, scratch_path
 from gridlark.sources import feeds, sinks, tables, topics
+from gridlark.sources.external import FEEDS, parse_feed
 from gridlark.streaming import entities
 from gridlark.streaming import jobs as streaming
 from gridlark.sources.zones import ZoneMap, from_millis, to_millis
@@ -232,6 +234,8 @@ def _normalised(spark, sf_dir):
         F.col("ts").alias("TS"),
         F.col("user_id").cast("decimal(18,0)").alias("USER_ID"),
         F.col("value").cast("decimal(12,2)").alias("VALUE"),
+        F.md5(F.col("event_id").cast("string")).alias("_id"),
+        F.col("ts").alias("last_update"),
     )
     return D.norm_columns(upper)
 
@@ -386,7 +390,20 @@ def _recent(spark, sf_dir):
 register("agg_equipment_rate")(lambda s, d: S.equipment_rate(feeds.equipment_status(s, d)))
 register("agg_supply_status")(lambda s, d: S.supply_status(feeds.supply_levels(s, d)))
 register("agg_supply_status_update")(lambda s, d: S.supply_status(feeds.supply_levels(s, d), rounded=True))
-register("limit_peek")(lambda s, d: Domain(s, d, "current").all_alerts().limit(5))
+def _peeked(shown: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Which rows a peek shows is open: how many they are, how many of them differ, and how many the table has."""
+    known = alerts.select("alert_id").distinct().withColumn("known", F.lit(1))
+    return shown.join(known, "alert_id", "left").agg(
+        F.count("*").alias("shown"), F.count_distinct("alert_id").alias("different"), F.count("known").alias("known")
+    )
+
+
+@register("limit_peek")
+def _limit_peek(spark, sf_dir):
+    alerts = Domain(spark, sf_dir, "current").all_alerts()
+    return _peeked(alerts.limit(5), alerts)
+
+
 
 
 # --- operator responses ----------------------------------------------------------------------------
@@ -442,21 +459,44 @@ def _message_key(spark, sf_dir):
     return topics.parse_messages(messages, stream_schema("gps"), "unit_id").select("unit_id", "lat", "lon", "timestamp")
 
 
+MIXED = ("gps", "aircraft", "naval", "cyber", "sigint")
+
+
+def _mixed_messages(spark, sf_dir) -> DataFrame:
+    """Messages of five topics as one stored table, as a broker would keep them; ``offset`` counts within a topic."""
+
+    def store(_):
+        parts = [_messages(spark, sf_dir, name) for name in MIXED]
+        path = scratch_path(spark, "messages")
+        merged = reduce(DataFrame.unionByName, parts)
+        merged.withColumns({"partition": (F.length("key") % 3).cast("int"), "offset": F.col("seq")}).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return _kept(spark, sf_dir, "messages", store)
+
+
 @register("src_multi_topic")
 def _multi_topic(spark, sf_dir):
-    """Five topics through one message stream, routed by topic name and counted per entity."""
-    names = ("gps", "aircraft", "naval", "cyber", "sigint")
-    merged = None
-    for name in names:
-        one = _messages(spark, sf_dir, name)
-        merged = one if merged is None else merged.unionByName(one)
-    out = None
-    for name, df in topics.route(merged, list(names)).items():
-        part = df.groupBy(F.col(KEYS[name]).alias("entity_id")).agg(
-            F.max("timestamp").alias("last_update"), F.count(F.lit(1)).alias("records")
-        ).withColumn("stream", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Five topics through one message table, with one scan and one parse, counted per entity of each."""
+    fields = {
+        "entity_id": {name: (KEYS[name], "string") for name in MIXED},
+        "timestamp": {name: ("timestamp", "bigint") for name in MIXED},
+    }
+    typed = topics.mixed_fields(_mixed_messages(spark, sf_dir), fields)
+    return typed.groupBy("stream", "entity_id").agg(
+        F.max("timestamp").alias("last_update"), F.count(F.lit(1)).alias("records")
+    )
+
+
+for _reset in ("earliest", "latest"):
+    @register(f"src_offset_reset_{_reset}")
+    def _offset_reset(spark, sf_dir, reset=_reset):
+        """A consumer that has read half of one topic and nothing of the others."""
+        messages = _mixed_messages(spark, sf_dir)
+        gps = messages.where(F.col("topic") == TOPICS["gps"])
+        committed = gps.groupBy("topic", "partition").agg((F.max("offset") / 2).cast("bigint").alias("offset"))
+        got = topics.from_offsets(messages, committed, reset)
+        return got.groupBy("topic").agg(F.count("*").alias("messages"), F.min("offset").alias("first"), F.max("offset").alias("last"))
 
 
 def _order_documents(spark, sf_dir) -> DataFrame:
@@ -487,6 +527,12 @@ def _feed(spark, sf_dir):
     return topics.feed_topic_parts(parsed)
 
 
+for _feed_name in FEEDS:
+    register(f"src_feed_json_{_feed_name}")(
+        lambda s, d, f=_feed_name: parse_feed(feeds.external_messages(s, d, f), f, ("seq",)).drop("feed", "feed_kind")
+    )
+
+
 def _damaged(spark, sf_dir):
     """GPS messages of which some are cut off, as a bad producer would send them."""
     messages = _messages(spark, sf_dir, "gps")
@@ -954,6 +1000,23 @@ def _stream_changes(spark, sf_dir):
     ).select(*agg.columns)
 
 
+@register("stream_late_rows")
+def _stream_late(spark, sf_dir):
+    """Two deliveries; the second one has rows whose windows the watermark has closed, which are dropped."""
+    events = feeds.load(spark, sf_dir, "events")
+    late = F.col("event_id") % 5 == 0
+
+    def closed(stream):
+        return W.flatten_window(W.force_composition(streaming.Streams(stream).gps, "deploy"))
+
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    early = F.col("event_id") <= last * 8 // 10
+    path = entities.run_deliveries(
+        spark, [events.where(early & ~late), events.where(~early | late)], closed, ("window_start", "unit_type"), ("unit_count",), STATE_PARTITIONS
+    )
+    return sinks.read_upserted(spark, path, ("window_start", "unit_type"), ("unit_count",)).select("window_start", "unit_type", "unit_count")
+
+
 @register("stream_stateful_latest")
 def _stream_latest(spark, sf_dir):
     changes = streaming.gps_latest_changes(_streams(spark, sf_dir).gps_raw)
@@ -1044,4 +1107,6 @@ def _stream_zone(spark, sf_dir):
 @register("stream_peek")
 def _stream_peek(spark, sf_dir):
     """The first rows of a running stream."""
-    return _finished(spark, _streams(spark, sf_dir).unit_alerts().drop("ts").limit(5), "peek")
+    shown = _finished(spark, _streams(spark, sf_dir).unit_alerts().drop("ts").limit(5), "peek")
+    gps = Domain(spark, sf_dir, "classic").gps
+    return _peeked(shown, A.alerts_one_pass(gps, [r for r in ALERTS["classic"].values() if r.source == "gps"]))

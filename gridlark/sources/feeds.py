@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlark.functions.conditions import literal
 from gridlark.functions.geo import FEET_TO_METRES, KNOTS_TO_KPH
 from gridlark.operators.derive import derive_embm_track
+from gridlark.sources.external import FEEDS, TIME
 
 EQUIPMENT = ("FULLY_OPERATIONAL", "DEGRADED", "MAINTENANCE_REQUIRED", "NON_OPERATIONAL")
 COMMS = ("NOMINAL", "DEGRADED", "OFFLINE", "JAMMING_DETECTED")
@@ -374,3 +375,18 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lon": f"-60D + {_dbl('s_suppkey % 900')} / 10D",
         "networks": f"array('NET-A', {_tag('NET-', 's_suppkey % 4')})",
     })
+
+
+def external_messages(spark: SparkSession, sf_dir: str, feed: str) -> DataFrame:
+    """Every event as a message of an external feed. Some have a time that is none."""
+    known = FEEDS[feed]
+    whole = "date_format(ts, 'SSSSSS') = '000000'"
+    iso = f"CASE WHEN {whole} THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") ELSE date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") END"
+    values = {
+        "string": "concat('{name}-', cast(event_id % 97 AS string))", "double": "value", "int": "cast(event_id % 1000 AS int)",
+        TIME: f"CASE WHEN event_id % 11 = 0 THEN 'not a time' ELSE {iso} END",
+    }
+    body = ", ".join(f"{values[kind].replace('{name}', name)} AS {name}" for name, kind in known.fields)
+    return load(spark, sf_dir, "events").selectExpr(
+        "event_id AS seq", f"concat('{known.topic}/', cast(user_id AS string)) AS topic", f"to_json(struct({body})) AS value"
+    )

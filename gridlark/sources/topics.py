@@ -121,3 +121,38 @@ def as_messages(df: DataFrame, key: str, topic: str, keep: tuple[str, ...] = ())
         F.lit(topic).alias("topic"),
         *keep,
     )
+
+
+def mixed_fields(messages: DataFrame, fields: dict[str, dict[str, tuple[str, str]]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns from messages of several topics, of which every value is parsed once.
+
+    ``fields`` names, for each output column and stream, the JSON field and its type. The value becomes a variant, from
+    which each topic's own fields are taken; messages of other topics, and values that are no JSON, are left out.
+    """
+    streams = sorted({stream for by_stream in fields.values() for stream in by_stream})
+    parsed = messages.where(F.col("topic").isin([TOPICS[s] for s in streams])).withColumn("_v", F.try_parse_json("value"))
+    parsed = parsed.where("_v IS NOT NULL")
+
+    def of_topic(values: dict[str, Column]) -> Column:
+        out = None
+        for stream, value in values.items():
+            own = F.col("topic") == TOPICS[stream]
+            out = F.when(own, value) if out is None else out.when(own, value)
+        return out
+
+    columns = [
+        of_topic({s: F.try_variant_get("_v", f"$.{name}", kind) for s, (name, kind) in by_stream.items()}).alias(column)
+        for column, by_stream in fields.items()
+    ]
+    return parsed.select(of_topic({s: F.lit(s) for s in streams}).alias("stream"), *columns, *keep)
+
+
+def from_offsets(messages: DataFrame, committed: DataFrame, reset: str = "latest") -> DataFrame:
+    """The messages that a consumer gets: those after its committed offset in each partition of a topic. Where it has
+    committed none, ``earliest`` gives it all that is stored and ``latest`` nothing but what comes later."""
+    if reset not in ("earliest", "latest"):
+        raise ValueError(f"no offset reset named {reset}")
+    place = committed.groupBy("topic", "partition").agg(F.max("offset").alias("_committed"))
+    known = messages.join(place, ["topic", "partition"], "left")
+    fresh = F.col("offset") > F.col("_committed")
+    return known.where(F.coalesce(fresh, F.lit(reset == "earliest"))).drop("_committed")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conftest import DATA
 from gridlark.sources import sinks, tables, topics
 from gridlark.sources.schemas import KEYS, TOPICS, stream_columns, stream_schema
 
@@ -181,3 +182,60 @@ def test_kafka_options_and_arrival_order(spark):
     topics.read_messages(session, "host:1", ["a", "b"], streaming=False, options={"failOnDataLoss": "false"})
     assert batch_reader.given["subscribe"] == "a,b" and batch_reader.given["startingOffsets"] == "earliest"
     assert batch_reader.given["failOnDataLoss"] == "false"
+
+
+def test_external_feeds_read_iso_times(spark):
+    from gridlark.sources.external import FEEDS, parse_feed
+
+    rows = [
+        ("mda/port/abc", '{"event_id":"P1","port_lat":1.5,"timestamp":"2024-01-02T03:04:05.678901"}'),
+        ("mda/port", '{"event_id":"P2","timestamp":"2024-01-02T03:04:05"}'),
+        ("mda/port/x", '{"event_id":"P3","timestamp":"yesterday"}'),
+        ("mda/portal/x", '{"event_id":"P4"}'), ("faa/adsb/1", '{"event_id":"P5"}'), ("mda/port/y", "no json"), ("mda/port/z", None),
+    ]
+    got = parse_feed(spark.createDataFrame(rows, "topic string, value string"), "port_event")
+    found = {r["feed_key"]: (r["event_id"], r["port_lat"], r["timestamp"]) for r in got.collect()}
+    assert found == {
+        "abc": ("P1", 1.5, 1704164645678), None: ("P2", None, 1704164645000), "x": ("P3", None, None), "y": (None,) * 3, "z": (None,) * 3,
+    }
+    assert len({f.topic for f in FEEDS.values()}) == 6
+
+
+def test_mixed_topics_are_scanned_and_parsed_once(spark):
+    from gridlark.plans import catalog
+
+    plan = catalog.QUERIES["src_multi_topic"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("from_json") == 0
+    rows = [("ground-force-gps", '{"unit_id":"U","timestamp":7}'), ("naval-vessels", '{"vessel_id":"V","timestamp":"x"}'),
+            ("cyber-threats", '{"incident_id":"C"}'), ("ground-force-gps", "{bad"), ("other", "{}"), ("ground-force-gps", None)]
+    fields = {"id": {"gps": ("unit_id", "string"), "naval": ("vessel_id", "string")}, "at": {"gps": ("timestamp", "bigint"), "naval": ("timestamp", "bigint")}}
+    got = topics.mixed_fields(spark.createDataFrame(rows, "topic string, value string"), fields)
+    assert sorted(tuple(r) for r in got.collect()) == [("gps", "U", 7), ("naval", "V", None)]
+
+
+def test_where_a_consumer_starts(spark):
+    messages = spark.createDataFrame([("a", p, o) for p in (0, 1) for o in range(5)], "topic string, partition int, offset long")
+    committed = spark.createDataFrame([("a", 0, 2), ("a", 0, 1), ("b", 0, 9)], "topic string, partition int, offset long")
+    seen = lambda reset: sorted((r["partition"], r["offset"]) for r in topics.from_offsets(messages, committed, reset).collect())
+    assert seen("latest") == [(0, 3), (0, 4)]
+    assert seen("earliest") == [(0, 3), (0, 4)] + [(1, o) for o in range(5)]
+    with pytest.raises(ValueError):
+        topics.from_offsets(messages, committed, "newest")
+
+
+def test_store_columns_are_dropped_and_repeated_actions_agree(spark):
+    from gridlark.operators import derive as D
+
+    row = spark.createDataFrame([("x", "y", 1)], "_id string, last_update string, A int")
+    assert D.norm_columns(row).columns == ["a"]
+    signals = spark.createDataFrame([("S", "HIGH")], "signal_type string, threat_level string")
+    lists = spark.createDataFrame([("S", "HIGH", ["b"]), ("S", "HIGH", ["a", "z"])], "signal_type string, threat_level string, corrective_actions array<string>")
+    assert D.lookup_corrective_actions(signals, lists, "none").first()["corrective_actions"] == ["a", "z"]
+
+
+def test_latest_by_arrival(spark, make):
+    from gridlark.operators import state as S
+
+    gps = make("gps", [{"unit_id": "U", "timestamp": 9, "unit_name": "later"}, {"unit_id": "U", "timestamp": 5, "unit_name": "arrived last"}])
+    assert S.gps_latest(gps).first()["unit_name"] == "later"
+    assert S.gps_latest(gps, order=("seq",)).first()["unit_name"] == "arrived last"
