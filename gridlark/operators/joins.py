@@ -185,15 +185,27 @@ ZONE_COLUMNS = (
 )
 
 
-def units_in_threat(units: DataFrame, threats: DataFrame) -> DataFrame:
+#: Parts that a cell's units are dealt to in a stream; a cell's threats are repeated for each.
+ZONE_SALTS = 8
+
+
+def salted(units: DataFrame, threats: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``: a unit has one, by its id and arrival, a cell's threats (one row a window) have all."""
+    left = units.withColumn("salt", F.pmod(F.xxhash64("unit_id", "seq"), F.lit(salts)).cast("int"))
+    return left, threats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def units_in_threat(units: DataFrame, threats: DataFrame, salts: int = ZONE_SALTS) -> DataFrame:
     """Unit reports in a grid cell that has active threats in the same window.
 
     Batch: joined on the window start and the cell, so AQE may split a hot cell.
-    Streaming: joined on the window itself, which carries the watermark.
+    Streaming: joined on the window itself, which carries the watermark. Nothing can split a cell's state later, so its
+    units are dealt to ``salts`` parts and its threats repeated for each: that many tasks share a hot cell.
     """
     if units.isStreaming:
-        left = units.withColumn("window", F.window("ts", f"{GRID_MINUTES} minutes")).drop("ts")
-        return left.join(threats, ["window", "grid_square"]).select("window", *ZONE_COLUMNS)
+        windowed = units.withColumn("window", F.window("ts", f"{GRID_MINUTES} minutes")).drop("ts")
+        left, right = salted(windowed, threats, salts)
+        return left.join(right, ["window", "grid_square", "salt"]).select("window", *ZONE_COLUMNS)
     size = GRID_MINUTES * 60_000
     start = F.col("timestamp") - F.pmod(F.col("timestamp"), F.lit(size))
     # projecting the start out of the struct makes it a new key: both sides are exchanged for the join

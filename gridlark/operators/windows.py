@@ -222,6 +222,55 @@ def windowed(df: DataFrame, name: str, key: str, minutes: int, profile: str | No
     return df.groupBy(_window(minutes), key).agg(*[F.expr(sql).alias(m) for m, sql in prepared.items()])
 
 
+# --- distinct counts of streams, in two steps -------------------------------------------------------------
+_NESTED = r"(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*"
+_CALL = re.compile(rf"\b(count_if|count|avg|min|max|sum)\((DISTINCT )?({_NESTED})\)")
+
+
+def _split(metric: str, name: str) -> tuple[dict[str, str], str]:
+    """A metric as parts that are kept for each value, and how the parts of all values merge. The counted value itself
+    is the key of the parts, so how many there are is how many rows."""
+    parts: dict[str, str] = {}
+
+    def merged(call: re.Match) -> str:
+        function, distinct, inner = call.groups()
+        place = f"{name}_{len(parts)}"
+        if distinct:
+            return f"count({inner})"
+        if function == "avg":
+            parts[place] = f"sum(cast({inner} AS decimal(28,10)))"
+            parts[f"{place}_n"] = f"count({inner})"
+            return f"cast(sum({place}) AS double) / sum({place}_n)"
+        parts[place] = call.group(0)
+        return f"{function if function in ('min', 'max') else 'sum'}({place})"
+
+    return parts, _CALL.sub(merged, metric)
+
+
+def _chosen(name: str, profile: str | None) -> dict[str, str]:
+    return {m: METRICS[name][m] for m in REPORTED.get((name, profile), tuple(METRICS[name]))}
+
+
+def _counted(name: str, profile: str | None) -> str:
+    values = {v for sql in _chosen(name, profile).values() for v in re.findall(r"count\(DISTINCT (\w+)\)", sql)}
+    if len(values) != 1:
+        raise ValueError(f"{name} counts {len(values)} columns' values; parts are kept for those of one")
+    return values.pop()
+
+
+def windowed_parts(df: DataFrame, name: str, key: str, minutes: int, profile: str | None = None) -> DataFrame:
+    """First step of a windowed aggregate with a distinct count: one row of fixed size for each (window, key, value). As a
+    stream's state it is spread over the tasks by the value too, and no set of values is ever held."""
+    parts = {p: sql for m, metric in _chosen(name, profile).items() for p, sql in _split(metric, m)[0].items()}
+    return df.groupBy(_window(minutes), key, _counted(name, profile)).agg(*[F.expr(sql).alias(p) for p, sql in parts.items()])
+
+
+def merged_parts(parts: DataFrame, name: str, key: str, profile: str | None = None) -> DataFrame:
+    """Second step: the parts of all values of a window and key, flattened bounds and all."""
+    merged = {m: _split(sql, m)[1] for m, sql in _chosen(name, profile).items()}
+    return parts.groupBy("window_start", "window_end", key).agg(*[F.expr(sql).alias(m) for m, sql in merged.items()])
+
+
 def grid_force(enriched: DataFrame, profile: str = "classic") -> DataFrame:
     return windowed(enriched, "grid_force", "grid_square", GRID_MINUTES, profile)
 

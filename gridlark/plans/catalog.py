@@ -993,11 +993,13 @@ def _stream_watermark(spark, sf_dir):
 
 @register("stream_emit_changes")
 def _stream_changes(spark, sf_dir):
-    """Every change of a window emitted; the table of last changes equals the batch answer."""
-    agg = W.flatten_window(W.grid_threat(_streams(spark, sf_dir).sigint, "setup"))
-    return streaming.finish_changes(
-        agg, "grid_threat", ("window_start", "grid_square"), ("intercept_count",), STATE_PARTITIONS
-    ).select(*agg.columns)
+    """Every change of a part of a window emitted: one part for each emitter, so that the number of emitters is counted
+    without a set of them. The table of last changes, merged, equals the batch answer."""
+    parts = W.flatten_window(W.windowed_parts(_streams(spark, sf_dir).sigint, "grid_threat", "grid_square", W.GRID_MINUTES, "setup"))
+    kept = streaming.finish_changes(
+        parts, "grid_threat", ("window_start", "grid_square", "emitter_classification"), ("intercept_count_0",), STATE_PARTITIONS
+    )
+    return W.merged_parts(kept, "grid_threat", "grid_square", "setup")
 
 
 @register("stream_late_rows")

@@ -103,3 +103,28 @@ def test_chain_orders_jobs_and_rejects_circles(spark, tmp_path):
     assert [j.name for j in order] == ["a", "b", "c"]
     with pytest.raises(ValueError):
         jobs.Chain(spark, str(tmp_path), [jobs.Job("a", None, ("b",)), jobs.Job("b", None, ("a",))])
+
+
+def test_parts_of_values_merge_to_the_batch_answer(spark):
+    """Distinct counts without a set of values: the state is one row for each (window, key, value)."""
+    sigint = W.with_event_time(Domain(spark, DATA, "setup").sigint)
+    batch = W.flatten_window(W.grid_threat(sigint, "setup"))
+    parts = W.windowed_parts(sigint, "grid_threat", "grid_square", W.GRID_MINUTES, "setup")
+    assert "emitter_classification" in parts.columns and not [f for f in parts.schema.fields if f.dataType.typeName() == "array"]
+    merged = W.merged_parts(W.flatten_window(parts), "grid_threat", "grid_square", "setup").select(*batch.columns)
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, batch.collect()))
+    assert batch.agg(F.max("unique_emitters")).first()[0] >= 1
+    with pytest.raises(ValueError):
+        W.windowed_parts(sigint, "grid_isr", "grid_square", 5, "classic")
+
+
+def test_a_hot_cell_is_shared_by_several_tasks(spark):
+    from gridlark.operators import joins as J
+
+    units = spark.range(2000).select(F.col("id").alias("seq"), F.concat(F.lit("U"), F.col("id") % 3).alias("unit_id"), F.lit("C").alias("grid_square"))
+    threats = spark.createDataFrame([("C", 5), ("D", 6)], "grid_square string, threats int")
+    left, right = J.salted(units, threats, 8)
+    placed = left.repartition(16, "grid_square", "salt").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(placed) > units.select("grid_square").distinct().count() and max(r["count"] for r in placed) < 1000
+    joined = left.join(right, ["grid_square", "salt"]).drop("salt")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, units.join(threats, "grid_square").select(*joined.columns).collect()))
