@@ -232,61 +232,6 @@ def store_blocks(benchmark: DataFrame, block_words: int, text: str, id_column: s
     return spark.read.schema("item long, body binary, block long").parquet(folder)
 
 
-def scan(self, words: list[bytes], hit: np.ndarray, items: set[int]) -> None:
-        """Marks the hit words and adds the items that occur."""
-        least = self.automaton.shortest
-        if len(words) < least or not self.known:
-            return
-        codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if least == 1:
-            good = codes >= 0
-            starts, ends = _runs(good)
-        else:
-            both = codes[:-1] * self.base + codes[1:]
-            both[(codes[:-1] < 0) | (codes[1:] < 0)] = -1
-            place = np.minimum(np.searchsorted(self.pairs, both), max(len(self.pairs) - 1, 0))
-            good = self.pairs[place] == both if len(self.pairs) else np.zeros(len(both), bool)
-            starts, ends = _runs(good)
-            ends = ends + 1
-        for start, end in zip(starts, ends):
-            if end - start >= least:
-                for stop, length, found in self.automaton.hits(codes[start:end].tolist()):
-                    hit[start + stop - length : start + stop] = True
-                    items.update(found)
-
-
-def _runs(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    step = np.diff(np.concatenate(([0], good.astype(np.int8), [0])))
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
-_SCANNERS: dict[str, Scanner] = {}
-
-
-def _scanner(key: str, items: list, window: int) -> Scanner:
-    """This worker's scanner of a block; only the blocks of one benchmark are kept."""
-    if key not in _SCANNERS:
-        owner = key.rpartition("/")[0]
-        for other in [k for k in _SCANNERS if k.rpartition("/")[0] != owner]:
-            del _SCANNERS[other]
-        _SCANNERS[key] = Scanner([(i, words_of(t)) for i, t in items], window)
-    return _SCANNERS[key]
-
-
-def blocks_of(benchmark: DataFrame, block_words: int, text: str, id_column: str) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of about ``block_words`` words. Items without an id or without words have no windows."""
-    count = F.size(F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
-    items = benchmark.select(F.col(id_column).cast("long").alias("item"), F.col(text).cast("binary").alias("body"), count.alias("n"))
-    items = items.where(F.col("item").isNotNull() & (F.col("n") > 0))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // block_words)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(max(blocks, 1))))
-    return [
-        sorted((r["item"], bytes(r["body"])) for r in dealt.where(F.col("block") == b).select("item", "body").collect())
-        for b in range(blocks)
-    ]
-
-
 def scan(
     df: DataFrame,
     benchmark: DataFrame,
