@@ -7,10 +7,10 @@ about k ln k darts hit, and keeps the earliest dart of each coordinate. Two docu
 probability of their weighted Jaccard similarity. (Coordinates without a dart get another throw with a doubled bound.)
 
 Signatures are cut into bands; documents that share a band are candidates, and candidates are compared exactly. Equal
-shingle sets are one node from the start. In a band's group each round compares all nodes of other classes with one
-pivot, first the smallest node, then the one with most links, and joins what is similar; what is left between classes
-is compared pair by pair once it is no more than a few pairs for each node. So no link between different texts is
-lost, and a group of copies costs a row for each member, not for each pair.
+shingle sets are one node from the start, and a band's nodes form groups of similar weights. In a group each round compares
+all nodes of other classes with some pivots, from the smallest classes first, and joins what is similar; what is left
+between classes is compared pair by pair once it is no more than a few pairs for each node. So no link between different
+texts is lost, and a group of copies costs a row for each member, not for each pair.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bands and coordinates in each: a pair at 0.8 shares none of the bands with a probability of 7e-5.
 BANDS, ROWS = 24, 5
+#: Pivots of a group in the first round; each round takes twice as many.
+FIRST_PIVOTS = 2
 #: Pairs for each node up to which the classes' remaining candidates are compared pair by pair.
 PAIRS_PER_NODE = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,10 +109,11 @@ def bands(darts: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray
     return out
 
 
-def set_id(names: np.ndarray, counts: np.ndarray) -> int:
-    """A 64-bit name of a weighted set."""
+def set_id(names: np.ndarray, counts: np.ndarray) -> bytes:
+    """A 128-bit name of a weighted set."""
     with np.errstate(over="ignore"):
-        return int(mix(np.sum(mix(names + counts.astype(np.uint64) * _GOLD), dtype=np.uint64).reshape(1)).view(np.int64)[0])
+        each = names + counts.astype(np.uint64) * _GOLD
+        return mix(np.array([np.sum(mix(each), dtype=np.uint64), np.sum(mix(each ^ _GOLD), dtype=np.uint64)])).tobytes()
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -129,25 +132,27 @@ def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, bands) of documents: the set's name and its band keys; both null for texts without words."""
+    """(doc_id, row, node, total, bands) of documents: the set's name, its weight and its band keys; all null for texts
+    without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         for batch in slices(batches, limit=1 << 20):
-            node, keys = [None] * batch.num_rows, [None] * batch.num_rows
+            node, total, keys = ([None] * batch.num_rows for _ in range(3))
             for r, names, counts in _rows_of(batch):
-                node[r] = set_id(names, counts)
+                node[r], total[r] = set_id(names, counts), int(counts.sum())
                 if node[r] not in known:  # copies have equal signatures
                     if len(known) > 10_000:
                         known.clear()
                     known[node[r]] = bands(signature(names, counts)).view(np.int64).tolist()
                 keys[r] = known[node[r]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "node", "bands"],
-            )
+            columns = (
+                batch.column("doc_id"), batch.column("row"), pa.array(node, pa.binary()), pa.array(total, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())),
+            )
+            yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "row", "node", "total", "bands"])
 
-    return docs.mapInArrow(sketch, "doc_id long, row long, node long, bands array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, row string, node binary, total long, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -156,10 +161,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
             rows = [(set_id(n, c), n.tobytes(), c.astype(np.uint32).tobytes()) for _, n, c in _rows_of(batch)]
-            columns = zip(("node", "names", "counts"), zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))
+            columns = zip(("node", "names", "counts"), zip(*rows) if rows else [[]] * 3, [pa.binary()] * 3)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in columns})
 
-    return docs.mapInArrow(build, "node long, names binary, counts binary")
+    return docs.mapInArrow(build, "node binary, names binary, counts binary")
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -170,7 +175,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Hot nodes are split by the adaptive joins."""
+    """The pairs (a, b, x, y) whose sets are similar enough. Hot nodes are split by the adaptive joins."""
     b = sets.select(F.col("node").alias("b"), F.col("names").alias("b_names"), F.col("counts").alias("b_counts"))
     a = sets.select(F.col("node").alias("a"), F.col("names").alias("a_names"), F.col("counts").alias("a_counts"))
 
@@ -182,9 +187,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 if rows["a"][r] != last:
                     last, left = rows["a"][r], _set(rows["a_names"][r], rows["a_counts"][r])
                 keep.append(similarity(left, _set(rows["b_names"][r], rows["b_counts"][r])) >= least - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a binary, b binary, x binary, y binary")
 
 
 def _set(names: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +201,13 @@ def components(links: DataFrame) -> DataFrame:
 
     In a round every node hands the smallest node it knows to its neighbours; links shorten until each class is a star.
     """
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = _written(links, "links"), None
+    links = _written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
+        # stars: every node has one link, and none that it is linked to has another
+        ends = links.select(F.col("a").alias("n"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+        each = ends.groupBy("n").agg(F.sum("i").alias("i"), F.max("o").alias("o"))
+        if each.where((F.col("i") > 1) | ((F.col("i") > 0) & (F.col("o") > 0))).isEmpty():
+            break
         # large star: larger neighbours of a node are linked to the smallest node around it
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
@@ -210,92 +219,118 @@ def components(links: DataFrame) -> DataFrame:
             least.select("a", F.col("least").alias("b"))
         )
         links = _written(small.where("a <> b").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return groups.withColumn("label", F.col("node"))
-    return groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _appended(df: DataFrame, folder: str, number: int) -> DataFrame:
+    """Rows added to a table of the shared folder as its part ``number``, and the whole table with the column ``part``: its
+    plan is one scan however often it grew."""
+    df.write.parquet(f"{folder}/part={number}")
+    return df.sparkSession.read.parquet(folder)
 
 
-def links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, labels) among the nodes of rows (row, node, bands) that share a band and are similar; None if none do.
+def _relabelled(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows whose class has become part of another one get that one's label."""
+    new = changes.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return rows.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+
+
+def candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """(key, node): nodes that share a band and may have similar weights, in groups of two at least.
+
+    Sets whose weights differ by more than the similarity allows can't be similar. Weights fall in classes as wide as
+    that (and a little more, for rounding); a node is in the groups of its class and of the next, so nodes of one class or
+    of neighbouring ones meet, and no others.
+    """
+    width = -np.log(least) * (1 + 1e-6)
+    own = F.floor(F.log(F.col("total").cast("double")) / F.lit(float(width)))
+    banded = nodes.select("node", F.explode("bands").alias("band"), own.alias("own"))
+    keyed = banded.select(F.explode(F.array(F.xxhash64("band", "own"), F.xxhash64("band", F.col("own") + 1))).alias("key"), "node")
+    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keyed.join(size, "key")
+
+
+def classes_of_nodes(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
+    """(node, label) among the nodes of rows (row, node, total, bands) that are similar to others; None if none can be.
 
     ``docs`` has the texts of the rows. Sets are built only of nodes that share a band, from one row of each.
+
+    A round takes pivots in every group that still has several classes, twice as many as the round before, compares them
+    with the group's nodes of other classes and takes them out of the group. So there are about as many rounds as the
+    largest group's size has binary digits, and fewer where classes grow together.
+
+    Rounds hand on what they know as tables: labels change by what the round has linked, and a round's plan is as large
+    as that of the first one.
     """
-    nodes = rows.where("node is not null").select("node", "bands").dropDuplicates(["node"])
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    size = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    groups = _written(banded.join(size, "band").select("band", "node"), "bands")
-    wanted = groups.select("node").distinct()
+    spark = docs.sparkSession
+    nodes = rows.where("node is not null").select("node", "total", "bands").dropDuplicates(["node"])
+    state = _written(candidates(nodes, least).select("key", "node", F.col("node").alias("label")), "groups")
+    wanted = state.select("node").distinct()
     wanted = _written(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "wanted")
     count = wanted.count()
     if not count:
-        return None, None
+        return None
     own = docs.join(wanted.select("row"), "row", "left_semi").dropDuplicates(["row"]).select("text")
     sets = _written(sets_of(own), "sets")
-    found, labels, tried, used = None, None, None, None
+    folder, labels, tried, chosen, number = scratch_path(spark, "tried"), None, None, FIRST_PIVOTS, 0
     while True:
         # groups with several classes are still open
-        open_ = _labelled(groups, labels)
-        live = open_.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(
+        members = state.groupBy("key", "label").agg(F.count("*").alias("m"))
+        live = members.groupBy("key").agg(
             F.count("*").alias("classes"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("left")
         )
-        live = live.where("classes > 1")
-        left = live.agg(F.sum("left")).first()[0]
+        left = live.where("classes > 1").agg(F.sum("left")).first()[0]
         if not left:
             break
-        open_ = open_.join(live.select("band"), "band")
         last = tried is not None and left <= 2 * PAIRS_PER_NODE * count
         if last:
-            one = open_.select("band", F.col("node").alias("a"), F.col("label").alias("x"))
-            two = open_.select("band", F.col("node").alias("b"), F.col("label").alias("y"))
-            pairs = one.join(two, "band").where("a < b and x <> y").select("a", "b")
+            one = state.select("key", F.col("node").alias("a"), F.col("label").alias("x"))
+            two = state.select("key", F.col("node").alias("b"), F.col("label").alias("y"))
+            pairs = one.join(two, "key").where("a < b and x <> y")
         else:
-            degree = F.lit(0)
-            candidates = open_
-            if found is not None:
-                ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
-                candidates = candidates.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
-                degree = F.coalesce("links", F.lit(0))
-            if used is not None:
-                candidates = candidates.join(used, ["band", "node"], "left_anti")
-            pivots = candidates.groupBy("band").agg(F.min(F.struct(-degree, "node", "label")).alias("p"))
-            pivots = _written(pivots.select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("x")), "pivots")
-            met = open_.join(pivots, "band").where("node <> pivot and label <> x")
-            pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            mine = pivots.select("band", F.col("pivot").alias("node"))
-            used = mine if used is None else used.unionAll(mine)
-        pairs = pairs.distinct()
+            # the smallest classes first: once they have gone, one large class is left and the group is closed
+            each = members.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1")
+            best = Window.partitionBy("key").orderBy("m", "node")
+            ordered = state.join(each, ["key", "label"]).withColumn("n", F.row_number().over(best))
+            pivots = ordered.where(F.col("n") <= chosen).select("key", F.col("node").alias("pivot"), F.col("label").alias("z"))
+            pivots = _written(pivots, "pivots")
+            met = state.join(pivots, "key").where("node <> pivot and label <> z")
+            first = F.col("node") < F.col("pivot")
+            sides = {"a": ("node", "pivot"), "b": ("pivot", "node"), "x": ("label", "z"), "y": ("z", "label")}
+            pairs = met.select(*[F.when(first, F.col(c)).otherwise(F.col(d)).alias(k) for k, (c, d) in sides.items()])
+        pairs = pairs.select("a", "b", "x", "y").distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = _written(pairs, "pairs")
-        if not last and pivots.isEmpty():
-            break  # every node of every open group has been compared
-        similar = _written(_similar(pairs, sets, least), "similar")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        found = similar if found is None else found.unionAll(similar)
-        labels = components(found)
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = _appended(pairs, folder, number)
+        pairs = tried.where(F.col("part") == number)
+        changes = components(_similar(pairs, sets, least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        old = wanted.select("node", F.col("node").alias("label")) if labels is None else labels
+        labels = _written(_relabelled(old, changes), "labels")
         if last:
             break
-    return found, labels
+        done = pivots.select("key", F.col("pivot").alias("node"))
+        open_ = state.join(pivots.select("key").distinct(), "key", "left_semi").join(done, ["key", "node"], "left_anti")
+        state = _written(_relabelled(open_, changes).select("key", "node", "label"), "groups")
+        chosen, number = chosen * 2, number + 1
+    return labels
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, row, node, label) of documents with a row name; label is null for texts without words."""
     rows = _written(sketches(docs), "sketches")
-    _, labels = links(docs, rows, least)
-    return _labelled(rows.select("doc_id", "row", "node"), labels)
+    return _labelled(rows.select("doc_id", "row", "node"), classes_of_nodes(docs, rows, least))
 
 
 def _row_name(id_column: Column, text: Column) -> Column:
-    """A 64-bit name of a row by its id and text."""
-    return F.xxhash64(id_column.cast("long"), text.cast("binary"))
+    """A 128-bit name of a row by its id and text; a null text has another one than an empty text."""
+    ident, body = id_column.cast("long").cast("string"), text.cast("binary")
+    return F.md5(F.concat(F.coalesce(ident, F.lit("-")).cast("binary"), F.when(text.isNull(), F.lit("?").cast("binary")).otherwise(F.concat(F.lit(":").cast("binary"), body))))
 
 
 def classes(df: DataFrame, least: float = SIMILARITY, text: str = "text", id_column: str = "doc_id") -> DataFrame:
