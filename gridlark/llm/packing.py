@@ -1,9 +1,10 @@
 """Packing along a space-filling curve: like documents share sequences, and next to nothing is padded.
 
 Every document becomes a vector of hashed byte four-grams, projected to three dimensions by fixed random signs. The
-place of that point on a Hilbert curve is the sort key: a range sort by it deals neighbouring documents to one
-partition, where they are laid end to end and cut into sequences. What is left at the end of a partition is cut into
-sequences whose sizes are powers of two, so it needs no padding either.
+place of that point on a Hilbert curve is the sort key. Places are found once and stored with the texts; how many bytes
+lie in each stretch of the curve tells where to cut it, so that every partition of the sort gets about as many bytes of
+neighbouring documents. There they are laid end to end and cut into sequences. What is left at the end of a partition is
+cut into sequences whose sizes are powers of two, so it needs no padding either.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.support import documents, joined, mix, share_count, slices
 from gridlark.llm.tokens import MEMORY, encoder
+from gridlark.plans.session import scratch_path
 
 DIMENSIONS, BITS = 3, 10
+#: What a document weighs besides its text.
+ROW_BYTES = 64
 SEQUENCE_TOKENS = 2048
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PIECE_ARROW = pa.schema([(k, pa.binary() if k == "ids" else pa.int64()) for k in (c.split()[0] for c in PIECES.split(", "))])
@@ -27,19 +31,32 @@ _PIECE_ARROW = pa.schema([(k, pa.binary() if k == "ids" else pa.int64()) for k i
 _SIGNS = ((mix(np.arange(1, (1 << 16) + 1))[:, None] >> np.arange(DIMENSIONS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1
 
 
+#: The signs of all dimensions as one number, a field of bits for each; bytes whose sums fit a field.
+_FIELD = 20
+_PACKED = (((_SIGNS > 0).astype(np.int64)) << (np.arange(DIMENSIONS) * _FIELD)).sum(axis=1)
+_RUN = (1 << _FIELD) - 1
+
+
 def vectors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A point in [-1, 1]**3 for each row: the mean of its features' signs; rows of under four bytes are at 0."""
-    codes = np.zeros(len(data) + 1, np.uint32)
-    if len(data) >= 4:
-        w = data.astype(np.uint32)
-        mixed = (w[:-3] | w[1:-2] << 8 | w[2:-1] << 16 | w[3:] << 24) * np.uint32(0x9E3779B1)
-        codes[: len(w) - 3] = mixed >> 16
     sizes = np.maximum(np.diff(bounds) - 3, 0)
     out = np.zeros((len(sizes), DIMENSIONS))
     some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    w = data.astype(np.uint32)
+    mixed = (w[:-3] | w[1:-2] << 8 | w[2:-1] << 16 | w[3:] << 24) * np.uint32(0x9E3779B1)
+    signs = np.append(_PACKED[mixed >> 16], 0)
+    # runs of features whose sums fit the fields, and after each row what isn't its own; then the runs of a row together
+    first, last = bounds[some], bounds[some] + sizes[some]
+    runs = -(-sizes[some] // _RUN)
+    row = np.repeat(np.arange(len(some)), runs)
+    start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)) * _RUN
+    cuts = np.stack((start, np.minimum(start + _RUN, last[row])), axis=1).reshape(-1)
+    sums = np.add.reduceat(signs, cuts)[::2]
     for d in range(DIMENSIONS):
-        total = np.concatenate(([0], np.cumsum(_SIGNS[codes, d], dtype=np.float64)))
-        out[some, d] = (total[bounds[some] + sizes[some]] - total[bounds[some]]) / sizes[some]
+        positive = np.bincount(row, (sums >> (d * _FIELD)) & _RUN, len(some))
+        out[some, d] = (2 * positive - sizes[some]) / sizes[some]
     return out
 
 
@@ -114,14 +131,34 @@ def pack(
             yield _pieces(rows)
         yield _pieces(list(_powers_of_two(held, used, number)))
 
-    return (
-        curve_places(df, text, id_column)
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(share_count(df), "place", "doc_id", "tie")
-        .sortWithinPartitions("place", "doc_id", "tie")
-        .drop("place", "tie")
-        .mapInArrow(pieces, PIECES)
-    )
+    dealt = along_curve(df, text, id_column)
+    return dealt.mapInArrow(pieces, PIECES)
+
+
+#: Stretches that the curve is cut into to weigh them; their sizes are all that the driver gets to see.
+STRETCH_BITS = 16
+
+
+def along_curve(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(doc_id, text) in the order of the curve, in partitions of about equal bytes. A stretch that alone holds more than
+    a partition, such as a group of copies, is dealt to several, by a hash of id and text."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "curve")
+    shift = DIMENSIONS * BITS - STRETCH_BITS
+    placed = curve_places(df, text, id_column).withColumn("stretch", F.shiftright("place", shift).cast("int"))
+    placed.write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    weighed = stored.groupBy("stretch").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(b""))) + F.lit(ROW_BYTES)).alias("bytes"))
+    sizes = sorted((r["stretch"], r["bytes"]) for r in weighed.collect())
+    stretch, size = (np.array(c, np.int64) for c in zip(*sizes)) if sizes else (np.empty(0, np.int64),) * 2
+    target = max(int(size.sum()) // share_count(df), 1)
+    first = (np.cumsum(size) - size) // target
+    spread = np.maximum(size // target, 1)
+    cuts = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(stretch, first, spread)], "stretch int, first int, spread int")
+    count = int((first + spread).max()) if len(size) else 1
+    told = stored.join(F.broadcast(cuts), "stretch").withColumn("tie", F.xxhash64("text"))  # at most 2**16 rows
+    part = F.col("first") + F.pmod(F.xxhash64("doc_id", "tie"), F.col("spread")).cast("int")
+    ordered = told.repartitionById(count, part.cast("int")).sortWithinPartitions("place", "doc_id", "tie")
+    return ordered.select("doc_id", "text")
 
 
 def _powers_of_two(held: list[tuple], total: int, number: int) -> Iterator[tuple]:
