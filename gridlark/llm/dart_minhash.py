@@ -6,7 +6,8 @@ the signature. A document throws only the darts with ranks below a bound that sh
 about k ln k darts hit, and keeps the earliest dart of each coordinate. Two documents keep the same dart with the
 probability of their weighted Jaccard similarity. (Coordinates without a dart get another throw with a doubled bound.)
 
-Signatures are cut into bands; documents that share a band are candidates, and candidates are compared exactly. Equal
+Signatures are cut into bands; documents that share a band are candidates, and candidates are compared exactly: first by
+outlines, which are a sixth as large and bound the similarity from above, and the pairs that pass by their sets. Equal
 shingle sets are one node from the start, and a band's nodes form groups of similar weights. In a group each round compares
 all nodes of other classes with some pivots, from the smallest classes first, and joins what is similar; what is left
 between classes is compared pair by pair once it is no more than a few pairs for each node. So no link between different
@@ -155,16 +156,30 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, row string, node binary, total long, bands array<long>")
 
 
+def outline(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set with 16 bits of each name; names that become equal add up. No pair is less similar by its outlines."""
+    short = (names >> np.uint64(48)).astype(np.uint16)  # names ascend
+    first = np.flatnonzero(np.diff(short.astype(np.int32), prepend=-1))
+    return short[first], np.add.reduceat(counts, first)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(node, names, counts): each document's shingle set, as binary columns."""
+    """(node, names, counts, short, sums): each document's shingle set and its outline, as binary columns. Counts that are
+    all one are null."""
+
+    def packed(counts: np.ndarray) -> bytes | None:
+        return counts.astype(np.uint32).tobytes() if counts.max() > 1 else None
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
-            rows = [(set_id(n, c), n.tobytes(), c.astype(np.uint32).tobytes()) for _, n, c in _rows_of(batch)]
-            columns = zip(("node", "names", "counts"), zip(*rows) if rows else [[]] * 3, [pa.binary()] * 3)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in columns})
+            rows = []
+            for _, n, c in _rows_of(batch):
+                short, sums = outline(n, c)
+                rows.append((set_id(n, c), n.tobytes(), packed(c), short.tobytes(), packed(sums)))
+            columns = zip(("node", "names", "counts", "short", "sums"), zip(*rows) if rows else [[]] * 5)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in columns})
 
-    return docs.mapInArrow(build, "node binary, names binary, counts binary")
+    return docs.mapInArrow(build, "node binary, names binary, counts binary, short binary, sums binary")
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -175,7 +190,16 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, x, y) whose sets are similar enough. Hot nodes are split by the adaptive joins."""
+    """The pairs (a, b, x, y) whose sets are similar enough. Outlines rule out most others, so that whole sets travel only
+    for the pairs that pass."""
+    close = _written(_compared(pairs, sets.select("node", F.col("short").alias("names"), F.col("sums").alias("counts")), 2, least), "close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _compared(close, sets.select("node", "names", "counts").join(wanted, "node", "left_semi"), 8, least)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b, x, y) whose sets (names of ``width`` bytes) are similar enough. Hot nodes are split by the adaptive
+    joins."""
     b = sets.select(F.col("node").alias("b"), F.col("names").alias("b_names"), F.col("counts").alias("b_counts"))
     a = sets.select(F.col("node").alias("a"), F.col("names").alias("a_names"), F.col("counts").alias("a_counts"))
 
@@ -185,15 +209,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             rows = {k: batch.column(k).to_pylist() for k in ("a", "a_names", "a_counts", "b_names", "b_counts")}
             for r in range(batch.num_rows):
                 if rows["a"][r] != last:
-                    last, left = rows["a"][r], _set(rows["a_names"][r], rows["a_counts"][r])
-                keep.append(similarity(left, _set(rows["b_names"][r], rows["b_counts"][r])) >= least - 1e-12)
+                    last, left = rows["a"][r], _set(rows["a_names"][r], rows["a_counts"][r], width)
+                keep.append(similarity(left, _set(rows["b_names"][r], rows["b_counts"][r], width)) >= least - 1e-12)
             yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a binary, b binary, x binary, y binary")
+    return pairs.select("a", "b", "x", "y").join(b, "b").join(a, "a").mapInArrow(compare, "a binary, b binary, x binary, y binary")
 
 
-def _set(names: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(names, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
+def _set(names: bytes, counts: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    each = np.frombuffer(names, f"u{width}")
+    return each, np.ones(len(each), np.int64) if counts is None else np.frombuffer(counts, np.uint32).astype(np.int64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,6 +270,8 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     width = -np.log(least) * (1 + 1e-6)
     own = F.floor(F.log(F.col("total").cast("double")) / F.lit(float(width)))
     banded = nodes.select("node", F.explode("bands").alias("band"), own.alias("own"))
+    # most bands are of one node: they go before the rest is repeated for two classes
+    banded = _written(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "banded")
     keyed = banded.select(F.explode(F.array(F.xxhash64("band", "own"), F.xxhash64("band", F.col("own") + 1))).alias("key"), "node")
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return keyed.join(size, "key")

@@ -99,6 +99,20 @@ def test_one_row_of_each_class_stays(awkward):
     assert sorted(r[0] for r in rows if r not in wordless) == sorted(classes)
 
 
+def test_outlines_bound_similarity_from_above():
+    rng = np.random.default_rng(6)
+    names = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) << np.uint64(1))
+    counts = rng.integers(1, 4, len(names))
+    for cut in (10, 500, 2000):
+        a, b = (names[:-cut], counts[:-cut]), (names[cut:], counts[cut:][::-1].copy())
+        exact = dart_minhash.similarity(a, b)
+        bound = dart_minhash.similarity(dart_minhash.outline(*a), dart_minhash.outline(*b))
+        assert exact <= bound <= exact + 0.05
+        assert dart_minhash.outline(*a)[1].sum() == a[1].sum()
+    # names that share their first bits fall together and add up
+    assert [x.tolist() for x in dart_minhash.outline(np.array([1, 2, 1 << 48], np.uint64), np.array([2, 3, 4]))] == [[0, 1], [5, 4]]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     names = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
