@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Pivots of a group in the first round; each round takes twice as many.
 FIRST_PIVOTS = 2
+#: Names (of 8 bytes) up to which they are broadcast to pick rows of a larger table; more are met in a shuffle.
+BROADCAST_NAMES = 1 << 22
 #: Pairs for each node up to which the classes' remaining candidates are compared pair by pair.
 PAIRS_PER_NODE = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,12 +191,22 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def _picked(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``names``, by 64-bit hashes: a few others may stay (harmless here). The
+    names are counted first, and a bounded number of them is broadcast, so that rows not picked are not shuffled."""
+    hashes = _written(names.select(F.xxhash64(column).alias("picked")).distinct(), "picked")
+    if hashes.count() <= BROADCAST_NAMES:
+        hashes = F.broadcast(hashes)
+    return df.join(hashes, F.xxhash64(column) == F.col("picked"), "left_semi")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, x, y) whose sets are similar enough. Outlines rule out most others, so that whole sets travel only
     for the pairs that pass."""
-    close = _written(_compared(pairs, sets.select("node", F.col("short").alias("names"), F.col("sums").alias("counts")), 2, least), "close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return _compared(close, sets.select("node", "names", "counts").join(wanted, "node", "left_semi"), 8, least)
+    ends = F.explode(F.array("a", "b")).alias("node")
+    outlines = sets.select("node", F.col("short").alias("names"), F.col("sums").alias("counts"))
+    close = _written(_compared(pairs, _picked(outlines, "node", pairs.select(ends)), 2, least), "close")
+    return _compared(close, _picked(sets.select("node", "names", "counts"), "node", close.select(ends)), 8, least)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, width: int, least: float) -> DataFrame:
@@ -297,7 +309,7 @@ def classes_of_nodes(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY
     count = wanted.count()
     if not count:
         return None
-    own = docs.join(wanted.select("row"), "row", "left_semi").dropDuplicates(["row"]).select("text")
+    own = _picked(docs, "row", wanted.select("row")).dropDuplicates(["row"]).select("text")
     sets = _written(sets_of(own), "sets")
     folder, labels, tried, chosen, number = scratch_path(spark, "tried"), None, None, FIRST_PIVOTS, 0
     while True:

@@ -68,9 +68,10 @@ def family(rng, n, words=120, edits=3, start=0):
     return out
 
 
-@pytest.mark.parametrize("pairs", [8, 0], ids=["few", "rounds only"])
-def test_classes_of_near_copies(spark, monkeypatch, pairs):
+@pytest.mark.parametrize("pairs, names", [(8, 1 << 22), (0, 0)], ids=["few", "rounds and shuffles only"])
+def test_classes_of_near_copies(spark, monkeypatch, pairs, names):
     monkeypatch.setattr(dart_minhash, "PAIRS_PER_NODE", pairs)
+    monkeypatch.setattr(dart_minhash, "BROADCAST_NAMES", names)
     rng = random.Random(3)
     rows = [r for f in range(5) for r in family(rng, 12, edits=2 + f, start=100 * f)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
