@@ -191,3 +191,59 @@ def test_equal_vectors_fill_many_blocks(spark):
     for r in got.orderBy("query_id", "rank").collect():
         by_query.setdefault(r["query_id"], []).append(r["doc_id"])
     assert by_query == {q: [i for i in range(20) if bool(i % 3) == bool(q % 3)][:4] for q in range(6)}
+
+
+# --- what is stored and moved ---------------------------------------------------------------------------------------------
+def test_vectors_are_published_once_a_byte_for_each_component(some):
+    assert "embedding" not in some.rows.columns
+    size = some.vectors.agg(F.sum(F.octet_length("unit")).alias("bytes"), F.sum("rows").alias("rows")).first()
+    assert size["rows"] == some.rows.count() and size["bytes"] == 1536 * size["rows"]
+
+
+def test_a_log_of_one_batch_is_read_without_a_join(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([("c", 0, str(i), str(i), f"t{i}", "l") for i in range(4)], ROWS)
+    I.deliver(spark, path, rows, 0, encoder=marked(1))
+    assert "Join" not in I.current(spark, path)._jdf.queryExecution().executedPlan().toString()
+    I.deliver(spark, path, rows.limit(1).withColumn("text", F.lit("new")), 1, encoder=marked(2))
+    assert sorted(r["embedding"][0] for r in I.current(spark, path).collect()) == [1.0, 1.0, 1.0, 2.0]
+
+
+def test_stored_vectors_keep_their_numbers():
+    rng = np.random.default_rng(5)
+    for code, data in (
+        ("i1", rng.integers(-128, 128, (9, 6)) / 128), ("f4", rng.normal(size=(9, 6)).astype(np.float32).astype(np.float64)),
+        ("f4", np.full((2, 3), 1.0)), ("f8", rng.normal(size=(9, 6))), ("f8", np.full((1, 2), 1e100)),
+    ):
+        found, kept = blocks.narrow(data)
+        unit, _ = blocks.unit_rows(data)
+        assert found == code
+        held = (unit if code == "f8" else kept).tobytes()
+        assert (blocks.stored_rows(code, held, data.shape[1]) == unit).all()
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_stored_vectors_are_not_moved_for_few_queries_and_a_grid_finds_the_same(spark, tmp_path, grid, monkeypatch):
+    monkeypatch.setattr(blocks, "FEW", 2)
+    if grid:
+        monkeypatch.setattr(blocks, "GROUP_BYTES", 1000)
+        monkeypatch.setattr(blocks, "HELD_HITS", 20)
+    data, df = clustered(spark)
+    df = df.unionByName(df.limit(1).select((F.col("id") + 10_000).alias("id"), "embedding", "scope"))  # a tie
+    docs = blocks.pack(df.coalesce(1), "id", "embedding", str(tmp_path / "docs"), block_bytes=8 * 6 * 20)
+    asked = blocks.pack(df.where("id % 10 = 0 AND id < 10000").coalesce(1), "id", "embedding", str(tmp_path / "asked"), block_bytes=8 * 6 * 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = blocks.search(asked, docs, 5, "query_id", "doc_id").hits
+        joins = hits._jdf.queryExecution().executedPlan().toString()
+        found = {}
+        for r in hits.orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["doc_id"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ("SortMergeJoin" in joins) == grid
+    want = {q: nearest(data, q, 5, range(len(data))) for q in range(0, len(data), 10)}
+    own = {q: [0, 10_000, *ids[1:4]] if q == 0 else [10_000 if i == -1 else i for i in ids] for q, ids in want.items()}
+    assert {q: ids for q, ids in found.items() if 10_000 not in ids} == {q: ids for q, ids in own.items() if 10_000 not in found[q]}
+    assert found[0] == own[0]
