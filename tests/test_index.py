@@ -247,3 +247,29 @@ def test_stored_vectors_are_not_moved_for_few_queries_and_a_grid_finds_the_same(
     own = {q: [0, 10_000, *ids[1:4]] if q == 0 else [10_000 if i == -1 else i for i in ids] for q, ids in want.items()}
     assert {q: ids for q, ids in found.items() if 10_000 not in ids} == {q: ids for q, ids in own.items() if 10_000 not in found[q]}
     assert found[0] == own[0]
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_words_are_not_moved_for_few_questions_and_a_grid_finds_the_same(spark, some, grid, monkeypatch):
+    if grid:
+        monkeypatch.setattr(word_index, "GROUP_BYTES", 60)
+        monkeypatch.setattr(word_index, "HELD_HITS", 15)
+    asked = spark.createDataFrame([(q, list(Q.DEFAULT_ROUTE)) for q in QUESTIONS], "query string, route array<string>").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = word_index.search(asked, some.words, "query", "query", "route", 3, Q.MIN_SCORED_LENGTH)
+        joins = hits._jdf.queryExecution().executedPlan().toString()
+        rows = hits.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ("SortMergeJoin" in joins) == grid
+    assert len(rows) == len({(r["key"], r["scope"], r["id"]) for r in rows})
+    texts = [(r["collection"], r["block_id"], r["text"]) for r in some.rows.where("text IS NOT NULL").withColumn("block_id", I._block_id()).collect()]
+    for query in QUESTIONS:
+        words = Q.query_words(query)
+        scored = [w for w in words if len(w) >= Q.MIN_SCORED_LENGTH]
+        for name in Q.DEFAULT_ROUTE:
+            met = [(-sum(w in t.lower() for w in scored), i) for c, i, t in texts if c == name and (not words or any(w in t.lower() for w in words))]
+            got = sorted((-r["points"], r["id"]) for r in rows if r["key"] == query and r["scope"] == name)
+            assert got == sorted(met)[:3], (query, name)
