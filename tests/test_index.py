@@ -273,3 +273,14 @@ def test_words_are_not_moved_for_few_questions_and_a_grid_finds_the_same(spark,
             met = [(-sum(w in t.lower() for w in scored), i) for c, i, t in texts if c == name and (not words or any(w in t.lower() for w in words))]
             got = sorted((-r["points"], r["id"]) for r in rows if r["key"] == query and r["scope"] == name)
             assert got == sorted(met)[:3], (query, name)
+
+
+def test_fingerprints_are_what_spark_writes_and_need_one_pass(spark):
+    vectors = [[0.0, -1.0, 127 / 128], None, [], [None, 0.25], [5.0, -9.0, 1e4], [0.013, -0.7]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id int, embedding array<double>")
+    text = F.concat_ws(",", F.transform("embedding", lambda x: (x * 128 + 128).cast("int").cast("string")))
+    want = {r["id"]: r["f"] for r in rows.select("id", F.md5(text).alias("f")).collect()}
+    assert {r["id"]: r["f"] for r in rows.select("id", Q.fingerprint("embedding")["fingerprint"].alias("f")).collect()} == want
+    plan = contract.queries()["emb_rows_operational"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    evaluated = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert evaluated.split("], [")[0].count("_hash_batch(") == 1
