@@ -964,14 +964,16 @@ register("query_log_recent")(lambda s, d: Q.recent_queries(_logged(s, d), ASKED_
 # --- streaming -----------------------------------------------------------------------------------------------
 #: Partitions of streaming state. A checkpoint keeps its number for good: choose it for the data, not for the machine.
 STATE_PARTITIONS = 8
+#: Of the alert stream: whole alerts, delivered twice, are dealt by id.
+ALERT_PARTITIONS = 32
 
 
 def _streams(spark, sf_dir, profile: str = "classic") -> streaming.Streams:
     return streaming.Streams(streaming.file_stream(spark, f"{sf_dir}/events.parquet", feeds.TABLES["events"]), profile)
 
 
-def _finished(spark, df, name, mode="append") -> DataFrame:
-    return spark.read.parquet(streaming.finish(df, name, mode, state_partitions=STATE_PARTITIONS))
+def _finished(spark, df, name, mode="append", partitions: int | None = None) -> DataFrame:
+    return spark.read.parquet(streaming.finish(df, name, mode, state_partitions=partitions or STATE_PARTITIONS))
 
 
 @register("stream_tumbling")
@@ -1028,7 +1030,7 @@ def _stream_dedupe(spark, sf_dir):
     """The alert stream delivered twice; repeats are dropped within the watermark."""
     twice = _streams(spark, sf_dir).unit_alerts().unionByName(_streams(spark, sf_dir).unit_alerts())
     once = streaming.dedupe(twice, "alert_id")
-    return _finished(spark, once.drop("ts"), "alerts")
+    return _finished(spark, once.drop("ts"), "alerts", partitions=ALERT_PARTITIONS)
 
 
 def _slices(df: DataFrame, column: str, n: int) -> list[DataFrame]:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.operators import windows as W
+from gridlark.plans import catalog
 from gridlark.plans.pictures import Domain
 from gridlark.sources.sinks import append_sink, read_appended
 from gridlark.streaming import jobs
@@ -128,3 +129,15 @@ def test_a_hot_cell_is_shared_by_several_tasks(spark):
     assert len(placed) > units.select("grid_square").distinct().count() and max(r["count"] for r in placed) < 1000
     joined = left.join(right, ["grid_square", "salt"]).drop("salt")
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, units.join(threats, "grid_square").select(*joined.columns).collect()))
+
+
+def test_alerts_delivered_twice_are_dealt_to_more_tasks(spark, monkeypatch):
+    dealt = []
+
+    def finish(df, name, mode="append", state_partitions=None):
+        dealt.append(state_partitions)
+        return f"{DATA}/part.parquet"
+
+    monkeypatch.setattr(catalog.streaming, "finish", finish)
+    catalog.QUERIES["stream_dedupe"](spark, DATA)
+    assert dealt == [catalog.ALERT_PARTITIONS] and catalog.ALERT_PARTITIONS >= 4 * catalog.STATE_PARTITIONS
