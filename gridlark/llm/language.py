@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.llm.support import joined, mix, slices
+from gridlark.llm.support import joined, lengths, mix, slices
 
 #: Rows of each language that the classifiers learn from, at most about.
 ROWS_PER_LANGUAGE = 1500
@@ -30,6 +30,8 @@ ALL_SPLITS = 6
 AMBIGUOUS = 0.9
 UNDETERMINED = "und"
 _EPOCHS, _RATE, _DECAY = 12, 1.0, 1e-5
+#: Features of the sample that are weighed at a time, and text bytes that are judged at a time.
+_WEIGHED, _JUDGED = 1 << 20, 1 << 18
 #: Lower-cases A-Z; all that is no letter in ASCII becomes a space.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -135,22 +137,23 @@ def train(
                 [
                     batch.column("draw"),
                     batch.column("language"),
-                    pa.array([f.astype(np.int32) for f, _ in found], pa.list_(pa.int32())),
-                    pa.array([(c / c.sum()).astype(np.float32) for _, c in found], pa.list_(pa.float32())),
+                    pa.array([f.tobytes() for f, _ in found], pa.binary()),
+                    pa.array([(c / c.sum()).astype(np.float32).tobytes() for _, c in found], pa.binary()),
                 ],
                 names=["draw", "language", "features", "shares"],
             )
 
     def one_bit(table: pa.Table) -> pa.Table:
         bit = table["bit"][0].as_py()
-        table = table.sort_by([("draw", "ascending"), ("language", "ascending")])  # one order, however rows arrive
-        signs = code[table["language"].to_numpy(), bit].astype(np.float64)
-        features_of, shares_of = (table[k].combine_chunks() for k in ("features", "shares"))
-        sizes = features_of.value_lengths().to_numpy().astype(np.int64)
-        weights, bias, trust = _logistic(sizes, features_of.flatten().to_numpy(), shares_of.flatten().to_numpy(), signs)
+        order = np.lexsort((table["language"].to_numpy(), table["draw"].to_numpy()))  # one order, however rows arrive
+        signs = code[table["language"].to_numpy()[order], bit].astype(np.float64)
+        # the rows' buffers are read where they lie: the table is held only once more, in order
+        feature, share = (_in_order(table[k], order, kind) for k, kind in (("features", np.uint16), ("shares", np.float32)))
+        sizes = lengths(table["features"])[order] // 2
+        weights, bias, trust = _logistic(sizes, feature, share, signs)
         return pa.table({"bit": pa.array([bit], pa.int32()), "weights": pa.array([weights], pa.list_(pa.float32())), "bias": [bias], "trust": [trust]})
 
-    tasks = sampled.mapInArrow(counted, "draw long, language int, features array<int>, shares array<float>")
+    tasks = sampled.mapInArrow(counted, "draw long, language int, features binary, shares binary")
     tasks = tasks.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     learned = tasks.groupBy("bit").applyInArrow(one_bit, "bit int, weights array<float>, bias double, trust double").collect()
     for r in learned:
@@ -158,23 +161,47 @@ def train(
     return empty
 
 
+def _in_order(column: pa.ChunkedArray, order: np.ndarray, kind: type) -> np.ndarray:
+    """The values of a binary column's rows, one row after the other in the given order."""
+    sizes = lengths(column)[order] // np.dtype(kind).itemsize
+    out, ends = np.empty(sizes.sum(), kind), np.cumsum(sizes)
+    for r, size, end in zip(order.tolist(), sizes.tolist(), ends.tolist()):
+        out[end - size : end] = np.frombuffer(column[r].as_buffer(), kind)
+    return out
+
+
 def _logistic(sizes: np.ndarray, feature: np.ndarray, share: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Logistic regression by full gradient steps scaled by each feature's squared gradients; the bit's trust.
 
     ``sizes`` says how many features each row has; ``feature`` and ``share`` are those of all rows.
     """
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(feature), _WEIGHED)), len(sizes)))
+    blocks = []  # rows, and where their features lie
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        blocks.append((slice(i, j), slice(int(ends[i] - sizes[i]), int(ends[j - 1]))))
     weight = np.where(signs > 0, 0.5 / max((signs > 0).sum(), 1), 0.5 / max((signs < 0).sum(), 1))
     w, seen, bias, seen_bias = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-12), 0.0, 1e-12
+
+    def margins() -> np.ndarray:
+        out = np.empty(len(sizes))
+        for rows, at in blocks:
+            n = sizes[rows]
+            out[rows] = np.bincount(np.repeat(np.arange(len(n)), n), share[at] * w[feature[at]], len(n))
+        return out + bias
+
     for _ in range(_EPOCHS * 5):
-        margin = np.bincount(row, share * w[feature], len(sizes)) + bias
+        margin = margins()
         pull = -signs * weight / (1 + np.exp(np.clip(signs * margin, -30, 30)))
-        slope = np.bincount(feature, share * pull[row], 1 << FEATURE_BITS) + _DECAY * w / (1 << FEATURE_BITS)
+        slope = np.zeros(1 << FEATURE_BITS)
+        for rows, at in blocks:  # added up in the order of the rows, so the sums don't depend on the blocks
+            np.add.at(slope, feature[at].astype(np.intp), share[at] * np.repeat(pull[rows], sizes[rows]))
+        slope += _DECAY * w / (1 << FEATURE_BITS)
         seen += slope**2
         w -= _RATE * 8 * slope / np.sqrt(seen)
         seen_bias += pull.sum() ** 2
         bias -= _RATE * pull.sum() / np.sqrt(seen_bias)
-    margin = np.bincount(row, share * w[feature], len(sizes)) + bias
+    margin = margins()
     wrong = float(((signs * margin <= 0) * weight).sum()) if len(sizes) else 0.5
     return w.astype(np.float32), float(bias), max(0.05, 1 - 2 * wrong)
 
@@ -194,7 +221,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, body, 1 << 20):
+        for batch in slices(batches, body, _JUDGED):
             raw = batch.column(body).to_pylist()
             lettered = np.array([bool(t) and _has_letter(t) for t in raw], bool)
             pred, score = np.full(len(raw), UNDETERMINED, object), np.zeros(len(raw))
