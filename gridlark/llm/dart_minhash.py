@@ -9,9 +9,10 @@ probability of their weighted Jaccard similarity. (Coordinates without a dart ge
 Signatures are cut into bands; documents that share a band are candidates, and candidates are compared exactly: first by
 outlines, which are a sixth as large and bound the similarity from above, and the pairs that pass by their sets. Equal
 shingle sets are one node from the start, and a band's nodes form groups of similar weights. In a group each round compares
-all nodes of other classes with some pivots, from the smallest classes first, and joins what is similar; what is left
-between classes is compared pair by pair once it is no more than a few pairs for each node. So no link between different
-texts is lost, and a group of copies costs a row for each member, not for each pair.
+all nodes of other classes with some pivots, from the largest classes first, and joins what is similar, as long as rounds
+pay. What is left between classes is compared pair by pair if it is no more than a few pairs for each node, and else in
+blocks: a row holds the outlines of hundreds of nodes, and two blocks of a group are compared by one product of matrices.
+So no link between different texts is lost, and pairs become rows only where outlines say that they may be similar.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ FIRST_PIVOTS = 2
 BROADCAST_NAMES = 1 << 22
 #: Pairs for each node up to which the classes' remaining candidates are compared pair by pair.
 PAIRS_PER_NODE = 8
+#: A further round is worth while if the one before left at most this share of the pairs between classes.
+ROUND_PAYS = 0.6
+#: Bytes of outlines in a block, what a node counts there besides, block pairs that travel to a worker at once, and columns
+#: of a product.
+BLOCK_BYTES, NODE_BYTES, BLOCK_PAIRS, COLUMNS = 1 << 18, 256, 16, 1 << 12
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,9 +212,84 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     ends = F.explode(F.array("a", "b")).alias("node")
     outlines = sets.select("node", F.col("short").alias("names"), F.col("sums").alias("counts"))
     close = _written(_compared(pairs, _picked(outlines, "node", pairs.select(ends)), 2, least), "close")
+    return _verified(close, sets, least)
+
+
+def _verified(close: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, x, y) whose whole sets are similar enough."""
+    ends = F.explode(F.array("a", "b")).alias("node")
     return _compared(close, _picked(sets.select("node", "names", "counts"), "node", close.select(ends)), 8, least)
 
 
+def overlaps(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What every set of ``a`` has in common with every set of ``b``: the sums of the smaller weights.
+
+    A weight is the sum of its steps over the weights that its name has anywhere, so the sums are products of matrices,
+    a bounded number of columns at a time.
+    """
+    sizes = np.array([len(n) for n, _ in a + b])
+    names = np.concatenate([n for n, _ in a + b]).astype(np.uint64)
+    row, count = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([c for _, c in a + b]).astype(np.uint64)
+    steps, step = np.unique(names << np.uint64(32) | count, return_inverse=True)
+    named, value = steps >> np.uint64(32), (steps & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    new = np.diff(named, prepend=named[:1] + np.uint64(1)) != 0
+    rise = value - np.where(new, 0, np.concatenate(([0], value[:-1])))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(steps)), 0))[step]
+    each = step - first + 1
+    column = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], np.repeat(row, each)[order]
+    out = np.zeros((len(a), len(b)))
+    for low in range(0, len(steps), COLUMNS):
+        i, j = np.searchsorted(column, (low, low + COLUMNS))
+        dense = np.zeros((len(sizes), min(COLUMNS, len(steps) - low)))
+        dense[row[i:j], column[i:j] - low] = 1
+        out += (dense[: len(a)] * rise[low : low + COLUMNS]) @ dense[len(a) :].T
+    return out
+
+
+def _blocks(state: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The members of each group in blocks of about ``BLOCK_BYTES``, by class, and each block's first and last class."""
+    by_class = Window.partitionBy("key").orderBy("label", "node")
+    size = F.octet_length("names") + F.coalesce(F.octet_length("counts"), F.lit(0)) + F.lit(NODE_BYTES)
+    placed = state.join(outlines, "node").withColumn("block", F.floor(F.sum(size).over(by_class) / F.lit(BLOCK_BYTES)))
+    members = F.collect_list(F.struct("node", "label", "names", "counts")).alias("members")
+    return placed.groupBy("key", "block").agg(members, F.min("label").alias("low"), F.max("label").alias("high"))
+
+
+def _close_in_blocks(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, x, y) of nodes of one group and different classes whose outlines are similar enough."""
+    spark = state.sparkSession
+    outlines = sets.select("node", F.col("short").alias("names"), F.col("sums").alias("counts"))
+    blocks = _written(_blocks(state, outlines), "blocks")
+    one, two = (blocks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ab")
+    several = ~((F.col("low_a") == F.col("high_b")) & (F.col("high_a") == F.col("low_b")))  # not all of one class
+    met = one.join(two, "key").where((F.col("block_a") <= F.col("block_b")) & several).select("key", "block_a", "block_b")
+    for side in "ba":
+        met = met.join(blocks.select("key", F.col("block").alias(f"block_{side}"), F.col("members").alias(side)), ["key", f"block_{side}"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = (batch.column(side)[r].values for side in "ab")
+                first, second = ([_set(n, c, 2) for n, c in zip(m.field("names").to_pylist(), m.field("counts").to_pylist())] for m in (a, b))
+                common = overlaps(first, second)
+                total = np.add.outer([c.sum() for _, c in first], [c.sum() for _, c in second])
+                i, j = np.nonzero(common >= (least - 1e-12) * (total - common))
+                nodes, labels = ([(np.array(m.field(k).to_pylist(), object)[at]) for m, at in ((a, i), (b, j))] for k in ("node", "label"))
+                keep = np.flatnonzero(labels[0] != labels[1])
+                rows = [(p, q, x, y) if p < q else (q, p, y, x) for p, q, x, y in zip(*(v[keep].tolist() for v in (*nodes, *labels)))]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in (zip(*rows) if rows else [[]] * 4)], names=["a", "b", "x", "y"])
+
+    pairs = met.select("a", "b").mapInArrow(compare, "a binary, b binary, x binary, y binary").distinct()
+    at_once = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_PAIRS))  # a row holds two blocks
+    try:
+        return _written(pairs, "close")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b, x, y) whose sets (names of ``width`` bytes) are similar enough. Hot nodes are split by the adaptive
     joins."""
@@ -295,8 +376,8 @@ def classes_of_nodes(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY
     ``docs`` has the texts of the rows. Sets are built only of nodes that share a band, from one row of each.
 
     A round takes pivots in every group that still has several classes, twice as many as the round before, compares them
-    with the group's nodes of other classes and takes them out of the group. So there are about as many rounds as the
-    largest group's size has binary digits, and fewer where classes grow together.
+    with the group's nodes of other classes and takes them out of the group. Rounds end once few pairs are left between
+    classes, or once a round has hardly lessened them: the groups that are open then are compared in blocks.
 
     Rounds hand on what they know as tables: labels change by what the round has linked, and a round's plan is as large
     as that of the first one.
@@ -311,7 +392,7 @@ def classes_of_nodes(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY
         return None
     own = _picked(docs, "row", wanted.select("row")).dropDuplicates(["row"]).select("text")
     sets = _written(sets_of(own), "sets")
-    folder, labels, tried, chosen, number = scratch_path(spark, "tried"), None, None, FIRST_PIVOTS, 0
+    folder, labels, tried, chosen, number, before = scratch_path(spark, "tried"), None, None, FIRST_PIVOTS, 0, None
     while True:
         # groups with several classes are still open
         members = state.groupBy("key", "label").agg(F.count("*").alias("m"))
@@ -322,14 +403,19 @@ def classes_of_nodes(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY
         if not left:
             break
         last = tried is not None and left <= 2 * PAIRS_PER_NODE * count
+        if not last and before is not None and left > ROUND_PAYS * before:
+            close = _close_in_blocks(state.join(live.where("classes > 1").select("key"), "key", "left_semi"), sets, least)
+            changes = components(_verified(close, sets, least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+            return _written(_relabelled(labels, changes), "labels")
+        before = left
         if last:
             one = state.select("key", F.col("node").alias("a"), F.col("label").alias("x"))
             two = state.select("key", F.col("node").alias("b"), F.col("label").alias("y"))
             pairs = one.join(two, "key").where("a < b and x <> y")
         else:
-            # the smallest classes first: once they have gone, one large class is left and the group is closed
+            # the largest classes first: their pivots meet only what is outside, and most of that is similar to some of them
             each = members.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1")
-            best = Window.partitionBy("key").orderBy("m", "node")
+            best = Window.partitionBy("key").orderBy(F.desc("m"), "node")
             ordered = state.join(each, ["key", "label"]).withColumn("n", F.row_number().over(best))
             pivots = ordered.where(F.col("n") <= chosen).select("key", F.col("node").alias("pivot"), F.col("label").alias("z"))
             pivots = _written(pivots, "pivots")
