@@ -972,6 +972,8 @@ register("query_log_recent")(lambda s, d: Q.recent_queries(_logged(s, d), ASKED_
 # --- streaming -----------------------------------------------------------------------------------------------
 #: Partitions of streaming state. A checkpoint keeps its number for good: choose it for the data, not for the machine.
 STATE_PARTITIONS = 8
+#: The same for state that Python keeps for each entity: a call for each of them, so all cores should have a part.
+ENTITY_PARTITIONS = 12
 #: Of the alert stream: whole alerts, delivered twice, are dealt by id.
 ALERT_PARTITIONS = 32
 
@@ -1073,7 +1075,7 @@ def _stream_snapshot(spark, sf_dir):
     snapshot = S.latest_record(orders.where(F.col("change") <= middle), "doc_id", ("change",))
     path = entities.run_deliveries(
         spark, _slices(orders.where(F.col("change") > early), "change", 2),
-        lambda stream: entities.changes_after_snapshot(stream, snapshot, "doc_id", "change"), "doc_id", ("change",), STATE_PARTITIONS,
+        lambda stream: entities.changes_after_snapshot(stream, snapshot, "doc_id", "change"), "doc_id", ("change",), ENTITY_PARTITIONS,
     )
     newer = sinks.read_upserted(spark, path, "doc_id", ("change",)).withColumn("from_stream", F.lit(True))
     return tables.snapshot_plus_changes(snapshot.withColumn("from_stream", F.lit(False)), newer, "doc_id", ("change",))

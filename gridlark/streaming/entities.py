@@ -79,11 +79,11 @@ class NewestDocument(StatefulProcessor):
         self.newest = handle.getValueState("newest", T.StructType([T.StructField("order", self.kind)]))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        if not self.newest.exists() or initialState[self.order] > self.newest.get()[0]:
-            self.newest.update((initialState[self.order],))
+        self.newest.update((initialState[self.order],))  # one row for each document
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known, best = self.newest.get()[0] if self.newest.exists() else None, None
+        state, best = self.newest.get(), None  # no state is None
+        known = None if state is None else state[0]
         for row in rows:
             if known is None or row[self.order] > known:
                 known, best = row[self.order], row
@@ -99,7 +99,7 @@ def changes_after_snapshot(changes: DataFrame, snapshot: DataFrame, key: str, or
     """The changes of a stream that are newer than everything known of their document, from the snapshot or the stream:
     at most one for each document and micro-batch. State is one order number for each document."""
     processor = NewestDocument(order, changes.schema[order].dataType)
-    initial = snapshot.select(key, order).groupBy(key)
+    initial = snapshot.groupBy(key).agg(F.max(order).alias(order)).groupBy(key)
     return changes.groupBy(key).transformWithState(processor, changes.schema, "Update", "None", initialState=initial)
 
 
