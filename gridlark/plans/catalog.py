@@ -1060,7 +1060,7 @@ def _stream_fresh(spark, sf_dir):
         return entities.fresh_changes(timed, S.cache_key("gps"), ["unit_id", "lat", "lon", "timestamp", "seq"], 2 * 3600)
 
     path = entities.run_deliveries(
-        spark, _slices(events, "event_id", 4), changes, entities.ENTITY, ("timestamp", "seq", entities.STATUS), STATE_PARTITIONS
+        spark, _slices(events, "event_id", 4), changes, entities.ENTITY, ("timestamp", "seq", entities.STATUS), ENTITY_PARTITIONS
     )
     table = sinks.read_upserted(spark, path, entities.ENTITY, ("timestamp", "seq", entities.STATUS))
     return table.select("entity", "status", "unit_id", "lat", "lon", "timestamp")

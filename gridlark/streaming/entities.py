@@ -15,6 +15,8 @@ from gridlark.streaming.jobs import stream_settings
 
 ENTITY, STATUS = "entity", "status"
 CURRENT, EXPIRED = "CURRENT", "EXPIRED"
+#: What marks the column of event time in a stream's schema.
+_WATERMARK = "spark.watermarkDelayMs"
 
 
 class FreshRecord(StatefulProcessor):
@@ -31,7 +33,8 @@ class FreshRecord(StatefulProcessor):
         return tuple(record[c] for c in self.order)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = dict(zip(self.schema.names, self.last.get())) if self.last.exists() else None
+        known = self.last.get()  # None if there is none: every call asks another process
+        before = None if known is None else dict(zip(self.schema.names, known))
         newest = before
         for row in rows:  # one row is held at a time, however many a batch has of the entity
             record = {c: row[c] for c in self.schema.names}
@@ -45,8 +48,9 @@ class FreshRecord(StatefulProcessor):
             yield Row(**{ENTITY: key[0], STATUS: CURRENT, **newest})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.last.exists():
-            record = dict(zip(self.schema.names, self.last.get()))
+        known = self.last.get()
+        if known is not None:
+            record = dict(zip(self.schema.names, known))
             self.last.clear()
             yield Row(**{ENTITY: key[0], STATUS: EXPIRED, **record})
 
@@ -59,10 +63,13 @@ def fresh_changes(stream: DataFrame, key: Column, columns: list[str], ttl_second
     once the watermark is past its time plus the time to live, unless a newer one has come.
 
     ``stream`` has event time with a watermark; records that are later than its delay don't count. Rows without a key have
-    no entity. State is one record for each entity that is fresh.
+    no entity. State is one record for each entity that is fresh. Only the columns that are kept, and event time, travel to
+    Python.
     """
     kept = T.StructType([stream.schema[c] for c in columns])
+    timed = [f.name for f in stream.schema if _WATERMARK in f.metadata]
     rows = stream.withColumn(ENTITY, key).where(F.col(ENTITY).isNotNull())
+    rows = rows.select(*dict.fromkeys([ENTITY, *columns, *order, *timed]))
     output = T.StructType([T.StructField(ENTITY, T.StringType()), T.StructField(STATUS, T.StringType()), *kept.fields])
     processor = FreshRecord(kept, ttl_seconds * 1000, order)
     return rows.groupBy(ENTITY).transformWithState(processor, output, "Update", "EventTime")
