@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gridlark.llm import dart_minhash, decontaminate, language, packing, secrets
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
-from gridlark.plans.session import prepare, scratch_path
+from gridlark.plans.session import prepare_vectors as prepare
+from gridlark.plans.session import scratch_path
 
 
 def _own(docs: DataFrame) -> str:

@@ -30,7 +30,7 @@ ALL_SPLITS = 6
 AMBIGUOUS = 0.9
 UNDETERMINED = "und"
 _EPOCHS, _RATE, _DECAY = 12, 1.0, 1e-5
-#: Features of the sample that are weighed at a time, and text bytes that are judged at a time.
+#: Features of the sample that are weighed at a time, and text bytes whose n-grams are made at a time.
 _WEIGHED, _JUDGED = 1 << 20, 1 << 18
 #: Lower-cases A-Z; all that is no letter in ASCII becomes a space.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -129,20 +129,6 @@ def train(
     sampled = drawn.select("text", "draw", number[F.col("language")].alias("language"))
     bits = code.shape[1]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            codes, at = features(*joined(batch.column("text")))
-            found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("draw"),
-                    batch.column("language"),
-                    pa.array([f.tobytes() for f, _ in found], pa.binary()),
-                    pa.array([(c / c.sum()).astype(np.float32).tobytes() for _, c in found], pa.binary()),
-                ],
-                names=["draw", "language", "features", "shares"],
-            )
-
     def one_bit(table: pa.Table) -> pa.Table:
         bit = table["bit"][0].as_py()
         order = np.lexsort((table["language"].to_numpy(), table["draw"].to_numpy()))  # one order, however rows arrive
@@ -153,7 +139,7 @@ def train(
         weights, bias, trust = _logistic(sizes, feature, share, signs)
         return pa.table({"bit": pa.array([bit], pa.int32()), "weights": pa.array([weights], pa.list_(pa.float32())), "bias": [bias], "trust": [trust]})
 
-    tasks = sampled.mapInArrow(counted, "draw long, language int, features binary, shares binary")
+    tasks = sampled.mapInArrow(_counted, "draw long, language int, features binary, shares binary")
     tasks = tasks.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     learned = tasks.groupBy("bit").applyInArrow(one_bit, "bit int, weights array<float>, bias double, trust double").collect()
     for r in learned:
@@ -161,6 +147,22 @@ def train(
     return empty
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of sampled rows and their shares of each row's, some text at a time: n-grams take many times its memory."""
+    for batch in slices(batches, limit=_JUDGED):
+        codes, at = features(*joined(batch.column("text")))
+        found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("draw"),
+                batch.column("language"),
+                pa.array([f.tobytes() for f, _ in found], pa.binary()),
+                pa.array([(c / c.sum()).astype(np.float32).tobytes() for _, c in found], pa.binary()),
+            ],
+            names=["draw", "language", "features", "shares"],
+        )
+
+
 def _in_order(column: pa.ChunkedArray, order: np.ndarray, kind: type) -> np.ndarray:
     """The values of a binary column's rows, one row after the other in the given order."""
     sizes = lengths(column)[order] // np.dtype(kind).itemsize

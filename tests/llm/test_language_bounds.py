@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from gridlark.llm import language
 
@@ -34,3 +35,12 @@ def test_a_classifier_does_not_depend_on_its_blocks(monkeypatch):
     parts = language._logistic(sizes, feature, share, signs)
     assert whole[0].tolist() == parts[0].tolist() and whole[1:] == parts[1:]
     assert language._logistic(np.zeros(3, np.int64), feature[:0], share[:0], signs[:3])[0].tolist() == [0] * (1 << language.FEATURE_BITS)
+
+
+def test_a_batch_is_counted_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 123, 16_384).astype(np.uint8)) for _ in range(256)]
+    table = {"text": pa.array(texts, pa.binary()), "draw": pa.array(range(256), pa.int64()), "language": pa.array([0, 1] * 128, pa.int32())}
+    batch = pa.RecordBatch.from_arrays(list(table.values()), names=list(table))
+    found, most = peak(lambda: sum(b.num_rows for b in language._counted(iter([batch]))))
+    assert found == 256 and most < 10 * 256 * 16_384

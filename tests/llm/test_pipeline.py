@@ -80,3 +80,14 @@ def test_awkward(spark, awkward, no_documents):
             out = stage(spark, docs, DATA)
             assert out.columns == docs.columns and out.count() <= docs.count(), name
         assert P.STAGES[-1][1](spark, docs, DATA).count() >= docs.count()
+
+
+@pytest.mark.parametrize("number", range(len(P.STAGES)))
+def test_few_rows_travel_to_python_at_once(spark, documents, number):
+    at, name = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(name, 10_000)
+        P.STAGES[number][1](spark, documents.limit(20), DATA)
+        assert int(spark.conf.get(name)) <= 1024
+    finally:
+        spark.conf.set(name, at)
