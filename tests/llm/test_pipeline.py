@@ -84,10 +84,11 @@ def test_awkward(spark, awkward, no_documents):
 
 @pytest.mark.parametrize("number", range(len(P.STAGES)))
 def test_few_rows_travel_to_python_at_once(spark, documents, number):
-    at, name = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
     try:
         spark.conf.set(name, 10_000)
         P.STAGES[number][1](spark, documents.limit(20), DATA)
         assert int(spark.conf.get(name)) <= 1024
     finally:
-        spark.conf.set(name, at)
+        spark.conf.set(name, before)
