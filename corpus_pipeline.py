@@ -13,7 +13,7 @@ from gridlark.llm import dart_minhash, decontaminate, language, packing, secrets
 from gridlark.llm.support import table
 from gridlark.llm.tokens import vocabulary_path
 from gridlark.plans.session import prepare_vectors as prepare
-from gridlark.plans.session import scratch_path
+from gridlark.plans.session import returning_memory, scratch_path
 
 
 def _own(docs: DataFrame) -> str:
@@ -21,6 +21,7 @@ def _own(docs: DataFrame) -> str:
     return "_".join([*docs.columns, ""])
 
 
+@returning_memory
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told clearly; those without a letter or between two languages go."""
     own = _own(docs)
@@ -30,12 +31,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.where(clear).select(*docs.columns)
 
 
+@returning_memory
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest id."""
     prepare(spark)
     return dart_minhash.first_of_each(docs)
 
 
+@returning_memory
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark passages, unchanged; the others go."""
     own = _own(docs)
@@ -44,6 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~decontaminate.contaminated(F.col(f"{own}n_hit"), F.col(f"{own}n_words"))).select(*docs.columns)
 
 
+@returning_memory
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows the text where it changed."""
     own = _own(docs)
@@ -55,6 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select(*docs.columns)
 
 
+@returning_memory
 def pack_along_curve(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens. The workers live on, so they remember fewer words than packing alone may."""
     prepare(spark)

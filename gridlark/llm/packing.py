@@ -35,6 +35,8 @@ _SIGNS = ((mix(np.arange(1, (1 << 16) + 1))[:, None] >> np.arange(DIMENSIONS, dt
 _FIELD = 20
 _PACKED = (((_SIGNS > 0).astype(np.int64)) << (np.arange(DIMENSIONS) * _FIELD)).sum(axis=1)
 _RUN = (1 << _FIELD) - 1
+#: Text bytes whose places are found at a time, or that are encoded: both take many times their memory.
+_AT_ONCE = 1 << 20
 
 
 def vectors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -91,7 +93,7 @@ def curve_places(df: DataFrame, text: str = "text", id_column: str = "doc_id") -
     """doc_id, text (bytes) and place, the document's place on the curve."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_AT_ONCE):
             yield batch.append_column("place", pa.array(hilbert_keys(vectors(*joined(batch.column("text"))))))
 
     return documents(df, text, id_column).mapInArrow(places, "doc_id long, text binary, place long")
@@ -116,7 +118,7 @@ def pack(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number, held, used = encoder(vocabulary, memory).ids, TaskContext.get().partitionId() << 40, [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_AT_ONCE):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(encode((raw or b"").decode()), np.uint32(end_id)).astype("<u4")
