@@ -31,7 +31,7 @@ AMBIGUOUS = 0.9
 UNDETERMINED = "und"
 _EPOCHS, _RATE, _DECAY = 12, 1.0, 1e-5
 #: Features of the sample that are weighed at a time, and text bytes whose n-grams are made at a time.
-_WEIGHED, _JUDGED = 1 << 20, 1 << 16
+_WEIGHED, _JUDGED = 1 << 17, 1 << 16
 #: Lower-cases A-Z; all that is no letter in ASCII becomes a space.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 

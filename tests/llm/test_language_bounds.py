@@ -44,3 +44,12 @@ def test_a_batch_is_counted_in_bounded_memory():
     batch = pa.RecordBatch.from_arrays(list(table.values()), names=list(table))
     found, most = peak(lambda: sum(b.num_rows for b in language._counted(iter([batch]))))
     assert found == 256 and most < 10 * 256 * 16_384
+
+
+def test_a_classifier_weighs_little_at_a_time():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(0, 2500, 2400)
+    feature = rng.integers(0, 1 << language.FEATURE_BITS, sizes.sum()).astype(np.uint16)
+    share, signs = rng.random(len(feature)).astype(np.float32), np.where(rng.random(len(sizes)) < 0.5, 1.0, -1.0)
+    _, most = peak(lambda: language._logistic(sizes, feature, share, signs))
+    assert most < 8 << 20
