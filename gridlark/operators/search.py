@@ -105,18 +105,23 @@ def _keyword_score(text_column: str, words: list[str], scored: list[str]) -> Col
 _NUMBERS = [f"_{i}".encode() for i in range(-(-V.HASH_DIMENSIONS // V.HASH_BYTES))]
 
 
-def hash_vector(text: str, dimensions: int = V.HASH_DIMENSIONS) -> np.ndarray:
-    """The hash embedding of one text; the common prefix is digested only once."""
-    lowered = text.lower()
-    base = hashlib.sha256(lowered.encode())
-    blocks = []
-    needed = -(-dimensions // V.HASH_BYTES)
+def _hash_bytes(text: str, dimensions: int) -> bytes:
+    """The bytes of a text's hash embedding; the common prefix is digested only once."""
+    copy, needed, digests = hashlib.sha256(text.lower().encode()).copy, -(-dimensions // V.HASH_BYTES), []
     for number in _NUMBERS[:needed] if needed <= len(_NUMBERS) else [f"_{i}".encode() for i in range(needed)]:
-        digest = base.copy()
+        digest = copy()
         digest.update(number)
-        blocks.append(digest.digest())
-    raw = np.frombuffer(b"".join(blocks), dtype=np.uint8)[:dimensions]
-    return (raw.astype(np.float64) - 128.0) / 128.0
+        digests.append(digest.digest())
+    return b"".join(digests)[:dimensions]
+
+
+def _as_numbers(raw: bytes) -> np.ndarray:
+    return (np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128.0) / 128.0
+
+
+def hash_vector(text: str, dimensions: int = V.HASH_DIMENSIONS) -> np.ndarray:
+    """The hash embedding of one text."""
+    return _as_numbers(_hash_bytes(text, dimensions))
 
 
 def _as_lists(matrix: np.ndarray) -> pa.Array:
@@ -126,8 +131,8 @@ def _as_lists(matrix: np.ndarray) -> pa.Array:
 
 
 def _hash_batch(texts: pa.Array) -> pa.Array:
-    vectors = [hash_vector(t or "") for t in texts.to_pylist()]
-    return _as_lists(np.stack(vectors) if vectors else np.empty((0, V.HASH_DIMENSIONS)))
+    raw = b"".join([_hash_bytes(t or "", V.HASH_DIMENSIONS) for t in texts.to_pylist()])
+    return _as_lists(_as_numbers(raw).reshape(-1, V.HASH_DIMENSIONS))
 
 
 def embed(
@@ -161,21 +166,39 @@ def embed(
 
 #: The 256 values of a byte as they are written, each with a comma, in words of four bytes.
 _WRITTEN = np.frombuffer(b"".join(f",{i}".encode().ljust(4, b"\0") for i in range(256)), np.uint32)
+_SIZES = np.array([len(f",{i}") for i in range(256)], np.uint8)
 _TOLD = pa.struct([("dimensions", pa.int32()), ("fingerprint", pa.string())])
 
 
+#: Rows whose components are written at a time.
+_WRITTEN_ROWS = 64
+
+
 def _digests(vectors: pa.Array) -> pa.Array:
     """Length of each vector, and MD5 of its components as 128ths from -128: whole numbers between commas, without null ones."""
-    lengths, out = pc.list_value_length(vectors), []
-    for vector in vectors:
-        values = vector.values.drop_null().to_numpy() if vector.is_valid else np.empty(0)
-        whole = np.trunc(values * 128.0 + 128.0)
-        if whole.size and not (whole.min() >= 0 and whole.max() <= 255):
-            text = ",".join(str(int(x)) for x in whole).encode()
-        else:
-            text = _WRITTEN[whole.astype(np.uint8)].tobytes().translate(None, b"\0")[1:]
-        out.append(hashlib.md5(text).hexdigest())
-    return pa.StructArray.from_arrays([lengths.cast(pa.int32()), pa.array(out, pa.string())], fields=list(_TOLD))
+    parts = (vectors.slice(start, _WRITTEN_ROWS) for start in range(0, len(vectors), _WRITTEN_ROWS))
+    out = [hashlib.md5(text).hexdigest() for part in parts for text in _byte_texts(part) or map(_text_of, part)]
+    return pa.StructArray.from_arrays([pc.list_value_length(vectors).cast(pa.int32()), pa.array(out, pa.string())], fields=list(_TOLD))
+
+
+def _byte_texts(vectors: pa.Array) -> list[memoryview] | None:
+    """The texts of vectors of one width whose components are all written as 0 to 255; else None."""
+    lengths = pc.list_value_length(vectors)
+    width = 0 if lengths.null_count else lengths[0].as_py()
+    if not width or not pc.all(pc.equal(lengths, width)).as_py() or (values := vectors.flatten()).null_count:
+        return None
+    whole = np.trunc(values.to_numpy() * 128.0 + 128.0)
+    if not (whole.min() >= 0 and whole.max() <= 255):
+        return None
+    told = whole.astype(np.uint8).reshape(-1, width)
+    text = memoryview(_WRITTEN[told].tobytes().translate(None, b"\0"))
+    ends = np.cumsum(_SIZES[told].sum(axis=1, dtype=np.int64)).tolist()
+    return [text[first + 1 : end] for first, end in zip([0, *ends], ends)]  # without the first comma
+
+
+def _text_of(vector: pa.Scalar) -> bytes:
+    values = vector.values.drop_null().to_numpy() if vector.is_valid else np.empty(0)
+    return ",".join(str(int(x)) for x in np.trunc(values * 128.0 + 128.0)).encode()
 
 
 def fingerprint(vector_column: str) -> Column:
